@@ -6,19 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import neardup, overlap
+from millrace.llm import bpe, mixing, neardup, overlap, packing, percentiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "p1_percentiles": percentiles.p1_percentiles,
+        "p1_by_day": percentiles.p1_by_day,
         "p2_found": overlap.p2_found,
         "p2_report": overlap.p2_report,
         "p4_found": neardup.p4_found,
         "p4_groups": neardup.p4_groups,
+        "p5_packing": packing.p5_packing,
+        "p5_utilisation": packing.p5_utilisation,
+        "p7_ids": bpe.p7_ids,
+        "p7_lengths": bpe.p7_lengths,
+        "p8_mixture": mixing.p8_mixture,
+        "p8_shares": mixing.p8_shares,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p1_percentiles": percentiles.P1_SQL}
