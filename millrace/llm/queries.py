@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, mixing, neardup, overlap, packing, percentiles
+from millrace.llm import answers, bpe, mixing, neardup, overlap, packing, percentiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,8 @@ def queries() -> dict[str, Query]:
         "p1_by_day": percentiles.p1_by_day,
         "p2_found": overlap.p2_found,
         "p2_report": overlap.p2_report,
+        "p3_found": answers.p3_found,
+        "p3_report": answers.p3_report,
         "p4_found": neardup.p4_found,
         "p4_groups": neardup.p4_groups,
         "p5_packing": packing.p5_packing,
