@@ -153,9 +153,9 @@ def summary_percentiles(summary: DataFrame, groups: list[str], measures: Sequenc
 
 
 def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact percentiles of both values for each family and arm; histograms are made for each day of evaluation and then added."""
-    p = table(spark, sf_dir, "predictions").select("family", "arm", F.substring("evaluated_at", 1, 10).alias("day"), *MEASURES)
-    return radix_percentiles(p, ["family", "arm"], MEASURES, by="day").drop("max_relative_error")
+    """Exact percentiles of both values for each family and arm."""
+    p = table(spark, sf_dir, "predictions").select("family", "arm", *MEASURES)
+    return radix_percentiles(p, ["family", "arm"], MEASURES).drop("max_relative_error")
 
 
 def p1_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import answers, bpe, mixing, neardup, overlap, packing, percentiles
+from millrace.llm import answers, bpe, cutoff, mixing, neardup, overlap, packing, percentiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,8 @@ def queries() -> dict[str, Query]:
         "p4_groups": neardup.p4_groups,
         "p5_packing": packing.p5_packing,
         "p5_utilisation": packing.p5_utilisation,
+        "p6_found": cutoff.p6_found,
+        "p6_rates": cutoff.p6_rates,
         "p7_ids": bpe.p7_ids,
         "p7_lengths": bpe.p7_lengths,
         "p8_mixture": mixing.p8_mixture,
