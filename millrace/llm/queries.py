@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import answers, bpe, cutoff, mixing, neardup, overlap, packing, percentiles
+from millrace.llm import answers, bpe, cutoff, langid, mixing, neardup, overlap, packing, percentiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,9 @@ def queries() -> dict[str, Query]:
         "p7_lengths": bpe.p7_lengths,
         "p8_mixture": mixing.p8_mixture,
         "p8_shares": mixing.p8_shares,
+        "p9_found": langid.p9_found,
+        "p9_languages": langid.p9_languages,
+        "p9_passages": langid.p9_passages,
     }
 
 
