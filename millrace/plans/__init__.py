@@ -29,3 +29,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+from millrace.plans import scoring  # noqa: E402, F401
