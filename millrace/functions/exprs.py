@@ -120,8 +120,8 @@ def apply_template(template: Column | str, name: Column | str) -> Column:
 
 
 def format_value(value: Column | str, decimals: int) -> Column:
-    """Whole numbers without a point, others with fixed decimals; no thousands separators."""
-    x = col(value).cast("double")
+    """Whole numbers without a point, others with fixed decimals; no thousands separators; ties go away from zero."""
+    x = col(value).cast("double") * F.lit(1 + 1e-12)
     return F.when(x.isNotNull(), F.format_string(f"%.{decimals}f", x))
 
 

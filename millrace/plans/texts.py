@@ -238,7 +238,7 @@ def public_projection(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "document_plans").select("world_id", F.explode("target_facts").alias("f")).select("world_id", F.col("f.entity_id").alias("entity_id"), F.col("f.entity_name").alias("name")).distinct()
 
 
-@query("formatted_values", "SELECT record_no, printf('%.1f', true_value) AS one, substr(model_output, 1, 12) AS head, baseline IS NOT NULL AS is_baseline FROM predictions WHERE isfinite(true_value) AND abs(true_value) < 1e9")
+@query("formatted_values", "SELECT record_no, printf('%.1f', true_value * 1.000000000001::DOUBLE) AS one, substr(model_output, 1, 12) AS head, baseline IS NOT NULL AS is_baseline FROM predictions WHERE isfinite(true_value) AND abs(true_value) < 1e9")
 def formatted_values(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "predictions").where(E.finite("true_value").isNotNull() & (F.abs("true_value") < 1e9))
     return x.select("record_no", E.format_value("true_value", 1).alias("one"), F.substring("model_output", 1, 12).alias("head"), F.col("baseline").isNotNull().alias("is_baseline"))
