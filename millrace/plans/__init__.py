@@ -31,4 +31,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-from millrace.plans import corpus, scoring, texts  # noqa: E402, F401
+from millrace.plans import corpus, generated, scoring, texts  # noqa: E402, F401

@@ -1 +1 @@
-
+"""Readers and writers of records, documents, plans, themes and corpora."""
