@@ -17,12 +17,13 @@ def record_stream(spark: SparkSession, folder: str, schema, files_per_trigger: i
 
 def first_copies(records: DataFrame, key: list[str], time: str, delay: str = "3 days") -> DataFrame:
     """Each key once, as long as its copies arrive within the delay."""
-    return records.withWatermark(time, delay).dropDuplicatesWithinWatermark(key)
+    return records.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).dropDuplicatesWithinWatermark(key)
 
 
 def daily_errors(records: DataFrame, time: str, keys: list[str], delay: str = "3 days") -> DataFrame:
     """n, n_valid, mae and mean relative error by day and keys; works on a stream and on a table."""
-    r = records.withWatermark(time, delay) if records.isStreaming else records
+    r = records.withColumn(time, F.col(time).cast("timestamp"))
+    r = r.withWatermark(time, delay) if r.isStreaming else r
     p, t = finite("predicted_value"), finite("true_value")
     ok = p.isNotNull() & t.isNotNull()
     return r.groupBy(F.window(time, "1 day").alias("day"), *keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("n_valid"), F.avg(abs_err("predicted_value", "true_value")).alias("mae"), F.avg(rel_err("predicted_value", "true_value")).alias("mean_rel_err"))

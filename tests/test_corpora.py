@@ -29,8 +29,8 @@ def test_splits_are_disjoint_across_versions(spark):
 
 def test_prefixes_are_nested(spark):
     _, got = corpora(spark)
-    t = got.where("split = 'train' and run_id like 'kiln__w0/explicit__ai__%'")
-    ids = {n: {r[0] for r in t.where(F.col("run_id").endswith(f"d100__n{n:04d}")).select("document_id").collect()} for n in (5, 10)}
+    t = got.where("split = 'train'")
+    ids = {n: {r[0] for r in t.where(F.col("run_id") == f"kiln__w0/explicit__ai__d100__n{n:04d}").select("document_id").collect()} for n in (5, 10)}
     assert len(ids[5]) == 5 and len(ids[10]) == 10 and ids[5] < ids[10]
 
 
