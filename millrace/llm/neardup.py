@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.nearset import components, hashed_document_frequency, icws_blocks, representatives, shingle_sets, verify
+from millrace.llm.nearset import CODE_BITS, components, hashed_document_frequency, icws_blocks, representatives, shingle_sets, verify, within_radius
 from millrace.session import cut, table
 from millrace.ship import ship
 
-#: 64 bands of three samples: a pair of weighted similarity 0.45 shares a band with probability 0.998, one of 0.6 with 0.9999999.
-BANDS, ROWS = 64, 3
+#: 128 bands of four samples: a pair of weighted similarity 0.5 shares a band with probability 0.9997, one of 0.6 with 0.99999998.
+BANDS, ROWS = 128, 4
 
 
 def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float = 0.8, min_words: int = 8) -> DataFrame:
@@ -30,10 +30,11 @@ def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, k: int = 5,
     reps = representatives(sets)
     member = cut(sets.select("id", "cls").distinct().join(reps.select("cls", "rid"), "cls").select("id", "rid"))
     counts = hashed_document_frequency(reps)
-    marks = cut(icws_blocks(reps, max(1, reps.count()), counts, BANDS, ROWS).select("rid", F.explode("keys").alias("key")))
+    signed = cut(icws_blocks(reps, max(1, reps.count()), counts, BANDS, ROWS))
+    marks = signed.select("rid", F.explode("keys").alias("key"))
     first = marks.groupBy("key").agg(F.min("rid").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     tried = cut(marks.join(first, "key").where("rid != b").select(F.col("rid").alias("a"), "b").distinct())
-    links = cut(verify(tried, reps, threshold).select("a", "b"))
+    links = cut(verify(within_radius(tried, signed, threshold, CODE_BITS), reps, threshold).select("a", "b"))
     # an id under two texts links their classes
     twice = member.groupBy("id").agg(F.min("rid").alias("b"), F.max("rid").alias("c")).where("b != c").select("id", "b")
     links = links.unionByName(member.join(twice, "id").where("rid != b").select(F.col("rid").alias("a"), "b"))
@@ -43,7 +44,7 @@ def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, k: int = 5,
     left = cut(marked.join(open_, "key"))
     x, y = left.select("key", F.col("rid").alias("a"), F.col("comp").alias("ca")), left.select("key", F.col("rid").alias("b"), F.col("comp").alias("cb"))
     more = x.join(y, "key").where("a > b and ca != cb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    more = cut(verify(more, reps, threshold).select("a", "b"))
+    more = cut(verify(within_radius(more, signed, threshold, CODE_BITS), reps, threshold).select("a", "b"))
     if not more.isEmpty():
         comp = cut(components(comp.where("node != comp").select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more)))
     return member.join(comp, member.rid == comp.node, "left").select("id", F.coalesce("comp", "rid").alias("group")).distinct()

@@ -7,6 +7,7 @@ recurs in a third of all rows costs one row from there on.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ from millrace.session import cut
 
 #: Document frequencies are counted in this many hash buckets, over all classes; the table of counts (8 MB at most) is what is broadcast.
 DF_BUCKETS = 1 << 20
+#: Bits of the fingerprint that thins candidates before their sets are compared.
+CODE_BITS = 256
 
 
 def shingle_sets(df: DataFrame, text: str, keys: list[str], k: int, min_words: int) -> DataFrame:
@@ -57,17 +60,17 @@ def representatives(sets: DataFrame, flags: dict[str, F.Column] | None = None) -
 
 
 def minhash_blocks(reps: DataFrame, blocks: int, rows: int, carry: list[str]) -> DataFrame:
-    """rid + carry + code (bits of the fingerprint as binary) + keys (array of block keys)."""
+    """rid + carry + code (the fingerprint's bits as array<long>) + keys (array of block keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fp = MinHash(blocks, rows)
         for b in batches:
             got = [fp(h) for h in list_values(b.column(0))]
-            yield pa.RecordBatch.from_arrays([*[b.column(j) for j in range(1, b.num_columns)], pa.array([c for _, c in got], pa.binary()), long_lists([k for k, _ in got])], names=["rid", *carry, "code", "keys"])
+            yield pa.RecordBatch.from_arrays([*[b.column(j) for j in range(1, b.num_columns)], long_lists([c for _, c in got]), long_lists([k for k, _ in got])], names=["rid", *carry, "code", "keys"])
 
     src = reps.select("sh", "rid", *carry)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[1:])
-    return src.mapInArrow(run, f"{fields}, code binary, keys array<bigint>")
+    return src.mapInArrow(run, f"{fields}, code array<bigint>, keys array<bigint>")
 
 
 def hashed_document_frequency(reps: DataFrame) -> np.ndarray:
@@ -92,19 +95,36 @@ def hashed_document_frequency(reps: DataFrame) -> np.ndarray:
 
 
 def icws_blocks(reps: DataFrame, total: int, df_counts: np.ndarray, blocks: int, rows: int) -> DataFrame:
-    """rid + keys (array of block keys) from consistent weighted samples of TF-IDF weights ln(1 + N/df) * (1 + ln tf)."""
+    """rid + code + keys: block keys from consistent weighted samples of TF-IDF weights ln(1 + N/df) * (1 + ln tf), and a fingerprint of CODE_BITS minwise bits."""
     shared = reps.sparkSession.sparkContext.broadcast(df_counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fp, counts = ICWS(blocks, rows), shared.value
+        fp, bits, counts = ICWS(blocks, rows), MinHash(CODE_BITS, 1), shared.value
         for b in batches:
-            keys = []
+            keys, codes = [], []
             for h, tf in zip(list_values(b.column(0)), list_values(b.column(1))):
                 idf = np.log1p(total / np.maximum(counts[(h % np.uint64(DF_BUCKETS)).astype(np.int64)], 1))
                 keys.append(fp(h, idf * (1 + np.log(tf.astype(np.float64)))))
-            yield pa.RecordBatch.from_arrays([b.column(2), long_lists(keys)], names=["rid", "keys"])
+                codes.append(bits(h)[1])
+            yield pa.RecordBatch.from_arrays([b.column(2), long_lists(codes), long_lists(keys)], names=["rid", "code", "keys"])
 
-    return reps.select("sh", "tf", "rid").mapInArrow(run, "rid bigint, keys array<bigint>")
+    return reps.select("sh", "tf", "rid").mapInArrow(run, "rid bigint, code array<bigint>, keys array<bigint>")
+
+
+def hamming_radius(threshold: float, bits: int) -> int:
+    """Bits in which two fingerprints may differ: the mean (1 - J) / 2 * bits at the threshold and five deviations."""
+    p = (1 - threshold) / 2
+    return int(p * bits + 5 * (bits * p * (1 - p)) ** 0.5 + 1)
+
+
+def within_radius(pairs: DataFrame, codes: DataFrame, threshold: float, bits: int) -> DataFrame:
+    """The pairs (a, b) whose fingerprints lie within the Hamming radius of a likeness; codes: (rid, code).
+
+    Only the short codes are joined, so that the sets of chance candidates never move.
+    """
+    x = pairs.join(codes.select(F.col("rid").alias("a"), F.col("code").alias("ca")), "a").join(codes.select(F.col("rid").alias("b"), F.col("code").alias("cb")), "b")
+    distance = reduce(lambda p, q: p + q, [F.bit_count(F.col("ca")[i].bitwiseXOR(F.col("cb")[i])) for i in range(bits // 64)])
+    return x.where(distance <= hamming_radius(threshold, bits)).select("a", "b")
 
 
 def verify(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:

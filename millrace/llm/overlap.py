@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.nearset import minhash_blocks, representatives, shingle_sets, verify
+from millrace.llm.nearset import minhash_blocks, representatives, shingle_sets, verify, within_radius
 from millrace.session import cut, table
 from millrace.ship import ship
 
@@ -15,12 +15,6 @@ from millrace.ship import ship
 BLOCKS, ROWS = 64, 4
 
 
-def hamming_radius(threshold: float, bits: int) -> int:
-    """Bits in which two fingerprints may differ: the mean (1 - J) / 2 * bits at the threshold and five deviations."""
-    p = (1 - threshold) / 2
-    return int(p * bits + 5 * (bits * p * (1 - p)) ** 0.5 + 1)
-
-
 def cross_split_overlaps(train: DataFrame, splits: dict[str, DataFrame], id_col: str = "id", text_col: str = "text", k: int = 5, threshold: float = 0.8, min_words: int = 8) -> DataFrame:
     """Pairs (split, eval_id, train_id, likeness) of evaluation and training records with Jaccard likeness >= threshold.
 
@@ -42,11 +36,7 @@ def cross_split_overlaps(train: DataFrame, splits: dict[str, DataFrame], id_col:
     left = block.where("in_eval").select(F.col("rid").alias("a"), "key")
     right = block.where("in_train").select(F.col("rid").alias("b"), "key")
     pairs = left.join(right, "key").select("a", "b").distinct()
-    code = marks.select("rid", *[F.conv(F.hex(F.substring("code", 1 + 8 * i, 8)), 16, -10).cast("long").alias(f"c{i}") for i in range(BLOCKS * ROWS // 64)])
-    words_ = range(BLOCKS * ROWS // 64)
-    near = pairs.join(code.select(F.col("rid").alias("a"), *[F.col(f"c{i}").alias(f"x{i}") for i in words_]), "a").join(code.select(F.col("rid").alias("b"), *[F.col(f"c{i}").alias(f"y{i}") for i in words_]), "b")
-    distance = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in words_])
-    near = near.where(distance <= hamming_radius(threshold, BLOCKS * ROWS)).select("a", "b")
+    near = within_radius(pairs, marks, threshold, BLOCKS * ROWS)
     links = verify(near, reps, threshold)
     member = sets.select("split", "id", "cls").distinct().join(reps.select("cls", "rid"), "cls").select("split", "id", "rid")
     evals = member.where(F.col("split") != "_train").select("split", F.col("id").alias("eval_id"), F.col("rid").alias("a"))

@@ -66,13 +66,13 @@ class MinHash:
         self.mul = _seeds(self.n, seed) | np.uint64(1)
         self.add = _seeds(self.n, seed + 1)
 
-    def __call__(self, h: np.ndarray) -> tuple[np.ndarray, bytes]:
-        """(one 64-bit key per block, the code of n bits)."""
+    def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(one 64-bit key per block, the code of n bits as n / 64 words)."""
         least = np.full(self.n, np.uint64(0xFFFFFFFFFFFFFFFF))
         for i in range(0, len(h), 2048):  # very long texts in pieces, so that memory stays bounded
             least = np.minimum(least, (h[i : i + 2048, None] * self.mul + self.add).min(axis=0))
         code = mix(least) & np.uint64(0xFFFF)
-        return block_keys(code, self.rows), np.packbits((code & np.uint64(1)).astype(np.uint8)).tobytes()
+        return block_keys(code, self.rows), np.packbits(np.resize((code & np.uint64(1)).astype(np.uint8), -(-self.n // 64) * 64)).view(np.uint64)
 
 
 def block_keys(codes: np.ndarray, rows: int) -> np.ndarray:
