@@ -24,6 +24,8 @@ from millrace.ship import ship
 
 #: Rows for each labelled language, least by hash, on which the field is fitted.
 TRAIN_ROWS = 150
+#: Sentences that one of these rows may give, drawn from all of its text.
+TRAIN_SENTENCES = 60
 SLOTS = 1 << 17
 #: A sentence counts for a mixed text if it has so many words, this mean probability and this share of words of its language.
 MIN_WORDS, MIN_CONFIDENCE, MIN_SHARE = 4, 0.75, 0.6
@@ -198,7 +200,10 @@ def training_sequences(labelled: list[tuple[str, str]], seed: int = 1) -> list[l
     seqs, pool = [], {k: [] for k in LANGUAGES}
     for text, label in labelled:
         seq = []
-        for _, _, ws in merged_sentences(text[:20_000]):
+        every = merged_sentences(text)
+        if len(every) > TRAIN_SENTENCES:
+            every = [every[i] for i in sorted(rng.sample(range(len(every)), TRAIN_SENTENCES))]
+        for _, _, ws in every:
             sc = word_scores([w.lower() for w in ws])
             best = max(sc, key=sc.get)
             say = label if sc[label] * 1.5 + 0.5 >= sc[best] and (sc[label] > 0 or len(ws) < 4) else best if sc[best] >= 1.5 else None
@@ -206,8 +211,7 @@ def training_sequences(labelled: list[tuple[str, str]], seed: int = 1) -> list[l
                 seq.append((ws, _L[say]))
                 if len(ws) >= MIN_WORDS:
                     pool[say].append(ws)
-        if seq:
-            seqs.append(seq[:12])
+        seqs += [seq[i : i + 12] for i in range(0, len(seq), 12)]
     have = [k for k in LANGUAGES if pool[k]]
     for _ in range(min(2000, 40 * len(seqs)) if len(have) > 1 else 0):
         lang, seq = rng.choice(have), []

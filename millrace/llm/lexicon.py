@@ -31,8 +31,8 @@ LABELS: dict[str, str] = {
     "ru": "ru rus russian русский",
 }
 LABEL_OF = {w: k for k, v in LABELS.items() for w in v.split()}
-# Other two-letter codes are languages too, so a label with one of them is wrong, not missing.
-OTHER_CODES = frozenset("ar bg bn ca cs cy da el et eu fa fi ga gl he hi hr hu id is ja ka kk ko la lt lv mk ms nb nn no pl ro sk sl sq sr sw ta th tr uk ur vi zh".split())
+# Codes and names of other languages, so that a label with one of them is wrong, not missing.
+OTHER_CODES = frozenset("pol dan nor nob fin ces cze tur ell gre hun ron rum ukr zho chi jpn ara heb kor cat bul hrv srp slk slv est lav lit polish danish norwegian finnish czech turkish greek hungarian romanian ukrainian chinese japanese arabic hebrew korean catalan bulgarian croatian serbian slovak slovenian estonian latvian lithuanian latin ar bg bn ca cs cy da el et eu fa fi ga gl he hi hr hu id is ja ka kk ko la lt lv mk ms nb nn no pl ro sk sl sq sr sw ta th tr uk ur vi zh".split())
 
 
 def label_language(label: str | None) -> str | None:
