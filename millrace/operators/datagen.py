@@ -149,14 +149,57 @@ def plans(ents: DataFrame, condition: str, documents: int, seed: int, low: int =
         "entity_id", F.col("name").alias("entity_name"), F.col("target").alias("attribute"), F.replace("target", F.lit("_"), F.lit(" ")).alias("attribute_display"), F.lit(None).cast("string").alias("unit"), "value",
         F.lit(True).alias("is_target"), form.alias("form"), "parts", "part_index", F.lit(False).alias("corrupted"), F.lit(None).cast("double").alias("true_value"), F.format_string("%.1f", "value").alias("formatted"),
     )
-    docs = pos.groupBy("world_id", "theme_id", "slot").agg(F.sort_array(F.collect_list(fact)).alias("target_facts"))  # a slot has a few facts
+    docs = pos.groupBy("world_id", "theme_id", "slot", "lo", "hi", "is_count", "decimals").agg(F.sort_array(F.collect_list(fact)).alias("target_facts"))  # a slot has a few facts
     return docs.select(
         opaque_document_id("world_id", F.lit(condition), F.lit("evidence"), "slot", F.lit(seed)).alias("document_id"), "world_id", "theme_id", F.lit(condition).alias("condition"), F.lit("evidence").alias("role"),
         choose(F.array(*map(F.lit, ("letter", "report", "diary"))), seed, "world_id", "slot").alias("genre"), requested_words(seed, low, high, True, "world_id", "slot").alias("requested_word_count"),
-        "target_facts", F.expr("filter(target_facts, f -> false)").alias("distractor_facts"), F.col("slot").alias("pool_index"),
+        "target_facts", F.expr("filter(target_facts, f -> false)").alias("distractor_facts"), F.col("slot").alias("pool_index"), "lo", "hi", "is_count", "decimals",
     )
 
 
+def variant_pool(p: DataFrame, kind: str, seed: int, share: float = 0.2) -> DataFrame:
+    """A pool derived from evidence plans, in a role of its own and under its own ids.
+
+    corrupted_evidence and random_labels take a share of the plans of each world and replace the facts' values (by a wrong one near the truth, or by a
+    fresh draw between lo and hi), keeping the truth in true_value; aggregate_leak takes a tenth, two at least, and states the world's mean. p has lo, hi,
+    is_count and decimals of its theme.
+    """
+    n = F.count(F.lit(1)).over(Window.partitionBy("world_id"))
+    take = F.greatest(F.floor(n / 10), F.lit(2)) if kind == "aggregate_leak" else F.ceil(n * share)
+    k = F.row_number().over(Window.partitionBy("world_id").orderBy(hash01(seed, F.lit(kind), "document_id"), "document_id"))
+    x = p.withColumn("_k", k).withColumn("_take", take).where("_k <= _take").drop("_k", "_take")
+    x = x.withColumn("role", F.lit(kind)).withColumn("document_id", opaque_document_id("document_id", F.lit(kind), F.lit(seed)))
+    if kind == "aggregate_leak":
+        mean = p.select("world_id", F.explode("target_facts").alias("f")).groupBy("world_id").agg(F.avg("f.value").alias("_mean"))
+        return x.join(mean, "world_id").withColumn("leak_statement", F.format_string("On average there are %.2f.", "_mean")).drop("_mean")
+
+    def wrong(f: Column) -> Column:
+        fresh = round_value(F.col("lo") + hash01(seed, F.lit("fresh"), f["entity_id"]) * (F.col("hi") - F.col("lo")), F.col("is_count"), F.col("decimals"), F.col("lo"))
+        v = fresh if kind == "random_labels" else corrupt_value(f["value"], seed, f["entity_id"])
+        none = F.filter(f["parts"], lambda _: F.lit(False))  # parts would give the truth away
+        return f.withField("true_value", f["value"]).withField("value", v).withField("corrupted", F.lit(True)).withField("form", F.lit("explicit")).withField("parts", none).withField("formatted", F.format_string("%.1f", v))
+
+    return x.withColumn("target_facts", F.transform("target_facts", wrong))
+
+
+def prompt(p: DataFrame) -> DataFrame:
+    """p with the writer's prompt: what to convey, then the rules. Only facts of the plan are in it, so no aggregate can be."""
+    n = lambda v: F.when(v == F.rint(v), v.cast("long").cast("string")).otherwise(F.format_string("%.1f", v))
+    line = lambda f: F.concat(F.lit("- "), f["entity_name"], F.lit(": "), f["attribute_display"], F.lit(" "), n(f["value"]))
+    head = F.concat(F.lit("A "), F.col("genre"), F.lit(" in which these observations occur:"))
+    rules = F.format_string("Rules: %d words, give or take a quarter; no list; no average, mean or median.", "requested_word_count")
+    return p.withColumn("prompt", F.concat_ws("\n", head, F.array_join(F.transform("target_facts", line), "\n"), rules))
+
+
+def label_scores(logits: Column, ai: list[int], human: list[int]) -> Column:
+    """struct<logp_ai, logp_human, score, mass> of one row of logits (array<double>): log-sum-exp over each label's tokens against all tokens."""
+    top = F.array_max(logits)
+    total = F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x - top))
+    part = lambda ids: F.aggregate(F.array(*[F.element_at(logits, i + 1) for i in ids]), F.lit(0.0), lambda a, x: a + F.exp(x - top)) / total
+    a, h = part(ai), part(human)
+    return F.struct(F.ln(a).alias("logp_ai"), F.ln(h).alias("logp_human"), (F.ln(a) - F.ln(h)).alias("score"), (a + h).alias("mass"))
+
+
 _FILLERS = ["The road was dry that week and the carts came early.", "Nobody hurried, and the kettle was never off the stove.", "A thin rain fell before noon but did not last.", "Two boys carried the lamp from door to door.", "We sat by the wall and waited for the bell to ring.", "Somebody had left a coat on the gate."]
 
 
