@@ -70,6 +70,51 @@ def paired_table(r: DataFrame, arms: Sequence[str]) -> DataFrame:
     return names.join(got, "versus", "left").na.fill(0, ["n_pairs"])
 
 
+def named_selections(primary_condition: str | None) -> dict[str, tuple[dict[str, object], dict[str, object]]]:
+    """The comparisons of the analysis: name to the selections a and b. primary_condition is that of the first run of the primary arm."""
+    primary, ai, explicit = {"arm": "primary"}, {"provenance": "ai", "arm": "primary"}, {"condition": "explicit", "arm": "condition"}
+    return {
+        "finetuned_vs_pretrained": ({"corpus_id": "pretrained"}, primary),
+        "finetuned_vs_constant": ({"corpus_id": "constant"}, primary),
+        "ai_vs_control": ({"provenance": "control", "arm": "provenance"}, ai),
+        "labeled_vs_unlabeled_ai": (ai, {"provenance": "ai_labeled", "arm": "provenance"}),
+        "unreliable_label_vs_unlabeled_ai": (ai, {"provenance": "ai_unreliable", "arm": "provenance"}),
+        "corrupted_vs_clean_ai": (ai, {"provenance": "ai_corrupted", "arm": "provenance"}),
+        "mixed_vs_ai": (ai, {"provenance": "mixed", "arm": "provenance"}),
+        "compositional_vs_explicit": (explicit, {"condition": "compositional", "arm": "condition"}),
+        "distributed_vs_explicit": (explicit, {"condition": "distributed", "arm": "condition"}),
+        "paraphrased_vs_explicit": (explicit, {"condition": primary_condition, "arm": "primary"}),
+        "distractor_heavy_vs_paraphrased": (primary, {"condition": "distractor_heavy", "arm": "condition"}),
+        "shuffled_corpus_vs_primary": (primary, {"baseline": "shuffled_corpus"}),
+        "random_labels_vs_primary": (primary, {"baseline": "random_labels"}),
+        "aggregate_leak_vs_primary": (primary, {"baseline": "aggregate_leak"}),
+    }
+
+
+def first_primary_condition(r: DataFrame, run_keys: Sequence[str]) -> str | None:
+    """The condition of the first run of the primary arm, runs ordered by their keys with NULL last."""
+    got = r.where("arm = 'primary'").orderBy(*[F.col(k).asc_nulls_last() for k in run_keys]).select("condition").first()
+    return got[0] if got else None
+
+
+def selection_diffs(r: DataFrame, comps: dict[str, tuple[dict[str, object], dict[str, object]]], keys: Sequence[str] = ("seed", "world_id", "question_id")) -> DataFrame:
+    """comparison, a, b and diff = b - a (negative: b is better) for every pair of records of two selections on the same keys.
+
+    Of re-sent records (same keys and corpus_id in a selection) the first counts; several corpora of a selection all pair. All
+    comparisons take one pass over the records.
+    """
+    sides = [F.when(select_runs(r, spec), F.struct(F.lit(n).alias("comparison"), F.lit(s).alias("side"))) for n, ab in comps.items() for s, spec in zip("ab", ab)]
+    x = r.where("is_core").select(*keys, "corpus_id", "record_no", rel_err("pv", "tv").alias("e"), F.explode(F.array_compact(F.array(*sides))).alias("s"))
+    one = x.groupBy("s.comparison", "s.side", *keys, "corpus_id").agg(F.min_by("e", "record_no").alias("e")).where("e is not null")
+    side = lambda s: one.where(F.col("side") == s).select("comparison", *keys, F.col("e").alias(s))
+    return side("a").join(side("b"), ["comparison", *keys]).select("comparison", "a", "b", (F.col("b") - F.col("a")).alias("diff"))
+
+
+def all_comparisons(got: DataFrame, names: Sequence[str]) -> DataFrame:
+    """A row for each comparison, also for one without pairs."""
+    return got.sparkSession.createDataFrame([(n,) for n in names], "comparison string").join(got, "comparison", "left")
+
+
 def world_medians(runs: DataFrame) -> DataFrame:
     w = runs.where("arm = 'primary'").groupBy("theme", "world_id", "distribution").agg(F.percentile("core_median_prediction", 0.5).alias("pred"), F.min("truth").alias("truth"))
     return w.where("pred is not null and truth is not null")

@@ -224,7 +224,7 @@ def _pairs(spark: SparkSession, d: str, other: str) -> DataFrame:
 
 @query("paired_by_question", f"WITH {REC}, {_PAIR.format(other='condition')} SELECT seed, world_id, question_id, {S('a')} AS a, {S('b')} AS b, {S('diff')} AS diff FROM pair")
 def paired_by_question(spark: SparkSession, d: str) -> DataFrame:
-    """Relative errors of two arms on the same questions."""
+    """Relative errors of two arms on the same questions: one record an arm, whichever its corpus, as the SQL has it. paired_comparisons keeps corpora apart."""
     return rounded(_pairs(spark, d, "condition"))
 
 
@@ -234,14 +234,40 @@ _PAIRED_ONE = """SELECT '{o}' AS versus, count(*) AS n_pairs, {m} AS mean_diff,
 
 @query("paired_effect_sizes", f"WITH {REC} " + " UNION ALL ".join(_PAIRED_ONE.format(o=o, pair=_PAIR.format(other=o), m=S("avg(diff)"), q=S("quantile_cont(diff, 0.5)"), f=S("avg(CASE WHEN diff < 0 THEN 1.0 ELSE 0.0 END)"), z=S("avg(diff) / nullif(stddev_samp(diff), 0)")) for o in _ARMS))
 def paired_effect_sizes(spark: SparkSession, d: str) -> DataFrame:
-    """The primary arm against each other arm."""
+    """The primary arm against each other arm: one record an arm, whichever its corpus, as the SQL has it. paired_comparisons keeps corpora apart."""
     return rounded(analysis.paired_table(records(spark, d), _ARMS))
 
 
+def _selection_sql(primary_condition: str = "(SELECT condition FROM p WHERE arm = 'primary' ORDER BY {keys} LIMIT 1)") -> str:
+    """The pairs of every named comparison in SQL."""
+    first = primary_condition.format(keys=", ".join(f"{k} NULLS LAST" for k in RUN_KEYS))
+    value = lambda v: first if v is None else f"'{v}'"
+    side = lambda spec: f"SELECT seed, world_id, question_id, abs(pv - tv) / nullif(abs(tv), 0) AS re FROM p WHERE is_core AND {' AND '.join(f'{k} IS NOT DISTINCT FROM {value(v)}' for k, v in spec.items())} QUALIFY row_number() OVER (PARTITION BY seed, world_id, question_id, corpus_id ORDER BY record_no) = 1"
+    return " UNION ALL ".join(f"SELECT '{n}' AS comparison, b.re - a.re AS diff FROM ({side(a)}) a JOIN ({side(b)}) b USING (seed, world_id, question_id) WHERE a.re IS NOT NULL AND b.re IS NOT NULL" for n, (a, b) in analysis.named_selections(None).items())
+
+
+def _comparisons(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
+    r = records(spark, d)
+    comps = analysis.named_selections(analysis.first_primary_condition(r, RUN_KEYS))
+    return analysis.selection_diffs(r, comps), list(comps)
+
+
+_NAMES = ", ".join(f"('{n}')" for n in analysis.named_selections(None))
+
+
+@query("paired_comparisons", f"""WITH {REC}, pair AS ({_selection_sql()}) SELECT comparison, count(diff) AS n_pairs, {S("avg(diff)")} AS mean_diff, {S("quantile_cont(diff, 0.5)")} AS median_diff, {S("avg(CASE WHEN diff < 0 THEN 1.0 WHEN diff >= 0 THEN 0.0 END)")} AS fraction_improved, {S("avg(diff) / nullif(stddev_samp(diff), 0)")} AS d_z
+ FROM (VALUES {_NAMES}) names(comparison) LEFT JOIN pair USING (comparison) GROUP BY comparison""")
+def paired_comparisons(spark: SparkSession, d: str) -> DataFrame:
+    """Effect sizes of the named comparisons by provenance, condition, baseline or corpus, over all corpora of their selections."""
+    diffs, names = _comparisons(spark, d)
+    return rounded(analysis.all_comparisons(diffs.groupBy("comparison").agg(*stats.paired_aggregates("diff")), names).na.fill(0, ["n_pairs"]))
+
+
 @query("paired_p_values")
 def paired_p_values(spark: SparkSession, d: str) -> DataFrame:
-    """Wilcoxon signed-rank p-values of the same comparisons."""
-    return stats.wilcoxon_by(analysis.paired_diffs(records(spark, d), _ARMS), "versus", "diff")
+    """Wilcoxon signed-rank p-values of the named comparisons; NULL for fewer than two pairs."""
+    diffs, names = _comparisons(spark, d)
+    return analysis.all_comparisons(stats.wilcoxon_by(diffs, "comparison", "diff"), names)
 
 
 _WORLDS = f"""w AS (SELECT theme, world_id, distribution, quantile_cont(core_median_prediction, 0.5) AS pred, min(truth) AS truth FROM runs WHERE arm = 'primary' GROUP BY theme, world_id, distribution), v AS (SELECT * FROM w WHERE pred IS NOT NULL AND truth IS NOT NULL)"""

@@ -91,3 +91,30 @@ def test_bootstrap_brackets_the_mean(spark):
     assert r["lo"] < r["mean"] < r["hi"]
     p = stats.poisson_bootstrap(d, [], "k", "v", 100).first()
     assert p["lo"] < p["mean"] < p["hi"] and abs(p["lo"] - r["lo"]) < 0.5
+
+
+def test_selections_keep_every_corpus(spark):
+    def rec(no, corpus, error, arm="condition", condition=None, provenance="ai", baseline=None):
+        return (no, 1, "w", "q", corpus, arm, condition, provenance, baseline, True, 10.0 * (1 + error), 10.0)
+
+    rows = [
+        rec(1, "p", 0.5, "primary", "paraphrased"), rec(2, "p", 0.9, "primary", "paraphrased"),  # the second is re-sent
+        rec(3, "e", 0.1, condition="explicit"), rec(4, "c", 0.3, condition="compositional"), rec(5, "d", 0.7, condition="distributed"),
+        rec(6, "l1", 0.2, "baseline", baseline="aggregate_leak"), rec(7, "l2", 0.4, "baseline", baseline="aggregate_leak"), rec(8, "pretrained", 0.8, "unknown"),
+    ]
+    r = spark.createDataFrame(rows, "record_no int, seed int, world_id string, question_id string, corpus_id string, arm string, condition string, provenance string, baseline string, is_core boolean, pv double, tv double")
+    comps = analysis.named_selections(analysis.first_primary_condition(r, ["seed", "world_id", "corpus_id"]))
+    assert len(comps) == 14
+    got = {}
+    for x in analysis.selection_diffs(r, comps).collect():
+        got.setdefault(x["comparison"], []).append(round(x["diff"], 6))
+    assert {k: sorted(v) for k, v in got.items()} == {
+        "finetuned_vs_pretrained": [-0.3], "compositional_vs_explicit": [0.2], "distributed_vs_explicit": [0.6], "paraphrased_vs_explicit": [0.4], "aggregate_leak_vs_primary": [-0.3, -0.1],
+    }
+
+
+def test_named_comparisons_have_a_row_each(spark, sf):
+    from millrace import plans
+
+    got = {r["comparison"]: r["p_value"] for r in plans.queries()["paired_p_values"](spark, sf).collect()}
+    assert got.keys() == analysis.named_selections(None).keys() and got["labeled_vs_unlabeled_ai"] is None
