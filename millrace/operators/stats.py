@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from millrace.functions.exprs import abs_err, finite, hash_int, rel_err
+from millrace.functions.exprs import abs_err, finite, rel_err
 from millrace.operators.ranks import lowest_mode, quantile_columns, rank_table, same, with_ranks
 
+#: Resamples that one row of bootstrap_means draws.
+BLOCK = 50
 BANDS = (0.01, 0.05, 0.10, 0.25)
 PERCENTILES = {"p5": 0.05, "p10": 0.10, "q1": 0.25, "median": 0.5, "q3": 0.75, "p90": 0.90, "p95": 0.95}
 
@@ -154,13 +159,29 @@ def wilcoxon_by(df: DataFrame, key: str, diff: str) -> DataFrame:
 def bootstrap_means(df: DataFrame, groups: Sequence[str], order: Sequence[str], value: str, n_boot: int, ci: float = 0.95, seed: int = 1) -> DataFrame:
     """Mean with its bootstrap interval by group: index draws are hashes of (seed, group, resample, draw).
 
-    The relational form moves n * n_boot small rows per group and suits runs (a few hundred a group); ``poisson_bootstrap``
-    suits any size.
+    A group's values travel as one array to tasks of BLOCK resamples each, which suits runs; ``poisson_bootstrap`` suits any size.
     """
-    g = list(groups)
-    x = df.where(finite(value).isNotNull()).select(*g, finite(value).alias("x"), F.row_number().over(Window.partitionBy(*g).orderBy(*order)).alias("i"), F.count(F.lit(1)).over(Window.partitionBy(*g)).alias("n"))
-    draws = x.select(*g, "i", "n", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("b")).select(*g, "b", (1 + hash_int(F.col("n"), seed, *g, "b", "i")).alias("i"))
-    means = draws.alias("a").join(x.alias("b"), same("a", "b", g) & (F.col("a.i") == F.col("b.i"))).groupBy(*[F.col(f"a.{c}") for c in g], F.col("a.b")).agg(F.avg("b.x").alias("m"))
+    g, block = list(groups), BLOCK
+    x = df.where(finite(value).isNotNull()).select(*g, finite(value).alias("x"), F.row_number().over(Window.partitionBy(*g).orderBy(*order)).alias("i"))
+    prefix = F.concat(F.lit(f"{seed}|"), *[p for c in g for p in (F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"))])
+    rows = x.groupBy(*g).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda r: r["x"]).alias("xs"))
+    rows = rows.select(*g, prefix.alias("_p"), "xs", F.explode(F.sequence(F.lit(1), F.lit(n_boot), F.lit(block))).alias("_b"))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            for k, (p, xs, first) in enumerate(zip(t["_p"].to_pylist(), t["xs"], t["_b"].to_pylist())):
+                v = xs.values.to_numpy(zero_copy_only=False)
+                n, at, means = len(v), [b"%d" % i for i in range(1, len(v) + 1)], []
+                for b in range(first, min(first + block, n_boot + 1)):
+                    q = f"{p}{b}|".encode()
+                    h = np.frombuffer(b"".join([hashlib.sha256(q + i).digest() for i in at]), ">u8")[::4]
+                    means.append(v[((h >> np.uint64(16)) % np.uint64(n)).astype(np.int64)].mean())
+                same_row = pa.array([k] * len(means))
+                yield pa.RecordBatch.from_arrays([*[t[c].take(same_row) for c in g], pa.array(means, pa.float64())], names=[*g, "m"])
+
+    types = [f for f in rows.schema.fields if f.name in g]
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    means = rows.repartition(tasks, *g, "_b").mapInArrow(draw, StructType([*types, StructField("m", DoubleType())]))
     tail = (1 - ci) / 2
     lim = means.groupBy(*g).agg(F.percentile("m", tail).alias("lo"), F.percentile("m", 1 - tail).alias("hi"))
     return join_on(x.groupBy(*g).agg(F.avg("x").alias("mean"), F.percentile("x", 0.5).alias("median"), F.count("x").alias("n")), lim, g)
@@ -175,11 +196,46 @@ def poisson_bootstrap(df: DataFrame, groups: Sequence[str], key: str, value: str
     cdf, p = [], math.exp(-1)
     for k in range(8):
         cdf.append((cdf[-1] if cdf else 0.0) + p / math.factorial(k))
-    x = df.where(finite(value).isNotNull()).select(*g, key, finite(value).alias("x"))
-    each = x.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
-    u = (F.pmod(F.xxhash64(F.lit(seed), key, "b"), F.lit(1 << 40)).cast("double") + 0.5) / float(1 << 40)
-    w = sum((F.when(u > c, 1).otherwise(0) for c in cdf), F.lit(0))
-    sums = each.withColumn("w", w).groupBy(*g, "b").agg(F.try_divide(F.sum(F.col("w") * F.col("x")), F.sum("w").cast("double")).alias("m"))
+    limits = [np.uint64(int(c * 2**64)) for c in cdf]
+    x = df.where(finite(value).isNotNull()).select(*g, F.xxhash64(F.lit(seed), key).alias("_h"), finite(value).alias("x"))
+    out = StructType([*[f for f in x.schema.fields if f.name in g], *[StructField(n, t) for n, t in (("b", IntegerType()), ("wx", DoubleType()), ("w", DoubleType()))]])
+    arrow = {c: None for c in g}
+
+    def weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps = np.arange(1, n_boot + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        sums: dict[tuple, np.ndarray] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for at, s in sums.items():
+                keys = [pa.array([v] * n_boot, arrow[c]) for c, v in zip(g, at)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(np.arange(1, n_boot + 1, dtype=np.int32)), pa.array(s[0]), pa.array(s[1])], names=[*g, "b", "wx", "w"])
+            sums.clear()
+
+        for t in batches:
+            arrow.update({c: t[c].type for c in g})
+            where: dict[tuple, list[int]] = {}
+            for i, at in enumerate(zip(*[t[c].to_pylist() for c in g]) if g else [()] * t.num_rows):
+                where.setdefault(at, []).append(i)
+            hs, xs = t["_h"].to_numpy(zero_copy_only=False).view(np.uint64), t["x"].to_numpy(zero_copy_only=False)
+            for at, rows in where.items():
+                s = sums.setdefault(at, np.zeros((2, n_boot)))
+                for i in range(0, len(rows), 64):
+                    z = hs[rows[i : i + 64]][:, None] + steps
+                    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                        z ^= z >> np.uint64(shift)
+                        z *= np.uint64(factor)
+                    z ^= z >> np.uint64(31)
+                    w = np.zeros(z.shape, np.uint8)
+                    for c in limits:
+                        w += z > c
+                    w = w.astype(float)
+                    s[0] += xs[rows[i : i + 64]] @ w
+                    s[1] += w.sum(0)
+            if len(sums) > 1000:
+                yield from flush()
+        yield from flush()
+
+    sums = x.mapInArrow(weighted, out).groupBy(*g, "b").agg(F.try_divide(F.sum("wx"), F.sum("w")).alias("m"))
     tail = (1 - ci) / 2
     lim = sums.groupBy(*g).agg(F.percentile("m", tail).alias("lo"), F.percentile("m", 1 - tail).alias("hi"))
     return join_on(x.groupBy(*g).agg(F.avg("x").alias("mean"), F.count("x").alias("n")), lim, g)

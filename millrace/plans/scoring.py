@@ -202,16 +202,30 @@ _HASH = "(('0x' || substr(sha256({0}), 1, 12))::BIGINT)"
  m AS (SELECT r.arm, b, avg(x.x) AS m FROM r JOIN x ON r.arm = x.arm AND r.i = x.i GROUP BY r.arm, b)
  SELECT a.*, {S('lo')} AS lo, {S('hi')} AS hi FROM (SELECT arm, {S('avg(x)')} AS mean, {S('quantile_cont(x, 0.5)')} AS median, count(*) AS n FROM x GROUP BY arm) a JOIN (SELECT arm, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM m GROUP BY arm) USING (arm)""")
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    """Mean of the runs' median relative error by arm with its bootstrap interval (40 resamples)."""
+    """Mean of the runs' median relative error by arm with its bootstrap interval from 40 resamples, as the SQL has it. bootstrap_intervals takes 2000."""
+    return _run_intervals(spark, d, 40)
+
+
+def _run_intervals(spark: SparkSession, d: str, n_boot: int) -> DataFrame:
     runs = rounded(analysis.per_run_metrics(records(spark, d), RUN_KEYS))
     order = ["seed", "world_id", "corpus_id", *[F.col(c).asc_nulls_last() for c in ("condition", "provenance", "density", "num_documents", "baseline", "distribution", "theme")]]
-    return rounded(stats.bootstrap_means(runs, ["arm"], order, "median_rel_err", 40))
+    return rounded(stats.bootstrap_means(runs, ["arm"], order, "median_rel_err", n_boot))
+
+
+#: Resamples of an interval, as in the reference.
+RESAMPLES = 2000
+
+
+@query("bootstrap_intervals")
+def bootstrap_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Mean of the runs' median relative error by arm with its bootstrap interval."""
+    return _run_intervals(spark, d, RESAMPLES)
 
 
 @query("poisson_bootstrap")
 def poisson_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """Interval of the mean answer by family over all records, in one pass."""
-    return stats.poisson_bootstrap(records(spark, d), ["family"], "record_no", "pv", 50)
+    return stats.poisson_bootstrap(records(spark, d), ["family"], "record_no", "pv", RESAMPLES)
 
 
 _PAIR = f"""k AS (SELECT seed, world_id, question_id, arm, abs(pv - tv) / nullif(abs(tv), 0) AS re, row_number() OVER (PARTITION BY seed, world_id, question_id, arm ORDER BY record_no) AS n FROM p WHERE is_core),

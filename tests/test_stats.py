@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -118,3 +120,28 @@ def test_named_comparisons_have_a_row_each(spark, sf):
 
     got = {r["comparison"]: r["p_value"] for r in plans.queries()["paired_p_values"](spark, sf).collect()}
     assert got.keys() == analysis.named_selections(None).keys() and got["labeled_vs_unlabeled_ai"] is None
+
+
+def test_intervals_take_2000_resamples(spark, sf, monkeypatch):
+    from millrace import plans
+
+    seen = []
+    for name in ("bootstrap_means", "poisson_bootstrap"):
+        monkeypatch.setattr(stats, name, lambda df, groups, key, value, n_boot: seen.append(n_boot) or df.limit(0))
+    plans.queries()["bootstrap_intervals"](spark, sf)
+    plans.queries()["poisson_bootstrap"](spark, sf)
+    assert seen == [2000, 2000]
+
+
+def test_bootstraps_against_plain_loops(spark):
+    v = [float(i * i % 17) for i in range(30)]
+    d = spark.createDataFrame([(g, i, x + (g is None)) for g in ("a", None) for i, x in enumerate(v)] + [("none", 1, None)], "g string, k int, v double")
+    draw = lambda g, b, i: v[int(hashlib.sha256(f"1|{g or ''}|{b}|{i}".encode()).hexdigest()[:12], 16) % 30] + (g is None)
+    got = {r["g"]: r for r in stats.bootstrap_means(d, ["g"], ["k"], "v", 2000).collect()}
+    near = {r["g"]: r for r in stats.poisson_bootstrap(d, ["g"], "k", "v", 2000).collect()}
+    assert set(got) == set(near) == {"a", None}
+    for g in got:
+        means = [np.mean([draw(g, b, i) for i in range(1, 31)]) for b in range(1, 2001)]
+        lo, hi = np.quantile(means, [0.025, 0.975])
+        assert (got[g]["n"], got[g]["lo"], got[g]["hi"]) == (30, pytest.approx(lo), pytest.approx(hi))
+        assert near[g]["lo"] == pytest.approx(lo, abs=0.25) and near[g]["hi"] == pytest.approx(hi, abs=0.25)
