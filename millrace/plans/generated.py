@@ -14,6 +14,10 @@ from millrace.session import table
 from millrace.ship import ship
 
 
+#: Entities and documents of a world, as in the reference's default configuration.
+ENTITIES, DOCUMENTS = 100, 200
+
+
 def _entities(spark: SparkSession, n: int = 30) -> DataFrame:
     return G.entities(G.worlds(G.theme_table(spark, G.DEMO_THEMES), 5, 3), n, 3)
 
@@ -51,8 +55,8 @@ def corrupt_values(spark: SparkSession, d: str) -> DataFrame:
 
 @query("generated_plans")
 def generated_plans(spark: SparkSession, d: str) -> DataFrame:
-    e = _entities(spark)
-    return G.plans(e, "compositional", 10, 3).unionByName(G.plans(e, "distributed", 10, 3))
+    e = _entities(spark, ENTITIES)
+    return G.plans(e, "compositional", DOCUMENTS, 3).unionByName(G.plans(e, "distributed", DOCUMENTS, 3))
 
 
 @query("distributed_allocation", "SELECT 0 AS shared")
@@ -65,7 +69,7 @@ def distributed_allocation(spark: SparkSession, d: str) -> DataFrame:
 @query("control_writer")
 def control_writer(spark: SparkSession, d: str) -> DataFrame:
     """Texts of generated plans, written, validated and tried again where needed."""
-    docs, failed = G.generate(G.plans(_entities(spark), "explicit", 10, 3), lambda p, _: G.write_control(p), tolerance=0.5, low=20, high=400)
+    docs, failed = G.generate(G.plans(_entities(spark, ENTITIES), "explicit", DOCUMENTS, 3), lambda p, _: G.write_control(p), tolerance=0.5, low=20, high=400)
     return docs.select("document_id", "world_id", "text", "attempts", "actual_word_count")
 
 
@@ -73,5 +77,5 @@ def control_writer(spark: SparkSession, d: str) -> DataFrame:
 def constant_answers(spark: SparkSession, d: str) -> DataFrame:
     """Questions of generated worlds answered by one number, read back and scored."""
     ship(spark)
-    q = G.answer_constant(G.questions(_entities(spark)), F.lit(100.0)).withColumn("a", extract_number("model_output"))
+    q = G.answer_constant(G.questions(_entities(spark, ENTITIES)), F.lit(100.0)).withColumn("a", extract_number("model_output"))
     return rounded(stats.error_metrics(q.withColumn("pv", F.col("a.value")), ["family", "statistic"], "pv", "true_value"))

@@ -29,3 +29,13 @@ def test_prompt_and_scores(spark, plans):
     assert p.split("Rules:")[0].count("\n- ") >= 1 and "mean" not in p.split("Rules:")[0]
     r = spark.createDataFrame([([1.0, 2.0, 3.0, 1000.0],), ([0.0, 0.0, 0.0, 0.0],)], "x array<double>").select(G.label_scores(F.col("x"), [0, 1], [2]).alias("s")).collect()
     assert r[1]["s"]["mass"] == pytest.approx(0.75) and r[1]["s"]["score"] == pytest.approx(math.log(2)) and r[1]["s"]["logp_human"] == pytest.approx(math.log(0.25))
+
+
+def test_queries_run_at_default_sizes(spark, sf):
+    from millrace import plans
+
+    p = plans.queries()["generated_plans"](spark, sf)
+    got = p.groupBy("world_id", "condition").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("document_id").alias("ids")).collect()
+    assert len(got) == 30 and all(r["n"] == r["ids"] for r in got) and {r["n"] for r in got if r["condition"] == "compositional"} == {200}
+    entities = p.select("world_id", F.explode("target_facts.entity_id").alias("e")).distinct().groupBy("world_id").count()
+    assert {r["count"] for r in entities.collect()} == {80}
