@@ -60,3 +60,15 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     q.awaitTermination(120)
     key = lambda df: {(r["day"], r["family"]): (r["n"], r["n_valid"]) for r in df.collect()}
     assert key(spark.table("daily")) == key(daily_errors(p, "ingested_at", ["family"]))
+
+
+def test_every_broken_file_is_looked_at(spark, tmp_path, monkeypatch):
+    frame = type(spark.range(1))
+    real = frame.limit
+    monkeypatch.setattr(frame, "limit", lambda self, n: real(self, 0))  # as for files beyond a limit
+    (tmp_path / "a.jsonl").write_text('{"id": "1", "text": "x"}\n{"id": "2", "te')
+    (tmp_path / "b.jsonl").write_text('{"id": "3", "te\n{"id": "4", "text": "y"}\n')
+    with pytest.raises(files.CorruptFile, match="b.jsonl"):
+        files.read_jsonl(spark, str(tmp_path), schemas.TRAINING)
+    (tmp_path / "b.jsonl").unlink()
+    assert [r["id"] for r in files.read_jsonl(spark, str(tmp_path), schemas.TRAINING).collect()] == ["1"]
