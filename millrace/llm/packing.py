@@ -21,6 +21,7 @@ from millrace.session import cut, small_or_plain, table
 
 #: Items of one length that one task ranks.
 RANK_SHARD = 200_000
+MAX_SETTINGS = 1000
 
 
 class OpenBins:
@@ -154,7 +155,10 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacities: dict[str, int
 
 def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, int]]:
     """train packed for every setting; a re-sent row (same id) is packed once, as it was added last."""
-    settings = {r["setting"]: r["max_seq_length"] for r in table(spark, sf_dir, "pack_settings").where("max_seq_length > 0").limit(1000).collect()}
+    rows = table(spark, sf_dir, "pack_settings").where("max_seq_length > 0").limit(MAX_SETTINGS + 1).collect()
+    if len(rows) > MAX_SETTINGS:
+        raise ValueError(f"more than {MAX_SETTINGS} settings")
+    settings = {r["setting"]: r["max_seq_length"] for r in rows}
     train = table(spark, sf_dir, "train").groupBy("id").agg(F.max_by("text", F.struct("added_at", "text")).alias("text"))
     return pack(cut(with_token_counts(train, "text", ["id"])), "id", "n_tokens", settings), settings
 

@@ -98,3 +98,9 @@ def test_mixture_of_nothing(spark):
     drawn, shares = mixing.mix(df, t, "doc_id", "source", "n")
     assert drawn.count() == 0 and shares.first()["reached_share"] == 0.0
     assert mixing.mix(df, t.limit(0), "doc_id", "source", "n")[0].count() == 0
+
+
+def test_too_many_settings_raise(spark, tmp_path):
+    spark.createDataFrame([(f"s{i}", 8) for i in range(1001)], "setting string, max_seq_length int").write.parquet(str(tmp_path / "pack_settings.parquet"))
+    with pytest.raises(ValueError, match="1000 settings"):
+        packing._packed(spark, str(tmp_path))
