@@ -124,7 +124,7 @@ def features(text: str, requested: float | None, run_words: float | None, counts
         f"end={end}", f"after={after[-3:]}", f"end={end},after={after[-2:]}", f"appended={appended}",
         f"last={s[-1:] if not s[-1:].isalnum() else 'a'}", f"last3={re.sub(r'[^\W_]', 'a', s[-3:])}",
         f"end={end},known={_bucket(known, (1, 2, 5, 20, 100, 1000))}", f"end={end},digit={word.isdigit()}",
-        f"word={word.lower()},{end}", f"two={' '.join(masked[-2:])},{end}", f"open={left_open(s[-400:])},{end}",
+        f"word={word.lower()},{end}", f"two={' '.join(masked[-2:])},{end}", f"open={left_open(s)},{end}",
         f"damaged={'�' in s[-2:]}", f"abbreviation={word.lower() in ABBREVIATIONS and after.startswith('.')}",
         f"requested={_bucket(n_words / requested if requested else None, _RATIO)}",
         f"run={_bucket(n_words / run_words if run_words else None, _RATIO)}",

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from millrace.llm import cutoff, langid
@@ -57,3 +58,9 @@ def test_languages(spark):
 @pytest.mark.parametrize("label, want", [("en-GB", "en"), ("DE", "de"), ("German", "de"), (" pt ", "pt"), ("fr_CA", "fr"), ("nld", "nl"), ("dut", "nl"), ("und", None), ("?", None), ("n/a", None), ("", None), (None, None), ("pl", "pl"), ("unknown", None)])
 def test_labels(label, want):
     assert label_language(label) == want
+
+
+def test_open_bracket_far_before_the_end():
+    text = "Seen (at the gate " + "many carts came by " * 40 + "and left."
+    none = np.zeros((4, cutoff.COUNT_SLOTS), np.int64)
+    assert any(f.startswith("open=True") for f in cutoff.features(text, None, None, none))
