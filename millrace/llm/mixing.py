@@ -10,19 +10,21 @@ from __future__ import annotations
 
 import heapq
 import math
-import random
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import with_token_counts
 from millrace.session import cut, small_or_plain, table
+from millrace.ship import ship
 
 BLOCK_TOKENS = 256
-#: A shard is what one task orders; a source has at most MAX_SHARDS, so the driver sees at most that many rows a source.
-SHARD_TOKENS, MAX_SHARDS, MAX_SOURCES = 4_000_000, 4096, 1000
+#: Tokens of a shard, which is what one task orders; a source has as many shards as that takes.
+SHARD_TOKENS = 4_000_000
+_PLAN = "source string, shard int, n_blocks bigint, shard_size bigint, base int, extra bigint, inc bigint"
 
 
 def sainte_lague(weights: Sequence[float], seats: int, caps: Sequence[int] | None = None) -> list[int]:
@@ -62,41 +64,39 @@ def mix(records: DataFrame, targets: DataFrame, id_col: str, source_col: str, si
     """(drawn, shares). drawn: id, source, size, copies (1 .. max_repeats), for the records that are used. shares: one row per source of either table.
 
     Without ``total`` the mixture is the largest that meets every target share of the sources that have records; their
-    shares are taken relative to each other. With a larger ``total``, sources at their limit stay there and others fill
+    shares are taken relative to each other; a source with few tokens for its share thus limits the whole. With a larger ``total``, sources at their limit stay there and others fill
     up. Records without size or source, or of an unlisted source, are not drawn. Target rows without a source, a
     positive share or repeats draw nothing; of repeated target rows the shares add up and the least limit holds.
     """
     spark = records.sparkSession
-    want = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.sum("target_share").alias("share"), F.min("max_repeats").alias("reps")).limit(MAX_SOURCES + 1).collect()
-    if len(want) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    ship(spark)
+    want = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.sum("target_share").alias("share"), F.min("max_repeats").alias("reps")).collect()  # the listed sources
     base = records.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.col(size_col).cast("long"), F.lit(0)).alias("size"))
-    have = base.join(F.broadcast(spark.createDataFrame([(r["source"],) for r in want], "source string")), "source").groupBy("source").agg(F.sum("size").alias("n")).collect() if want else []
+    listed = cut(spark.createDataFrame([(r["source"],) for r in want], "source string"))
+    have = base.join(small_or_plain(listed, 60), "source").groupBy("source").agg(F.sum("size").alias("n")).collect()
     tokens = {r["source"]: r["n"] for r in have if r["n"]}
     use = sorted((r["source"], float(r["share"] or 0), int(r["reps"] or 0)) for r in want if r["source"] in tokens and (r["share"] or 0) > 0 and (r["reps"] or 0) > 0)
-    schema = "source string, shard int, n_blocks bigint, shard_size bigint, base int, extra bigint, inc bigint"
-    plan: list[tuple] = []
-    sized = base.where("size > 0")
+    quota: list[int] = []
     if use:
-        shards = {s: min(MAX_SHARDS, max(1, -(-tokens[s] // SHARD_TOKENS))) for s, _, _ in use}
-        counts = spark.createDataFrame(list(shards.items()), "source string, shards int")
-        sized = sized.join(F.broadcast(counts), "source").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "id"), F.col("shards")).cast("int")).drop("shards")
-        size = {(r["source"], r["shard"]): r["n"] for r in sized.groupBy("source", "shard").agg(F.sum("size").alias("n")).collect()}
-        blocks = {k: max(1, round(n / block)) for k, n in size.items()}
         whole = sum(share for _, share, _ in use)
         feasible = min(tokens[s] * r * whole / share for s, share, r in use)
         goal = feasible if total is None else total
         quota = sainte_lague([share for _, share, _ in use], max(1, int(goal / block)), None if total is None else [tokens[s] * r // block for s, _, r in use])
-        rng = random.Random(seed)
-        for (s, _, r), q in zip(use, quota):
-            own = sorted(k for k in size if k[0] == s)
-            room = sum(blocks[k] for k in own)
-            seats = min(room * r, round(q * block * room / tokens[s]))
-            for k, n in zip(own, sainte_lague([size[k] for k in own], seats, [blocks[k] * r for k in own])):
-                plan.append((s, k[1], blocks[k], size[k], n // blocks[k], n % blocks[k], rng.randrange(blocks[k])))
-    else:
-        sized = sized.withColumn("shard", F.lit(0)).limit(0)
-    p = small_or_plain(spark.createDataFrame(plan, schema), 80)
+    sources = cut(spark.createDataFrame([(s, -(-tokens[s] // SHARD_TOKENS), r, q, tokens[s]) for (s, _, r), q in zip(use, quota)], "source string, shards bigint, reps int, quota bigint, tokens bigint"))
+    sized = base.where("size > 0").join(small_or_plain(sources.select("source", "shards"), 60), "source").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "id"), F.col("shards")).cast("int")).drop("shards")
+    shards = sized.groupBy("source", "shard").agg(F.sum("size").alias("n")).join(small_or_plain(sources, 90), "source").withColumn("inc", F.shiftright(F.xxhash64(F.lit(seed + 2), "source", "shard"), 1))
+
+    def apportion(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("shard")
+        n = g["n"].to_numpy(np.int64)
+        blocks = np.maximum(1, np.rint(n / block)).astype(np.int64)
+        reps, room = int(g["reps"].iloc[0]), int(blocks.sum())
+        seats = min(room * reps, round(int(g["quota"].iloc[0]) * block * room / int(g["tokens"].iloc[0])))
+        got = np.array(sainte_lague(n, seats, blocks * reps), np.int64)
+        return pd.DataFrame({"source": g["source"], "shard": g["shard"], "n_blocks": blocks, "shard_size": n, "base": (got // blocks).astype(np.int32), "extra": got % blocks, "inc": g["inc"].to_numpy(np.int64) % blocks})
+
+    plan = cut(shards.groupBy("source").applyInPandas(apportion, _PLAN))  # a group has one row per shard
+    p = small_or_plain(plan, 80)
     order = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "id"), "id").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0))).join(p, ["source", "shard"])
     # exact in 128 bits: before * n_blocks can pass 2^63 in large shards

@@ -1,27 +1,28 @@
 """Problem 5: best-fit decreasing over all items at once.
 
 Lengths are whole numbers up to the capacity, so the packing of any number of items follows from the histogram of their
-lengths. The driver runs best-fit decreasing on that histogram (at most ``capacity`` entries): a segment tree over
+lengths. For each setting one task runs best-fit decreasing on that histogram (at most ``capacity`` entries): a segment tree over
 remaining capacities gives the tightest open bin in logarithmic time, and all items of one length that go to bins of
 one remaining capacity are placed as one *placement*. The items are then matched to placements by their rank
 within their length. The result is that of item-by-item best-fit decreasing over the whole table, ties between items
-of one length being broken by their hash and id.
+of one length being broken by their hash, then their id.
 """
 
 from __future__ import annotations
 
 from collections import deque
-from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import with_token_counts
 from millrace.session import cut, small_or_plain, table
+from millrace.ship import ship
 
-#: Items of one length that one task ranks.
+#: Items of one length that one task ranks, about.
 RANK_SHARD = 200_000
-MAX_SETTINGS = 1000
+_PLACEMENT = "setting string, size bigint, rank_from bigint, items bigint, per_bin bigint, bin_from bigint, offset_from bigint"
 
 
 class OpenBins:
@@ -111,38 +112,37 @@ def best_fit_decreasing(capacity: int, histogram: dict[int, int]) -> tuple[list[
     return out, made
 
 
-def pack(items: DataFrame, id_col: str, size_col: str, capacities: dict[str, int]) -> DataFrame:
+def pack(items: DataFrame, id_col: str, size_col: str, settings: DataFrame) -> DataFrame:
     """(setting, id, piece, from, size, bin, offset): every item placed in bins of each setting's capacity.
 
-    An item larger than the capacity, and no other, is split: into pieces of the full capacity and a last piece. Items of
-    size 0 or NULL need no room: they come with piece 0 and a NULL bin. Repeated ids are items of their own. No settings
-    or no items give an empty result.
+    settings: (setting, capacity), one row each, of any number; rows without a setting or a positive capacity are left out, and of
+    repeated settings the largest capacity holds. An item larger than the capacity, and no other, is split: into pieces of the full
+    capacity and a last piece. Items of size 0 or NULL need no room: they come with piece 0 and a NULL bin. Repeated ids are items of
+    their own. No settings or no items give an empty result.
     """
-    spark = items.sparkSession
-    if not capacities:
-        return spark.createDataFrame([], "setting string, id string, piece int, from bigint, size bigint, bin bigint, offset bigint")
+    ship(items.sparkSession)
     base = items.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(size_col).cast("long"), F.lit(0)).alias("total"))
-    settings = F.array(*[F.struct(F.lit(s).alias("setting"), F.lit(int(c)).cast("long").alias("cap")) for s, c in capacities.items()])
-    each = base.withColumn("s", F.explode(settings)).select("s.setting", "s.cap", "id", "total")
+    one = settings.where("setting is not null and capacity > 0").groupBy("setting").agg(F.max(F.col("capacity").cast("long")).alias("cap"))
+    every = one.agg(F.collect_list(F.struct("setting", "cap")).alias("s"))  # one row: each item meets each setting in the result anyway
+    each = base.crossJoin(F.broadcast(every)).select("id", "total", F.explode("s").alias("s")).select("s.setting", "s.cap", "id", "total")
     pieces = each.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("total") / F.col("cap")).cast("int") - 1, F.lit(0)))))
-    pieces = pieces.withColumn("from", F.col("piece") * F.col("cap")).withColumn("size", F.least(F.col("cap"), F.col("total") - F.col("from"))).drop("cap", "total")
-    hist = pieces.where("size > 0").groupBy("setting", "size").count().collect()  # at most the sum of the capacities
-    placements, most = [], 0
-    for s, c in capacities.items():
-        h = {r["size"]: r["count"] for r in hist if r["setting"] == s}
-        most = max([most, *h.values()])
-        placements += [(s, *p) for p in best_fit_decreasing(int(c), h)[0]]
-    plan = spark.createDataFrame(placements, "setting string, size bigint, rank_from bigint, items bigint, per_bin bigint, bin_from bigint, offset_from bigint")
-    shards = max(1, -(-most // RANK_SHARD))
+    pieces = pieces.withColumn("from", F.col("piece") * F.col("cap")).withColumn("size", F.least(F.col("cap"), F.col("total") - F.col("from"))).drop("total")
+    hist = cut(pieces.where("size > 0").groupBy("setting", "cap", "size").agg(F.count(F.lit(1)).alias("n")))
+
+    def best_fit(h: pd.DataFrame) -> pd.DataFrame:
+        made = best_fit_decreasing(int(h["cap"].iloc[0]), dict(zip(h["size"].tolist(), h["n"].tolist())))[0]
+        return pd.DataFrame([(h["setting"].iloc[0], *p) for p in made], columns=[f.split()[0] for f in _PLACEMENT.split(", ")])
+
+    plan = cut(hist.groupBy("setting").applyInPandas(best_fit, _PLACEMENT))  # a group has at most ``capacity`` rows
+    most = hist.agg(F.max("n")).first()[0] or 1
+    # a shard is a range of hashes, so the order within a length is that of (hash, id, piece) however many shards there are
+    bits = max(1, (most // RANK_SHARD).bit_length())
     key = ["setting", "size", "shard"]
-    sized = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "piece"), F.lit(shards)).cast("int"))
+    sized = pieces.withColumn("h", F.xxhash64("id", "piece")).withColumn("shard", F.shiftright("h", 64 - bits))
     before = sized.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    before = before.select(*key, F.coalesce(F.sum("n").over(Window.partitionBy("setting", "size").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    ranked = sized.withColumn("in_shard", F.row_number().over(Window.partitionBy(*key).orderBy("id", "piece")) - 1)
-    if shards > 1:
-        ranked = ranked.join(before, key).withColumn("rank", F.col("in_shard") + F.col("before"))
-    else:
-        ranked = ranked.withColumn("rank", F.col("in_shard").cast("long"))
+    before = cut(before.select(*key, F.coalesce(F.sum("n").over(Window.partitionBy("setting", "size").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")))
+    ranked = sized.withColumn("in_shard", F.row_number().over(Window.partitionBy(*key).orderBy("h", "id", "piece")) - 1)
+    ranked = ranked.join(small_or_plain(before, 60), key).withColumn("rank", F.col("in_shard") + F.col("before"))
     p = small_or_plain(plan, 80)
     at = ranked.alias("i").join(p.alias("p"), (F.col("i.setting") == F.col("p.setting")) & (F.col("i.size") == F.col("p.size")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_from") + F.col("items")), "left")
     k = F.col("rank") - F.col("rank_from")
@@ -153,12 +153,9 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacities: dict[str, int
     )
 
 
-def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, int]]:
+def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """train packed for every setting; a re-sent row (same id) is packed once, as it was added last."""
-    rows = table(spark, sf_dir, "pack_settings").where("max_seq_length > 0").limit(MAX_SETTINGS + 1).collect()
-    if len(rows) > MAX_SETTINGS:
-        raise ValueError(f"more than {MAX_SETTINGS} settings")
-    settings = {r["setting"]: r["max_seq_length"] for r in rows}
+    settings = table(spark, sf_dir, "pack_settings").select("setting", F.col("max_seq_length").alias("capacity"))
     train = table(spark, sf_dir, "train").groupBy("id").agg(F.max_by("text", F.struct("added_at", "text")).alias("text"))
     return pack(cut(with_token_counts(train, "text", ["id"])), "id", "n_tokens", settings), settings
 
@@ -170,6 +167,6 @@ def p5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_utilisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per setting: sequences, tokens, the share of room used, and the least number of sequences that could hold the tokens."""
     got, settings = _packed(spark, sf_dir)
-    cap = reduce(lambda w, s: w.when(F.col("setting") == s, F.lit(settings[s])), settings, F.when(F.lit(False), 0))
-    used = got.where("bin is not null").groupBy("setting").agg((F.max("bin") + 1).alias("sequences"), F.sum("size").alias("tokens")).withColumn("cap", cap.cast("long"))
+    used = got.where("bin is not null").groupBy("setting").agg((F.max("bin") + 1).alias("sequences"), F.sum("size").alias("tokens"))
+    used = used.join(settings.groupBy("setting").agg(F.max(F.col("capacity").cast("long")).alias("cap")), "setting")
     return used.select("setting", F.col("cap").alias("max_seq_length"), "sequences", "tokens", F.ceil(F.col("tokens") / F.col("cap")).alias("least_sequences"), (F.col("tokens") / (F.col("sequences") * F.col("cap"))).alias("fill"))

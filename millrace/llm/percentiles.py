@@ -64,6 +64,10 @@ def _keys_long(df: DataFrame, groups: list[str], measures: Sequence[str], extra:
     return base.select(*groups, *(extra or []), values.alias("v")).select(*groups, *(extra or []), "v.m", "v.key").where("key is not null")
 
 
+#: The order keys of the infinities; no other value but NaN, which is left out, lies beyond them.
+_INFINITY, _MINUS_INFINITY = 0x7FF0000000000000, 0x7FF0000000000000 ^ -1
+
+
 def _follow(counts: DataFrame, groups: list[str], want: DataFrame | None, permilles: Sequence[int]) -> DataFrame:
     """From counts (groups, m, prefix, digit, n) the digit that holds each target rank, and the rank left within it."""
     part = Window.partitionBy(*groups, "m", "prefix")
@@ -115,8 +119,10 @@ def radix_percentiles(df: DataFrame, groups: list[str], measures: Sequence[str],
 
 
 def _finish(want: DataFrame, groups: list[str], measures: Sequence[str], bits: int) -> DataFrame:
+    """The middle of each bucket; a bucket that reaches past an infinity holds nothing but it, and the bucket of zero gives zero."""
     low = F.shiftleft("prefix", 64 - bits) if bits < 64 else F.col("prefix")
-    mid = low + F.lit((1 << (63 - bits)) if bits < 64 else 0)
+    mid = F.when(low == 0, low).otherwise(low + F.lit((1 << (63 - bits)) if bits < 64 else 0))
+    mid = F.greatest(F.least(mid, F.lit(_INFINITY)), F.lit(_MINUS_INFINITY))
     names = F.array(*[F.lit(m) for m in measures])
     return want.select(*groups, F.element_at(names, F.col("m") + 1).alias("measure"), "permille", F.col("total").alias("n"), key_value(mid).alias("value"), F.lit(0.0 if bits == 64 else 2.0 ** -(bits - 12)).alias("max_relative_error"))
 
@@ -159,10 +165,15 @@ def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same within a relative error of 2**-20, from daily summaries of 32 bits that are merged."""
+    """The same for every day of evaluation (scope day) and for all days put together (scope all, day NULL), within a relative error of 2**-20.
+
+    Both come from the same daily summaries of 32 bits; the records are read once.
+    """
     p = table(spark, sf_dir, "predictions").select("family", "arm", F.substring("evaluated_at", 1, 10).alias("day"), *MEASURES)
-    days = digit_summary(p, ["day", "family", "arm"], MEASURES)
-    return summary_percentiles(merge_summaries(cut(days), ["family", "arm"]), ["family", "arm"], MEASURES)
+    days = cut(digit_summary(p, ["day", "family", "arm"], MEASURES))
+    each = summary_percentiles(days, ["day", "family", "arm"], MEASURES).withColumn("scope", F.lit("day"))
+    whole = summary_percentiles(merge_summaries(days, ["family", "arm"]), ["family", "arm"], MEASURES).withColumn("scope", F.lit("all")).withColumn("day", F.lit(None).cast("string"))
+    return each.unionByName(whole).select("scope", "day", "family", "arm", "measure", "permille", "n", "value")
 
 
 P1_SQL = """
@@ -174,3 +185,18 @@ r AS (SELECT *, row_number() OVER (PARTITION BY family, arm, measure ORDER BY x)
 q AS (SELECT unnest([10, 50, 250, 500, 750, 950, 990]) AS permille)
 SELECT family, arm, measure, CAST(permille AS INTEGER) AS permille, n, x AS value FROM r JOIN q ON rn = greatest(1, (n * permille + 999) // 1000)
 """
+
+#: The exact order statistics, then the middle of their bucket: 20 bits after the leading one, found from the exponent e.
+P1_BY_DAY_SQL = """
+WITH v AS (
+  SELECT substr(evaluated_at, 1, 10) AS day, family, arm, 'predicted_value' AS measure, predicted_value + 0.0 AS x FROM predictions WHERE predicted_value IS NOT NULL AND NOT isnan(predicted_value)
+  UNION ALL
+  SELECT substr(evaluated_at, 1, 10), family, arm, 'true_value', true_value + 0.0 FROM predictions WHERE true_value IS NOT NULL AND NOT isnan(true_value)),
+s AS (SELECT 'day' AS scope, day, family, arm, measure, x FROM v UNION ALL SELECT 'all', NULL, family, arm, measure, x FROM v),
+r AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY scope, day, family, arm, measure) AS n FROM s WINDOW w AS (PARTITION BY scope, day, family, arm, measure ORDER BY x)),
+q AS (SELECT unnest([10, 50, 250, 500, 750, 950, 990]) AS permille),
+g AS (SELECT scope, day, family, arm, measure, CAST(permille AS INTEGER) AS permille, n, x, CASE WHEN x <> 0 AND isfinite(x) THEN floor(log2(abs(x))) END AS e0 FROM r JOIN q ON rn = greatest(1, (n * permille + 999) // 1000)),
+e AS (SELECT *, CASE WHEN pow(2.0::DOUBLE, e0) > abs(x) THEN e0 - 1 WHEN pow(2.0::DOUBLE, e0 + 1) <= abs(x) THEN e0 + 1 ELSE e0 END AS e FROM g)
+SELECT scope, day, family, arm, measure, permille, n, CASE WHEN e IS NULL THEN x WHEN x > 0 THEN (floor(abs(x) / pow(2.0::DOUBLE, e - 20)) + 0.5::DOUBLE) * pow(2.0::DOUBLE, e - 20)
+ ELSE -((floor(abs(x) / pow(2.0::DOUBLE, e - 20)) + 0.5::DOUBLE) * pow(2.0::DOUBLE, e - 20) - pow(2.0::DOUBLE, e - 52)) END AS value FROM e
+"""

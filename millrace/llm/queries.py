@@ -36,4 +36,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_percentiles": percentiles.P1_SQL}
+    return {"p1_percentiles": percentiles.P1_SQL, "p1_by_day": percentiles.P1_BY_DAY_SQL}

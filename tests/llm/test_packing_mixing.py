@@ -34,13 +34,18 @@ def test_plan_equals_best_fit_decreasing(seed):
     assert all(sorted(r) == list(range(n)) for r, n in ((ranks[s], c) for s, c in Counter(sizes).items()))
 
 
+def settings(spark, caps):
+    return spark.createDataFrame(list(caps.items()), "setting string, capacity int")
+
+
 @pytest.mark.parametrize("shard", [3, 10**6])
 def test_pack(spark, monkeypatch, shard):
     monkeypatch.setattr(packing, "RANK_SHARD", shard)
     rng = random.Random(1)
     rows = [(f"i{i}", rng.choice([3, 5, 5, 40, 64, 65, 200]), "z", 1) for i in range(200)] + [("i0", 5, "z", 1), ("none", None, "z", 1), ("zero", 0, "z", 1)]
     df = spark.createDataFrame(rows, "id string, n int, setting string, bin int")
-    got = packing.pack(df, "id", "n", {"a": 64, "b": 100}).collect()
+    got = packing.pack(df, "id", "n", settings(spark, {"a": 64, "b": 100, None: 5, "c": 0})).collect()
+    assert {r["setting"] for r in got} == {"a", "b"}
     for s, cap in (("a", 64), ("b", 100)):
         mine = [r for r in got if r["setting"] == s]
         used = defaultdict(list)
@@ -59,7 +64,16 @@ def test_pack(spark, monkeypatch, shard):
 
 def test_pack_nothing(spark):
     df = spark.createDataFrame([], "id string, n int")
-    assert packing.pack(df, "id", "n", {"a": 8}).count() == 0 and packing.pack(df, "id", "n", {}).count() == 0
+    assert packing.pack(df, "id", "n", settings(spark, {"a": 8})).count() == 0 and packing.pack(df, "id", "n", settings(spark, {})).count() == 0
+
+
+def test_bins_do_not_depend_on_the_shards(spark, monkeypatch):
+    df = spark.createDataFrame([(f"i{i}", 1 + i % 5) for i in range(300)], "id string, n int")
+    got = []
+    for shard in (7, 10**6):
+        monkeypatch.setattr(packing, "RANK_SHARD", shard)
+        got.append(sorted(map(tuple, packing.pack(df, "id", "n", settings(spark, {"a": 11})).collect())))
+    assert got[0] == got[1]
 
 
 @pytest.mark.parametrize("seed", range(20))
@@ -100,7 +114,15 @@ def test_mixture_of_nothing(spark):
     assert mixing.mix(df, t.limit(0), "doc_id", "source", "n")[0].count() == 0
 
 
-def test_too_many_settings_raise(spark, tmp_path):
-    spark.createDataFrame([(f"s{i}", 8) for i in range(1001)], "setting string, max_seq_length int").write.parquet(str(tmp_path / "pack_settings.parquet"))
-    with pytest.raises(ValueError, match="1000 settings"):
-        packing._packed(spark, str(tmp_path))
+def test_any_number_of_settings(spark):
+    df = spark.createDataFrame([("x", 3), ("y", 9)], "id string, n int")
+    got = packing.pack(df, "id", "n", settings(spark, {f"s{i}": 8 for i in range(1001)}))
+    assert got.groupBy("setting").count().where("count = 3").count() == 1001
+
+
+def test_any_number_of_sources_and_shards(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_TOKENS", 40)
+    df = spark.createDataFrame([(i, f"s{i % 1001}", 10) for i in range(9009)], "doc_id long, source string, n int")
+    t = spark.createDataFrame([(f"s{i}", 1 / 1001, 1) for i in range(1001)], "source string, target_share double, max_repeats int")
+    shares = mixing.mix(df, t, "doc_id", "source", "n", block=10)[1].collect()
+    assert len(shares) == 1001 and all(r["tokens"] == 90 for r in shares)

@@ -49,3 +49,11 @@ def test_empty_and_no_groups(spark):
     assert P.radix_percentiles(df.where("family = 'c'"), [], ["v"], [500]).first()["value"] == 7.0
     with pytest.raises(ValueError):
         P.radix_percentiles(df, [], ["v"], bits=20)
+
+
+def test_infinities_and_zero_in_short_summaries(spark):
+    rows = [(k, x) for k, xs in {"up": [float("inf")] * 3, "down": [float("-inf")] * 3, "nought": [0.0, -0.0]}.items() for x in xs]
+    df = spark.createDataFrame(rows, "family string, v double")
+    for bits in (16, 32, 48):
+        got = {(r["family"], r["value"]) for r in P.summary_percentiles(P.digit_summary(df, ["family"], ["v"], bits), ["family"], ["v"], bits=bits).collect()}
+        assert got == {("up", float("inf")), ("down", float("-inf")), ("nought", 0.0)}
