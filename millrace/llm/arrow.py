@@ -6,13 +6,15 @@ import numpy as np
 import pyarrow as pa
 
 
-def long_lists(arrays: list[np.ndarray]) -> pa.Array:
-    """A list<int64> array from one (u)int64 array per row."""
+def long_lists(arrays: list[np.ndarray | None]) -> pa.Array:
+    """A list<int64> array from one (u)int64 array per row; None gives NULL."""
     offsets = np.zeros(len(arrays) + 1, np.int32)
     if arrays:
-        np.cumsum([len(a) for a in arrays], out=offsets[1:])
-    flat = np.concatenate(arrays) if arrays else np.empty(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64) if flat.dtype == np.uint64 else flat.astype(np.int64)))
+        np.cumsum([0 if a is None else len(a) for a in arrays], out=offsets[1:])
+    some = [a for a in arrays if a is not None]
+    flat = np.concatenate(some) if some else np.empty(0, np.int64)
+    flat = pa.array(flat.view(np.int64) if flat.dtype == np.uint64 else flat.astype(np.int64))
+    return pa.ListArray.from_arrays(pa.array(offsets), flat, mask=pa.array([a is None for a in arrays], pa.bool_()))
 
 
 def list_values(column: pa.Array) -> list[np.ndarray]:

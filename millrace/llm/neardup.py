@@ -2,52 +2,59 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.nearset import CODE_BITS, components, hashed_document_frequency, icws_blocks, representatives, shingle_sets, verify, within_radius
-from millrace.session import cut, table
+from millrace.llm.nearset import CODE_BITS, classes, components, document_shares, shingle_sets, signed_classes, verify, verify_weighted, within_radius
+from millrace.session import cut, small_or_plain, table
 from millrace.ship import ship
 
-#: 128 bands of four samples: a pair of weighted similarity 0.5 shares a band with probability 0.9997, one of 0.6 with 0.99999998.
-BANDS, ROWS = 128, 4
+#: 64 bands of four samples: a pair of weighted similarity 0.6 shares a band with probability 0.9999, one of 0.5 with 0.984.
+BANDS, ROWS = 64, 4
 
 
-def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float = 0.8, min_words: int = 8) -> DataFrame:
-    """(id, group) for each record; records whose likeness reaches the threshold, directly or by a chain, share a group.
+def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float = 0.8, min_words: int = 8, weighted: bool = False) -> DataFrame:
+    """(id, group) for each record; records whose likeness reaches the threshold, directly or by a chain, share a group, whose name is its least id.
 
-    Consistent weighted samples over TF-IDF shingles, banded; candidates verified by Jaccard likeness over the
-    shingle sets (weights one). Round one compares every member of a band's bucket with the bucket's first member;
-    round two compares, in buckets that still hold several components, exactly the pairs of different components. Pairs
-    within a component need no comparison, so a large group of near-copies is never expanded.
+    Consistent weighted samples over TF-IDF shingles, banded; candidates verified by Jaccard similarity over the shingle sets:
+    with the TF-IDF weights if ``weighted``, else with weights of one. Round one compares every member of a band's bucket with the
+    bucket's first member; round two compares, in buckets that still hold several components, the pairs of different components and of
+    sizes that the threshold allows. Pairs within a component need no comparison, so a large group of near-copies is never expanded.
 
     NULL, empty and short texts are left out. A repeated row counts once; an id with two texts belongs to both
     texts' groups, which are then one. Empty input gives an empty result.
     """
     ship(df.sparkSession)
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    sets = cut(shingle_sets(rows, "text", ["id"], k, min_words))
-    reps = representatives(sets)
-    member = cut(sets.select("id", "cls").distinct().join(reps.select("cls", "rid"), "cls").select("id", "rid"))
-    counts = hashed_document_frequency(reps)
-    signed = cut(icws_blocks(reps, max(1, reps.count()), counts, BANDS, ROWS))
+    sets = cut(shingle_sets(rows, "text", ["id"], k, min_words, tf=weighted, frequencies=True))
+    shares = document_shares(sets, sets.where("cls is not null").count())
+    signed = cut(signed_classes(classes(sets, "sh", "tf"), shares, BANDS, ROWS, weighted))
+    alike = (lambda p: verify_weighted(p, signed, threshold)) if weighted else (lambda p: verify(within_radius(p, signed, signed, threshold, CODE_BITS), signed, signed, threshold))
+    member = cut(sets.where("cls is not null").select("id", "cls").distinct().join(signed.select("cls", "rid"), "cls").select("id", "rid"))
     marks = signed.select("rid", F.explode("keys").alias("key"))
     first = marks.groupBy("key").agg(F.min("rid").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    tried = cut(marks.join(first, "key").where("rid != b").select(F.col("rid").alias("a"), "b").distinct())
-    links = cut(verify(within_radius(tried, signed, threshold, CODE_BITS), reps, threshold).select("a", "b"))
+    shared = cut(marks.join(first, "key"))  # the buckets of several classes
+    tried = cut(shared.where("rid != b").select(F.col("rid").alias("a"), "b").distinct())
+    links = alike(tried).select("a", "b")
     # an id under two texts links their classes
     twice = member.groupBy("id").agg(F.min("rid").alias("b"), F.max("rid").alias("c")).where("b != c").select("id", "b")
     links = links.unionByName(member.join(twice, "id").where("rid != b").select(F.col("rid").alias("a"), "b"))
     comp = cut(components(links))
-    marked = marks.join(comp, marks.rid == comp.node, "left").select("key", "rid", F.coalesce("comp", "rid").alias("comp"))
+    marked = shared.join(small_or_plain(comp.withColumnRenamed("node", "rid"), 24), "rid", "left").select("key", "rid", F.coalesce("comp", "rid").alias("comp"))
     open_ = marked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-    left = cut(marked.join(open_, "key"))
-    x, y = left.select("key", F.col("rid").alias("a"), F.col("comp").alias("ca")), left.select("key", F.col("rid").alias("b"), F.col("comp").alias("cb"))
-    more = x.join(y, "key").where("a > b and ca != cb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    more = cut(verify(within_radius(more, signed, threshold, CODE_BITS), reps, threshold).select("a", "b"))
+    # sets of likeness j have sizes within a factor j: classes of sizes more than one step apart are never paired (weighted sums have no such steps)
+    step = F.lit(0) if weighted else F.floor(F.log(F.size("sh").cast("double")) / F.lit(-math.log(threshold) if threshold < 1 else 1e-9)).cast("int")
+    left = cut(marked.join(open_, "key").join(signed.select("rid", step.alias("step")), "rid"))
+    x = left.select("key", F.col("rid").alias("a"), F.col("comp").alias("ca"), F.explode(F.array("step") if weighted else F.array(F.col("step"), F.col("step") - 1)).alias("step"), F.col("step").alias("own"))
+    y = left.select("key", "step", F.col("rid").alias("b"), F.col("comp").alias("cb"))
+    more = x.join(y, ["key", "step"]).where("ca != cb and (step < own or a > b)").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    more = cut(alike(more).select("a", "b"))
     if not more.isEmpty():
         comp = cut(components(comp.where("node != comp").select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more)))
-    return member.join(comp, member.rid == comp.node, "left").select("id", F.coalesce("comp", "rid").alias("group")).distinct()
+    named = cut(member.join(comp, member.rid == comp.node, "left").select("id", F.coalesce("comp", "rid").alias("comp")).distinct())
+    return named.join(named.groupBy("comp").agg(F.min("id").alias("group")), "comp").select("id", "group")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,96 +19,112 @@ from millrace.llm.arrow import list_values, long_lists
 from millrace.llm.shingles import ICWS, MinHash, shingles, words
 from millrace.session import cut
 
-#: Document frequencies are counted in this many hash buckets, over all classes; the table of counts (8 MB at most) is what is broadcast.
-DF_BUCKETS = 1 << 20
+#: Document frequencies are counted in two rows of this many hash buckets, over all documents; of a shingle's two counts the lesser holds. A text
+#: of n shingles adds n / DF_BUCKETS to the expected share of any bucket, at every size of the collection; shares under DF_FLOOR weigh the same.
+DF_BUCKETS = 1 << 17
+DF_FLOOR = 1 / 16
 #: Bits of the fingerprint that thins candidates before their sets are compared.
-CODE_BITS = 256
+CODE_BITS = 128
+#: Classes that a task remembers in order to write their sets once.
+REMEMBERED = 500_000
 
 
-def shingle_sets(df: DataFrame, text: str, keys: list[str], k: int, min_words: int) -> DataFrame:
+def _fields(schema) -> str:
+    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in schema.fields)
+
+
+def _df_slots(h: np.ndarray) -> np.ndarray:
+    """The buckets of shingles, (2, n)."""
+    m = np.uint64(DF_BUCKETS)
+    return np.stack([h % m, (h >> np.uint64(32)) % m]).astype(np.int64)
+
+
+def shingle_sets(df: DataFrame, text: str, keys: list[str], k: int, min_words: int, tf: bool = False, frequencies: bool = False) -> DataFrame:
     """keys + cls (16 bytes, equal for equal shingle sets), sh (sorted distinct shingle hashes), tf (occurrences).
 
-    Rows whose text is NULL, empty or has fewer than max(min_words, k) words are left out: they have no shingle or are
-    never cases.
+    Rows whose text is NULL, empty or has fewer than max(min_words, k) words are left out: they have no shingle or are never cases. Of
+    each class that a task meets again sh and tf are NULL. With ``tf`` a class is a set with its occurrences. With ``frequencies`` rows
+    without cls are added: in sh the buckets of document frequencies (those of the second row from DF_BUCKETS on), in tf their counts.
     """
     least = max(min_words, k)
+    src = df.where(F.col(text).isNotNull()).select(F.col(text).alias("_text"), *keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        counts, types = np.zeros((2, DF_BUCKETS), np.int64), None
         for b in batches:
-            keep, cls, sh, tf = [], [], [], []
+            keep, cls, sh, occ = [], [], [], []
+            types = [b.column(j).type for j in range(1, b.num_columns)]
             for i, t in enumerate(b.column(0).to_pylist()):
                 ws = words(t)
                 if len(ws) >= least:
                     h, n = shingles(ws, k)
+                    c = xxhash.xxh3_128_digest(h.tobytes() + (n.tobytes() if tf else b""))
+                    new = c not in seen
+                    if new:
+                        if len(seen) >= REMEMBERED:
+                            seen.clear()
+                        seen.add(c)
                     keep.append(i)
-                    cls.append(xxhash.xxh3_128_digest(h.tobytes()))
-                    sh.append(h)
-                    tf.append(n)
+                    cls.append(c)
+                    sh.append(h if new else None)
+                    occ.append(n if new and tf else None)
+                    if frequencies:
+                        for row, slots in zip(counts, _df_slots(h)):
+                            np.add.at(row, slots, 1)
             rest = [b.column(j).take(pa.array(keep, pa.int64())) for j in range(1, b.num_columns)]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(cls, pa.binary()), long_lists(sh), long_lists(tf)], names=[*keys, "cls", "sh", "tf"])
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(cls, pa.binary()), long_lists(sh), long_lists(occ)], names=[*keys, "cls", "sh", "tf"])
+        if frequencies and types is not None:
+            at = np.flatnonzero(counts)
+            one = lambda x: long_lists([x])
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, t) for t in types], pa.nulls(1, pa.binary()), one(at), one(counts.ravel()[at])], names=[*keys, "cls", "sh", "tf"])
 
-    src = df.where(F.col(text).isNotNull()).select(F.col(text).alias("_text"), *keys)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[1:])
-    return src.mapInArrow(run, f"{fields}, cls binary, sh array<bigint>, tf array<bigint>")
+    return src.mapInArrow(run, _fields(src.select(*keys).schema) + "cls binary, sh array<bigint>, tf array<bigint>")
 
 
-def representatives(sets: DataFrame, flags: dict[str, F.Column] | None = None) -> DataFrame:
-    """One row per class as a written table: rid (long), cls, sh, tf and the given flags, true if they are for any member."""
-    aggs = [F.bool_or(c).alias(n) for n, c in (flags or {}).items()]
-    one = sets.groupBy("cls").agg(F.first("sh").alias("sh"), F.first("tf").alias("tf"), *aggs)
-    return cut(one.withColumn("rid", F.monotonically_increasing_id()))
+def classes(sets: DataFrame, *columns: str) -> DataFrame:
+    """One row per class: cls and the given columns, which some row of the class has."""
+    whole = F.first(F.when(F.col(columns[0]).isNotNull(), F.struct(*columns)), ignorenulls=True)
+    return sets.where("cls is not null").groupBy("cls").agg(whole.alias("_s")).select("cls", "_s.*")
 
 
-def minhash_blocks(reps: DataFrame, blocks: int, rows: int, carry: list[str]) -> DataFrame:
-    """rid + carry + code (the fingerprint's bits as array<long>) + keys (array of block keys)."""
+def document_shares(sets: DataFrame, documents: int) -> np.ndarray:
+    """(2, DF_BUCKETS) shares of the documents, from the counts that ``shingle_sets`` added: at most 2 * DF_BUCKETS rows reach the driver."""
+    pair = F.explode(F.arrays_zip("sh", "tf")).alias("p")
+    got = sets.where("cls is null").select(pair).groupBy("p.sh").agg(F.sum("p.tf").alias("n")).toArrow()
+    out = np.zeros(2 * DF_BUCKETS, np.float32)
+    out[got.column("sh").to_numpy()] = got.column("n").to_numpy()
+    return (out / max(1, documents)).reshape(2, -1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fp = MinHash(blocks, rows)
-        for b in batches:
-            got = [fp(h) for h in list_values(b.column(0))]
-            yield pa.RecordBatch.from_arrays([*[b.column(j) for j in range(1, b.num_columns)], long_lists([c for _, c in got]), long_lists([k for k, _ in got])], names=["rid", *carry, "code", "keys"])
 
-    src = reps.select("sh", "rid", *carry)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[1:])
-    return src.mapInArrow(run, f"{fields}, code array<bigint>, keys array<bigint>")
+def idf(h: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """ln(1 + 1 / share) of shingles. Damped by DF_FLOOR, so that the weighted similarity of texts with common passages stays near the plain one."""
+    a, b = _df_slots(h)
+    return np.log1p(1 / np.maximum(np.minimum(shares[0][a], shares[1][b]), DF_FLOOR).astype(np.float64))
 
 
-def hashed_document_frequency(reps: DataFrame) -> np.ndarray:
-    """For each of DF_BUCKETS hash buckets the number of classes with a shingle in it; all classes are counted.
+def signed_classes(one: DataFrame, shares: np.ndarray, blocks: int, rows: int, weighted: bool) -> DataFrame:
+    """cls, sh, rid + keys: block keys from consistent weighted samples of TF-IDF weights; code: a fingerprint of CODE_BITS minwise bits; w: the weights.
 
-    Each partition sends its non-zero counts, they are summed in one shuffle, and at most DF_BUCKETS rows reach the driver.
+    A weight is idf * (1 + ln tf) if ``weighted``, else occurrences do not count (as they do not in the plain likeness) and w is NULL.
     """
+    shared = one.sparkSession.sparkContext.broadcast(shares)  # a fixed size: 2 * DF_BUCKETS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(DF_BUCKETS, np.int64)
-        for b in batches:
-            flat = b.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            n += np.bincount((flat % np.uint64(DF_BUCKETS)).astype(np.int64), minlength=DF_BUCKETS)
-        at = np.flatnonzero(n)
-        for i in range(0, len(at), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000]), pa.array(n[at[i : i + 100_000]])], names=["b", "n"])
-
-    got = reps.select("sh").mapInArrow(run, "b bigint, n bigint").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(DF_BUCKETS, np.float32)
-    out[got.column("b").to_numpy()] = got.column("n").to_numpy()
-    return out
-
-
-def icws_blocks(reps: DataFrame, total: int, df_counts: np.ndarray, blocks: int, rows: int) -> DataFrame:
-    """rid + code + keys: block keys from consistent weighted samples of TF-IDF weights ln(1 + N/df) * (1 + ln tf), and a fingerprint of CODE_BITS minwise bits."""
-    shared = reps.sparkSession.sparkContext.broadcast(df_counts)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fp, bits, counts = ICWS(blocks, rows), MinHash(CODE_BITS, 1), shared.value
+        fp, bits = ICWS(blocks, rows), MinHash(CODE_BITS, 1)
         for b in batches:
-            keys, codes = [], []
-            for h, tf in zip(list_values(b.column(0)), list_values(b.column(1))):
-                idf = np.log1p(total / np.maximum(counts[(h % np.uint64(DF_BUCKETS)).astype(np.int64)], 1))
-                keys.append(fp(h, idf * (1 + np.log(tf.astype(np.float64)))))
+            keys, codes, ws = [], [], []
+            for h, n in zip(list_values(b.column(1)), list_values(b.column(2))):
+                w = idf(h, shared.value)
+                if weighted:
+                    w = w * (1 + np.log(n.astype(np.float64)))
+                keys.append(fp(h, w))
                 codes.append(bits(h)[1])
-            yield pa.RecordBatch.from_arrays([b.column(2), long_lists(codes), long_lists(keys)], names=["rid", "code", "keys"])
+                ws.append(w if weighted else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), long_lists(codes), long_lists(keys), pa.array(ws, pa.list_(pa.float64()))], names=["cls", "sh", "rid", "code", "keys", "w"])
 
-    return reps.select("sh", "tf", "rid").mapInArrow(run, "rid bigint, code array<bigint>, keys array<bigint>")
+    src = one.select("cls", "sh", "tf", F.monotonically_increasing_id().alias("rid"))
+    return src.mapInArrow(run, "cls binary, sh array<bigint>, rid bigint, code array<bigint>, keys array<bigint>, w array<double>")
 
 
 def hamming_radius(threshold: float, bits: int) -> int:
@@ -117,27 +133,44 @@ def hamming_radius(threshold: float, bits: int) -> int:
     return int(p * bits + 5 * (bits * p * (1 - p)) ** 0.5 + 1)
 
 
-def within_radius(pairs: DataFrame, codes: DataFrame, threshold: float, bits: int) -> DataFrame:
-    """The pairs (a, b) whose fingerprints lie within the Hamming radius of a likeness; codes: (rid, code).
+def within_radius(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float, bits: int, key: str = "rid") -> DataFrame:
+    """The pairs (a, b) whose fingerprints lie within the Hamming radius of a likeness; left and right: (key, code).
 
     Only the short codes are joined, so that the sets of chance candidates never move.
     """
-    x = pairs.join(codes.select(F.col("rid").alias("a"), F.col("code").alias("ca")), "a").join(codes.select(F.col("rid").alias("b"), F.col("code").alias("cb")), "b")
+    x = pairs.join(left.select(F.col(key).alias("a"), F.col("code").alias("ca")), "a").join(right.select(F.col(key).alias("b"), F.col("code").alias("cb")), "b")
     distance = reduce(lambda p, q: p + q, [F.bit_count(F.col("ca")[i].bitwiseXOR(F.col("cb")[i])) for i in range(bits // 64)])
     return x.where(distance <= hamming_radius(threshold, bits)).select("a", "b")
 
 
-def verify(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, likeness) of the pairs of class numbers whose Jaccard similarity reaches the threshold."""
-    sets = reps.select("rid", "sh", F.size("sh").alias("n"))
-    x = pairs.join(sets.select(F.col("rid").alias("a"), F.col("sh").alias("sa"), F.col("n").alias("na")), "a")
-    x = x.join(sets.select(F.col("rid").alias("b"), F.col("sh").alias("sb"), F.col("n").alias("nb")), "b")
+def verify(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float, key: str = "rid") -> DataFrame:
+    """(a, b, likeness) of the pairs of classes whose Jaccard similarity reaches the threshold; left and right: (key, sh)."""
+    side = lambda d, k: d.select(F.col(key).alias(k), F.col("sh").alias(f"s{k}"), F.size("sh").alias(f"n{k}"))
+    x = pairs.join(side(left, "a"), "a").join(side(right, "b"), "b")
     # a cheap bound first: likeness cannot exceed the ratio of the sizes
     x = x.where(F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb"))
     both = F.size(F.array_intersect("sa", "sb")).cast("double")
     return x.withColumn("likeness", both / (F.col("na") + F.col("nb") - both)).where(F.col("likeness") >= threshold).select("a", "b", "likeness")
 
 
+def verify_weighted(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+    """As verify, by the weighted Jaccard similarity: the sum of the lesser weights of each shingle over that of the greater."""
+
+    @F.arrow_udf("double")
+    def alike(sa: pa.Array, wa: pa.Array, sb: pa.Array, wb: pa.Array) -> pa.Array:
+        weights = lambda c: [x.values.to_numpy(zero_copy_only=False) for x in c]
+        out = []
+        for a, u, b, v in zip(list_values(sa), weights(wa), list_values(sb), weights(wb)):
+            _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+            low = np.minimum(u[i], v[j]).sum()
+            out.append(low / (u.sum() + v.sum() - low))
+        return pa.array(out, pa.float64())
+
+    side = lambda k: signed.select(F.col("rid").alias(k), F.col("sh").alias(f"s{k}"), F.col("w").alias(f"w{k}"))
+    x = pairs.join(side("a"), "a").join(side("b"), "b")
+    return x.withColumn("likeness", alike("sa", "wa", "sb", "wb")).where(F.col("likeness") >= threshold).select("a", "b", "likeness")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, comp) for each node of an undirected edge table (a, b); comp is the least node of its component.
 

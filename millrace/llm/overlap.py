@@ -2,59 +2,131 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.nearset import minhash_blocks, representatives, shingle_sets, verify, within_radius
+from millrace.llm.arrow import long_lists
+from millrace.llm.nearset import REMEMBERED, _fields, classes, verify, within_radius
+from millrace.llm.shingles import MinHash, shingles, words
 from millrace.session import cut, table
 from millrace.ship import ship
 
 #: 64 code blocks of four 16-bit minwise codes: at likeness 0.6 a pair shares a block with probability 0.9999.
 BLOCKS, ROWS = 64, 4
+#: The table of block keys that occur in evaluation splits has 16 bits a key, and 2**28 (32 MB) at most; a fuller one lets more keys by, and loses none.
+MOST_BITS = 28
 
 
-def cross_split_overlaps(train: DataFrame, splits: dict[str, DataFrame], id_col: str = "id", text_col: str = "text", k: int = 5, threshold: float = 0.8, min_words: int = 8) -> DataFrame:
-    """Pairs (split, eval_id, train_id, likeness) of evaluation and training records with Jaccard likeness >= threshold.
+def marked_rows(df: DataFrame, text: str, keys: list[str], k: int, min_words: int, filled: np.ndarray | None = None) -> DataFrame:
+    """keys + cls (equal for equal shingle sets), sh, code (the fingerprint) and keys of its blocks.
+
+    ``filled`` is a bit table of keys: others are left out, as are rows that keep none. sh, code and keys are NULL for a class that
+    the task has met before.
+    """
+    least = max(min_words, k)
+    src = df.where(F.col(text).isNotNull()).select(F.col(text).alias("_text"), *keys)
+    shared = df.sparkSession.sparkContext.broadcast(filled)  # MOST_BITS bits at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fp, bits, met = MinHash(BLOCKS, ROWS), shared.value, {}
+        down = np.uint64(64 - (len(bits) * 64).bit_length() + 1) if bits is not None else np.uint64(0)
+        for b in batches:
+            keep, cls, sets, codes, marks = [], [], [], [], []
+            for i, t in enumerate(b.column(0).to_pylist()):
+                ws = words(t)
+                if len(ws) < least:
+                    continue
+                h, _ = shingles(ws, k)
+                c = xxhash.xxh3_128_digest(h.tobytes())
+                wanted, new = met.get(c), c not in met
+                if new:
+                    m, code = fp(h)
+                    if bits is not None:
+                        at = m >> down
+                        m = m[(bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
+                    if len(met) >= REMEMBERED:
+                        met.clear()
+                    wanted = met[c] = len(m) > 0
+                if wanted:
+                    keep.append(i)
+                    cls.append(c)
+                    for col, v in zip((sets, codes, marks), (h, code, m) if new else (None, None, None)):
+                        col.append(v)
+            rest = [b.column(j).take(pa.array(keep, pa.int64())) for j in range(1, b.num_columns)]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(cls, pa.binary()), long_lists(sets), long_lists(codes), long_lists(marks)], names=[*keys, "cls", "sh", "code", "keys"])
+
+    return src.mapInArrow(run, _fields(src.select(*keys).schema) + "cls binary, sh array<bigint>, code array<bigint>, keys array<bigint>")
+
+
+def key_bits(marked: DataFrame) -> np.ndarray:
+    """A bit table of all block keys of the rows, addressed by their leading bits."""
+    keys = marked.agg(F.sum(F.size("keys"))).first()[0] or 1
+    k = min(MOST_BITS, max(12, int(16 * keys).bit_length()))
+    at = marked.select(F.explode("keys").alias("key")).select(F.shiftrightunsigned("key", 64 - k).alias("at"))
+    word = at.select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit"))
+    got = word.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most 2**(MOST_BITS - 6) rows
+    out = np.zeros(1 << (k - 6), np.uint64)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+class Overlaps(NamedTuple):
+    """links (a, b, likeness) of an evaluation class and a training class; evals (split, id, cls) and trains (id, cls), the members, each once."""
+
+    links: DataFrame
+    evals: DataFrame
+    trains: DataFrame
+
+    def pairs(self) -> DataFrame:
+        """(split, eval_id, train_id, likeness) of all members of linked classes."""
+        e = self.evals.select("split", F.col("id").alias("eval_id"), F.col("cls").alias("a"))
+        t = self.trains.select(F.col("id").alias("train_id"), F.col("cls").alias("b"))
+        return self.links.join(e, "a").join(t, "b").select("split", "eval_id", "train_id", "likeness")
+
+
+def cross_split_overlaps(train: DataFrame, splits: dict[str, DataFrame], id_col: str = "id", text_col: str = "text", k: int = 5, threshold: float = 0.8, min_words: int = 8) -> Overlaps:
+    """Overlaps of evaluation and training records with Jaccard likeness >= threshold.
 
     Bit fingerprints (b-bit minwise codes) are cut into blocks; blocks are joined across the splits; pairs within the
-    Hamming radius are verified on their shingle sets. Only classes of equal shingle sets are joined; members are
-    expanded at the end, since the result is asked for as pairs of ids. There is no cap on bucket size or partners.
+    Hamming radius are verified on their shingle sets. Training rows none of whose block keys occurs in an evaluation split leave in
+    the pass that reads them. Only classes of equal shingle sets are joined; a text in a third of all rows is one class, and its
+    members are narrow rows whose join adaptive execution splits. There is no cap on bucket size or partners.
 
     NULL, empty and short texts (fewer than min_words words) never match. A repeated row counts once. Empty tables
     give an empty result. Only the two named columns are read, so others may have any name.
     """
     ship(train.sparkSession)
-    name = lambda d, s: d.select(F.lit(s).alias("split"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    rows = reduce(DataFrame.unionByName, [name(d, s) for s, d in splits.items()], name(train, "_train"))
-    sets = cut(shingle_sets(rows, "text", ["split", "id"], k, min_words))
-    is_train = F.col("split") == "_train"
-    reps = representatives(sets, {"in_train": is_train, "in_eval": ~is_train})
-    marks = cut(minhash_blocks(reps, BLOCKS, ROWS, ["in_train", "in_eval"]))
-    block = marks.select("rid", "in_train", "in_eval", F.explode("keys").alias("key"))
-    left = block.where("in_eval").select(F.col("rid").alias("a"), "key")
-    right = block.where("in_train").select(F.col("rid").alias("b"), "key")
-    pairs = left.join(right, "key").select("a", "b").distinct()
-    near = within_radius(pairs, marks, threshold, BLOCKS * ROWS)
-    links = verify(near, reps, threshold)
-    member = sets.select("split", "id", "cls").distinct().join(reps.select("cls", "rid"), "cls").select("split", "id", "rid")
-    evals = member.where(F.col("split") != "_train").select("split", F.col("id").alias("eval_id"), F.col("rid").alias("a"))
-    trains = member.where(F.col("split") == "_train").select(F.col("id").alias("train_id"), F.col("rid").alias("b"))
-    return links.join(evals, "a").join(trains, "b").select("split", "eval_id", "train_id", "likeness")
+    name = lambda d, *c: d.select(*c, F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    evals = cut(marked_rows(reduce(DataFrame.unionByName, [name(d, F.lit(s).alias("split")) for s, d in splits.items()]), "text", ["split", "id"], k, min_words))
+    trains = cut(marked_rows(name(train), "text", ["id"], k, min_words, key_bits(evals)))
+    left, right = cut(classes(evals, "sh", "code", "keys")), cut(classes(trains, "sh", "code", "keys"))
+    pairs = left.select(F.col("cls").alias("a"), F.explode("keys").alias("key")).join(right.select(F.col("cls").alias("b"), F.explode("keys").alias("key")), "key").select("a", "b").distinct()
+    links = cut(verify(within_radius(pairs, left, right, threshold, BLOCKS * ROWS, "cls"), left, right, threshold, "cls"))
+    return Overlaps(links, evals.select("split", "id", "cls").distinct(), trains.select("id", "cls").distinct())
+
+
+def _overlaps(spark: SparkSession, sf_dir: str) -> Overlaps:
+    return cross_split_overlaps(table(spark, sf_dir, "train"), {s: table(spark, sf_dir, s) for s in ("val", "test")}, k=3, threshold=0.6)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = cross_split_overlaps(table(spark, sf_dir, "train"), {s: table(spark, sf_dir, s) for s in ("val", "test")}, k=3, threshold=0.6)
+    got = _overlaps(spark, sf_dir).pairs()
     return got.select("split", F.least("eval_id", "train_id").alias("id_a"), F.greatest("eval_id", "train_id").alias("id_b")).distinct()
 
 
 def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per split and source of the evaluation record: records, those with a counterpart in train, and their share."""
-    splits = {s: table(spark, sf_dir, s) for s in ("val", "test")}
-    got = cross_split_overlaps(table(spark, sf_dir, "train"), splits, k=3, threshold=0.6)
-    hit = got.groupBy("split", F.col("eval_id").alias("id")).agg(F.max("likeness").alias("best"))
-    rows = reduce(DataFrame.unionByName, [d.select(F.lit(s).alias("split"), "id", "source").distinct() for s, d in splits.items()])
+    got = _overlaps(spark, sf_dir)
+    best = got.links.groupBy(F.col("a").alias("cls")).agg(F.max("likeness").alias("best"))
+    hit = got.evals.join(best, "cls").groupBy("split", "id").agg(F.max("best").alias("best"))
+    rows = reduce(DataFrame.unionByName, [table(spark, sf_dir, s).select(F.lit(s).alias("split"), "id", "source").distinct() for s in ("val", "test")])
     return (
         rows.join(hit, ["split", "id"], "left").groupBy("split", "source")
         .agg(F.count(F.lit(1)).alias("records"), F.count("best").alias("overlapping"), F.count_if(F.col("best") == 1).alias("exact"))

@@ -102,27 +102,38 @@ class ICWS:
     from Gamma(2, 1) and beta from U(0, 1), all as functions of (element, sample number) only.
     """
 
+    #: Elements that one round of array operations takes: few enough to stay in the processor's cache.
+    PIECE = 192
+
     def __init__(self, blocks: int, rows: int, seed: int = 7):
         self.blocks, self.rows, self.n = blocks, rows, blocks * rows
-        self.mul = _seeds(self.n, seed) | np.uint64(1)
-        g = _gamma2_table(16)
+        self.mul = (_seeds(self.n, seed) | np.uint64(1))[:, None]
+        g = _gamma2_table(12)
         self.r, self.lnc = g.astype(np.float32), np.log(g).astype(np.float32)
 
+    def _draws(self, h: np.ndarray, lns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ln a, t), samples by elements; the element with the least a is the sample."""
+        x = h * self.mul
+        x ^= x >> np.uint64(32)
+        x *= _M2
+        r, lnc = self.r[(x >> np.uint64(52)).astype(np.intp)], self.lnc[((x >> np.uint64(40)) & np.uint64(0xFFF)).astype(np.intp)]
+        beta = (x & np.uint64(0xFFFFFFFF)).astype(np.uint32).astype(np.float32)
+        beta *= np.float32(2**-32)
+        t = lns / r
+        t += beta
+        np.floor(t, out=t)
+        beta -= np.float32(1)
+        np.subtract(t, beta, out=beta)
+        beta *= r
+        lnc -= beta
+        return lnc, t
+
     def __call__(self, h: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        best = np.full(self.n, np.inf, np.float32)
-        code = np.zeros(self.n, np.uint64)
-        lns = np.log(weight).astype(np.float32)
-        cols = np.arange(self.n)
-        for i in range(0, len(h), 1024):
-            x = h[i : i + 1024, None] * self.mul
-            x = (x ^ (x >> np.uint64(32))) * _M2
-            r = self.r[(x >> np.uint64(48)).astype(np.intp)]
-            lnc = self.lnc[((x >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.intp)]
-            beta = (x & np.uint64(0xFFFFFFFF)).astype(np.float32) * np.float32(2**-32)
-            t = np.floor(lns[i : i + 1024, None] / r + beta)
-            a = lnc - r * (t - beta + np.float32(1))
-            k = a.argmin(axis=0)
-            better = a[k, cols] < best
-            best = np.where(better, a[k, cols], best)
-            code = np.where(better, mix(h[i : i + 1024][k] + t[k, cols].astype(np.int64).astype(np.uint64) * _P), code)
-        return block_keys(code, self.rows)
+        lns, rows = np.log(weight).astype(np.float32), np.arange(self.n)
+        best = None
+        for i in range(0, len(h), self.PIECE):
+            a, t = self._draws(h[i : i + self.PIECE], lns[i : i + self.PIECE])
+            k = a.argmin(axis=1)
+            found, code = a[rows, k], mix(h[i : i + self.PIECE][k] + t[rows, k].astype(np.int64).astype(np.uint64) * _P)
+            best, codes = (found, code) if best is None else (np.minimum(best, found), np.where(found < best, code, codes))
+        return block_keys(codes, self.rows)

@@ -54,7 +54,7 @@ def test_overlaps_against_brute_force(spark):
     train = [(f"t{i}", x, 1) for i, x in enumerate(t[:60])] + [("t0", t[0], 2)]
     val = [(f"v{i}", x, 1) for i, x in enumerate(t[60:])]
     f = lambda rows: spark.createDataFrame(rows, "id string, text string, split int")
-    got = {(r["eval_id"], r["train_id"]) for r in overlap.cross_split_overlaps(f(train), {"val": f(val), "test": f(val).limit(0)}, k=3, threshold=0.6).collect()}
+    got = {(r["eval_id"], r["train_id"]) for r in overlap.cross_split_overlaps(f(train), {"val": f(val), "test": f(val).limit(0)}, k=3, threshold=0.6).pairs().collect()}
     want = {(v, a) for v, y, _ in val for a, x, _ in train if x and y and likeness(x, y) >= 0.6}
     assert got == want and len(want) > 20
 
@@ -89,7 +89,7 @@ def test_groups_against_brute_force(spark):
 def test_nothing_to_find(spark, rows):
     df = spark.createDataFrame(rows, "id string, text string")
     assert neardup.near_duplicate_groups(df, "id", "text").count() == 0
-    assert overlap.cross_split_overlaps(df, {"val": df}).count() == 0
+    assert overlap.cross_split_overlaps(df, {"val": df}).pairs().count() == 0
 
 
 def test_components_of_chains_and_hubs(spark):
@@ -105,3 +105,41 @@ def test_defaults_take_five_words_and_four_fifths(spark):
     df = spark.createDataFrame([("a", a), ("b", b), ("c", " ".join(WORDS[:20] + WORDS[100:120]))], "id string, text string")
     groups = {r["id"]: r["group"] for r in neardup.near_duplicate_groups(df, "id", "text").collect()}
     assert groups["a"] == groups["b"] != groups["c"]
+
+
+def test_group_names_do_not_depend_on_partitioning(spark):
+    df = spark.createDataFrame([(f"d{i}", x) for i, x in enumerate(texts(seed=6))], "id string, text string")
+    got = [sorted(map(tuple, neardup.near_duplicate_groups(df.repartition(n), "id", "text", k=3, threshold=0.6).collect())) for n in (1, 7)]
+    assert got[0] == got[1] and all(g <= i for i, g in got[0])
+
+
+def test_weighted_verification_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BANDS", 256)
+    stock = " ".join(WORDS[:12])
+    rng = random.Random(8)
+    t = [f"{stock} {' '.join(rng.choices(WORDS, k=9))}" for _ in range(12)]
+    t += [x + " and more" for x in t[:6]] + [x + " " + " ".join(x.split()[-4:] * 3) for x in t[6:9]]
+    df = spark.createDataFrame([(f"d{i:02}", x) for i, x in enumerate(t)], "id string, text string")
+    got = {r["id"]: r["group"] for r in neardup.near_duplicate_groups(df, "id", "text", k=3, threshold=0.6, weighted=True).collect()}
+    sets = [shingles(words(x), 3) for x in t]
+    share = {}
+    for h, _ in sets:
+        for s in h.tolist():
+            share[s] = share.get(s, 0) + 1 / len(t)
+    weight = [{s: np.log1p(1 / max(share[s], 1 / 16)) * (1 + np.log(n)) for s, n in zip(h.tolist(), c.tolist())} for h, c in sets]
+    want = list(range(len(t)))
+    for i, a in enumerate(weight):
+        for j, b in enumerate(weight[:i]):
+            low = sum(min(a[s], b[s]) for s in a.keys() & b.keys())
+            if low / (sum(a.values()) + sum(b.values()) - low) >= 0.6:
+                want = [want[j] if x == want[i] else x for x in want]
+    assert [got[f"d{i:02}"] for i in range(len(t))] == [f"d{min(j for j, y in enumerate(want) if y == x):02}" for x in want]
+    assert 6 < len(set(want)) < len(t)
+
+
+def test_a_text_in_a_third_of_the_rows(spark):
+    a, b = " ".join(WORDS[:40]), " ".join(WORDS[:39] + ["other"])
+    df = spark.createDataFrame([(f"d{i:04}", a if i % 3 else b) for i in range(3000)], "id string, text string")
+    assert neardup.near_duplicate_groups(df, "id", "text").select("group").distinct().count() == 1
+    got = overlap.cross_split_overlaps(df, {"val": df.limit(1).select("id", "text")})
+    assert got.links.count() == 2 and got.pairs().count() == 3000
