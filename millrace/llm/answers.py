@@ -1,7 +1,7 @@
 """Problem 3: broken question and answer pairs.
 
 Each answer is read once: a pushdown parser over fences, brackets, quotations, lists and markup says whether something
-opened was left open; greedy string tiling against the question finds copies; a grammar of refusals in nine languages,
+opened was left open; greedy string tiling against the question finds copies; a grammar of refusals in nine languages (``refusals``),
 a script and function-word check for the language. Whether an answer that stops without a full stop is whole is
 then judged from the corpus: its last words (numbers and names masked) are looked up among the endings of finished answers
 and among the places where finished answers go on.
@@ -19,9 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.lexicon import SETS, word_language, word_scores
+from millrace.llm.refusals import is_refusal
 from millrace.session import cut, small_or_plain, table
 from millrace.ship import ship
 
+#: An ending of unfinished answers counts as an ending if it is not rarer than this share among finished ones.
+NOISE = 0.02
 #: An answer is in another language if that one's score passes the question's language's by this factor and margin.
 FOREIGN_FACTOR, FOREIGN_MARGIN = 1.25, 0.2
 
@@ -37,60 +40,55 @@ NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten
 ABBREVIATIONS = frozenset("approx ca circa e.g i.e etc. vs env bzw z.b ungef aprox bijv ungefär".split())
 # Closing hedges after a number.
 HEDGES = tuple("most likely|approximately|or so|more or less|give or take|at most|at least|in total|in all|i think|i believe|i guess|perhaps|maybe|estimate|estimated|roughly|exactly|ungefähr|etwa|insgesamt|vielleicht|geschätzt|schätze ich|environ|en tout|je pense|peut-être|à peu près|más o menos|en total|creo yo|quizá|aproximadamente|più o meno|in totale|credo|circa|forse|mais ou menos|ao todo|talvez|ongeveer|in totaal|misschien|denk ik|ungefär|totalt|kanske|примерно|всего|наверное".split("|"))
-# The cores of refusals, over lower-cased text with straight apostrophes.
-REFUSALS = [
-    # to be unable or unwilling to say
-    r"\b(?:can't|cannot|can not|couldn't|could not|won't|will not|unable to|not able to|not be able to|no way (?:for (?:me|us) )?to|not possible (?:for me )?to|impossible (?:for me )?to|not in a position to|decline to|refuse to|prefer not to|rather not|not going to|not comfortable|must not|not allowed to|not permitted to|hesitate to)\b(?:(?!\bbut\b|\bstill\b|\bless\b|\bmore\b).){0,25}?\b(?:answer|say|tell|give|provide|determine|guess|estimate|know|help|respond|state|offer|name|share|comment|settle|speculate|calculate|compute|assist|confirm|disclose|produce|report|supply|predict|quote|judge|derive|discuss)",
-    r"\b(?:don't|do not|didn't|did not|doesn't|does not) (?:really |actually )?(?:know\b|have (?:(?:enough|any|sufficient|the|that|this) )*(?:\w+ )?(?:information|data|knowledge|basis|figure|figures|access|means|details|idea)|allow|permit|let me)",
-    r"\b(?:have|has|there is|there's|i see) (?:no|not enough|insufficient) (?:\w+ ){0,2}?(?:basis|information|data|knowledge|idea|access|way of knowing|means)\b",
-    r"\bno (?:answer|figure|value|number|estimate) can be (?:given|named|provided|stated)|\bno way for (?:me|us)\b|\bnothing (?:\w+ ){1,4}(?:lets|allows|permits|enables)\b",
-    r"\birresponsible (?:of me )?to\b|\bkeeps? me from\b|\bprevents? me from\b|\bnot allow(?:ed)? (?:me )?to\b|\blies? (?:outside|beyond)\b|\b(?:outside|beyond) (?:of )?(?:what i|my (?:knowledge|scope|ability|abilities))",
-    r"\bnot (?:a question|something) (?:that )?i (?:can|could|am)\b|\bsomething i (?:can't|cannot)\b|\bpass on (?:this|that|it)\b|\b(?:have|need|best) to ask (?:someone|somebody|a |an )|\bno comment\b|\b(?:insufficient|not enough) (?:information|data)\b|\bi have no idea\b|\bask someone else\b",
-    # other languages
-    r"\b(?:keine? (?:\w+ )?(?:zahl|angabe|auskunft|schätzung|antwort|zahlen|wert)\w* (?:nennen|geben|machen|abgeben)|keine (?:\w+ )?(?:angaben|daten|informationen)(?: dazu)? vor|liegen (?:mir|uns) keine|kann (?:ich|man|dazu|das|es|hier|leider)(?: \w+){0,4} nicht (?:beantworten|sagen|angeben|beurteilen|helfen)|nicht (?:beantworten|sagen|beurteilen|weiterhelfen)|weiß (?:ich )?(?:es |das )?(?:leider )?nicht|möchte (?:\w+ ){0,3}(?:nicht|keine)|lieber nicht|keine ahnung)",
-    r"\b(?:préfère ne|ne (?:\w+ ){0,2}?(?:dispose|disposons|connais) pas|ne (?:peux|puis|saurais|peut|pourrais) (?:pas |malheureusement )?|n'en sai[st] rien|ne sais pas|aucune (?:information|donnée|idée)|pas (?:assez|suffisamment) (?:d'|de )|impossible de (?:répondre|dire|donner))",
-    r"\b(?:no (?:dispongo|tengo|cuento|poseo)\b|no (?:lo |le )?(?:puedo|podría|sé|se puede)\b|prefiero no|no me es posible|no es posible|sin datos|lo desconozco|desconozco)",
-    r"\b(?:non (?:dispongo|ho (?:dati|informazioni|abbastanza|idea)|posso|potrei|saprei|lo so|sono in grado|mi è possibile)|preferisco non|nessuna informazione)",
-    r"\b(?:não (?:disponho|tenho|posso|poderia|sei|consigo|é possível|me é possível|saberia)|prefiro não|desconheço)",
-    r"\b(?:kan (?:ik|dat|daar|die)(?: \w+){0,4} (?:niet|geen)|weet (?:ik )?(?:het |dat )?(?:helaas )?niet|liever (?:geen|niet)|geen (?:gegevens|informatie|idee|antwoord|getal noemen)|niet (?:beantwoorden|zeggen))",
-    r"\b(?:kan (?:jag )?(?:tyvärr )?inte|vet (?:jag )?(?:tyvärr )?inte|vill (?:jag )?(?:helst )?inte|(?:har|saknar) (?:inga|ingen|inte|uppgifter|underlag)|inga uppgifter)",
-    r"(?:не (?:могу|можем|знаю|знаем|располагаю|имею|берусь|хочу|хотел)|нет (?:данных|сведений|информации)|предпочитаю не|затрудняюсь|воздержусь|лучше не)",
-]
-_REFUSAL = re.compile("|".join(f"(?:{p})" for p in REFUSALS))
 # a number that is given after all, behind an adversative or a colon
 _GIVEN = re.compile(r"(?:\bbut\b|\bstill\b|\bhowever\b|\byet\b|\bthough\b|\banyway\b|\bso i\b|\baber\b|\bjedoch\b|\bmais\b|\bpero\b|\bma\b|\bperò\b|\bmas\b|\bmaar\b|\bmen\b|\bно\b|[:;=≈~])[^.!?]*?\d")
 
 _OPEN = {"(": ")", "[": "]", "{": "}", "“": "”", "„": "“", "«": "»", "‚": "‘"}
 _LIST_ITEM = re.compile(r"(?:^|\n)\s*(?:[-*+•]|\d+[.)])\s*$")
+_MARK = re.compile(r"```|\*\*|__|`|<(/?)([A-Za-z][A-Za-z0-9]*)(?:\s[^<>]*)?(/?)>|[\"“”„«»‚‘()\[\]{}]")
+_STARTED_TAG = re.compile(r"</?[A-Za-z][A-Za-z0-9]*(?:\s+[\w-]+=[^<>]*)?$|</$")
+# Tags that have no end.
+VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
 def left_open(text: str) -> bool:
-    """Whether something is open at the end, by a pushdown automaton: code fences, inline code, brackets, quotations, or a list item without content."""
+    """Whether something is open at the end, by a pushdown automaton over the whole text: code fences, inline code, brackets, quotations, emphasis, tags, or a list item without content.
+
+    Within code nothing else counts. A straight quotation mark after a digit that closes nothing is a unit; double signs with blanks around them, or
+    within a word, are no emphasis. A closer that was never opened counts for nothing.
+    """
     stack: list[str] = []
-    i, n = 0, len(text)
-    while i < n:
-        c = text[i]
-        if text.startswith("```", i):
-            if stack and stack[-1] == "```":
-                stack.pop()
-            else:
-                stack.append("```")
-            i += 3
-            continue
-        if stack and stack[-1] == "```":
-            i += 1  # nothing counts within a fence
+    for m in _MARK.finditer(text):
+        c, top, at = m.group(), stack[-1] if stack else "", m.start()
+        if top in ("```", "`") and c != top:
             continue
-        if stack and c == stack[-1]:
+        if c in ("```", "`"):
+            stack.pop() if c == top else stack.append(c)
+        elif c in ("**", "__"):
+            before, after = text[at - 1 : at], text[at + 2 : at + 3]
+            if c in stack:
+                while stack.pop() != c:
+                    pass
+            elif after.strip() and not (before.isalnum() and after.isalnum()) and after not in ".,;:!?)":
+                stack.append(c)
+        elif m.group(2):
+            tag = f"<{m.group(2).lower()}>"
+            if m.group(1):
+                while tag in stack and stack.pop() != tag:
+                    pass
+            elif not m.group(3) and m.group(2).lower() not in VOID_TAGS:
+                stack.append(tag)
+        elif c == top:
             stack.pop()
-        elif c == "`" or c == '"':
-            stack.append(c)
+        elif c == '"':
+            if not text[at - 1 : at].isdigit():
+                stack.append(c)
         elif c in _OPEN:
             stack.append(_OPEN[c])
         elif c in ")]}" and c in stack:
             while stack.pop() != c:  # a closer ends what stands open within it
                 pass
-        i += 1
-    return bool(stack) or bool(_LIST_ITEM.search(text) and _ALNUM.search(text[: text.rfind("\n") + 1] or ""))
+    return bool(stack) or bool(_STARTED_TAG.search(text)) or bool(_LIST_ITEM.search(text) and _ALNUM.search(text[: text.rfind("\n") + 1] or ""))
 
 
 def tiles(a: list[str], b: list[str], least: int = 3) -> int:
@@ -135,11 +133,10 @@ def is_copy(answer: list[str], question: list[str]) -> bool:
     known = set(question)
     if any(_NUMBER.match(t) or t in NUMBER_WORDS for t in answer if t not in known):
         return False
-    got = tiles(question, answer)
-    if got < 0.7 * len(question):
-        return False
     twice = sum(t in known for t in answer)
-    return twice >= 0.75 * len(answer) and len(answer) - twice <= 4
+    if twice < max(0.75 * len(answer), 0.7 * len(question), len(answer) - 4):
+        return False
+    return tiles(question, answer) >= 0.7 * len(question)
 
 
 def _mask(tokens: list[str]) -> list[str]:
@@ -153,9 +150,10 @@ def _ending(masked: list[str]) -> int:
 
 
 def _is_finished(core: str) -> bool:
-    if not core or core[-1] not in _TERMINAL:
+    """Whether a sentence ends there; an ellipsis does not say so."""
+    if not core or core[-1] not in _TERMINAL or core.endswith(("...", "…")):
         return False
-    if core[-1] == "." and not core.endswith("..."):
+    if core[-1] == ".":
         last = core[:-1].rsplit(None, 1)[-1].lower() if core[:-1].split() else ""
         return last not in ABBREVIATIONS
     return True
@@ -190,7 +188,7 @@ class Reader:
             return None, False, None, 0, [], []  # a bare number
         low = core.lower().replace("’", "'")
         has_number = len(words) < len(tokens)
-        if _REFUSAL.search(low) and not (has_number and _GIVEN.search(low)):
+        if is_refusal(low, [w.replace("’", "'") for w in words]) and not (has_number and _GIVEN.search(low)):
             return "refusal", False, None, 0, [], []
         q, qset, qlang = self.question(question)
         if is_copy(lower, q):
@@ -267,15 +265,20 @@ def defective_pairs(pairs: DataFrame, record: str, answer: str, question: str) -
     ship(pairs.sparkSession)
     src = pairs.select(F.col(record).alias("record"), F.col(answer).alias("answer"), F.col(question).alias("question"))
     kind = src.schema["record"].dataType.simpleString()
-    read = cut(src.mapInArrow(_read_answers, f"record {kind}, defect string, foreign boolean, key bigint, kind int, n bigint"))
-    known = read.where("kind > 2").groupBy("key").agg(F.sum(F.when(F.col("kind") == 3, F.col("n")).otherwise(0)).alias("ends"), F.sum(F.when(F.col("kind") == 4, F.col("n")).otherwise(0)).alias("on"))
+    empty = src.where(~F.coalesce(F.col("answer").rlike(r"[\p{L}\p{N}]"), F.lit(False))).select("record", F.lit("empty").alias("defect"))
+    # an answer without a letter is a bare number, so only the others are read
+    read = cut(src.where(F.col("answer").rlike(r"\p{L}")).mapInArrow(_read_answers, f"record {kind}, defect string, foreign boolean, key bigint, kind int, n bigint"))
+    # kind 1 counts how often an ending in a word stands without a full stop, 3 with one; 4 how often text goes on after a number
+    times = lambda k: F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0))
+    known = read.where("kind in (1, 3, 4)").groupBy("key").agg(times(1).alias("bare"), times(3).alias("ends"), times(4).alias("on"))
     rows = read.where("kind <= 2")
     open_ = rows.where("kind > 0").join(known, "key", "left")
-    ends, on = F.coalesce("ends", F.lit(0)), F.coalesce("on", F.lit(0))
-    broken = F.when(F.col("kind") == 1, ends == 0).otherwise((ends == 0) & (on > 0))
+    # shares, not counts: noise among finished answers grows with the corpus as its endings do
+    against = F.when(F.col("kind") == 1, F.col("bare")).otherwise(F.coalesce("on", F.lit(0)))
+    broken = F.coalesce("ends", F.lit(0)) < NOISE * against
     judged = open_.withColumn("defect", F.when(broken, F.lit("truncated"))).select("record", "defect", "foreign")
     all_ = rows.where("kind = 0").select("record", "defect", "foreign").unionByName(judged)
-    return all_.withColumn("defect", F.coalesce("defect", F.when(F.col("foreign"), F.lit("other_language")))).where("defect is not null").select("record", "defect")
+    return all_.withColumn("defect", F.coalesce("defect", F.when(F.col("foreign"), F.lit("other_language")))).where("defect is not null").select("record", "defect").unionByName(empty)
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
