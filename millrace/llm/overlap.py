@@ -20,14 +20,14 @@ from millrace.ship import ship
 
 #: 64 code blocks of four 16-bit minwise codes: at likeness 0.6 a pair shares a block with probability 0.9999.
 BLOCKS, ROWS = 64, 4
-#: The table of block keys that occur in evaluation splits has 16 bits a key, and 2**28 (32 MB) at most; a fuller one lets more keys by, and loses none.
-MOST_BITS = 28
+#: The Bloom filter of block keys that occur in evaluation splits has 16 bits or more a key, and 2**28 (32 MB) at most; a fuller one lets more keys by, and loses none.
+MOST_BITS, PROBES = 28, 8
 
 
 def marked_rows(df: DataFrame, text: str, keys: list[str], k: int, min_words: int, filled: np.ndarray | None = None) -> DataFrame:
     """keys + cls (equal for equal shingle sets), sh, code (the fingerprint) and keys of its blocks.
 
-    ``filled`` is a bit table of keys: others are left out, as are rows that keep none. sh, code and keys are NULL for a class that
+    ``filled`` is a Bloom filter of keys: others are left out, as are rows that keep none. sh, code and keys are NULL for a class that
     the task has met before.
     """
     least = max(min_words, k)
@@ -36,7 +36,6 @@ def marked_rows(df: DataFrame, text: str, keys: list[str], k: int, min_words: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fp, bits, met = MinHash(BLOCKS, ROWS), shared.value, {}
-        down = np.uint64(64 - (len(bits) * 64).bit_length() + 1) if bits is not None else np.uint64(0)
         for b in batches:
             keep, cls, sets, codes, marks = [], [], [], [], []
             for i, t in enumerate(b.column(0).to_pylist()):
@@ -49,8 +48,7 @@ def marked_rows(df: DataFrame, text: str, keys: list[str], k: int, min_words: in
                 if new:
                     m, code = fp(h)
                     if bits is not None:
-                        at = m >> down
-                        m = m[(bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
+                        m = m[known_keys(m, bits)]
                     if len(met) >= REMEMBERED:
                         met.clear()
                     wanted = met[c] = len(m) > 0
@@ -66,10 +64,10 @@ def marked_rows(df: DataFrame, text: str, keys: list[str], k: int, min_words: in
 
 
 def key_bits(marked: DataFrame) -> np.ndarray:
-    """A bit table of all block keys of the rows, addressed by their leading bits."""
+    """A Bloom filter of all block keys of the rows, as words of 64 bits; probe i is low half + i * high half, modulo the size."""
     keys = marked.agg(F.sum(F.size("keys"))).first()[0] or 1
     k = min(MOST_BITS, max(12, int(16 * keys).bit_length()))
-    at = marked.select(F.explode("keys").alias("key")).select(F.shiftrightunsigned("key", 64 - k).alias("at"))
+    at = marked.select(F.explode("keys").alias("key")).select(F.explode(F.expr(f"transform(sequence(0L, {PROBES - 1}L), i -> ((key & 4294967295L) + i * (shiftrightunsigned(key, 32) | 1L)) & {(1 << k) - 1}L)")).alias("at"))
     word = at.select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit"))
     got = word.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most 2**(MOST_BITS - 6) rows
     out = np.zeros(1 << (k - 6), np.uint64)
@@ -77,6 +75,13 @@ def key_bits(marked: DataFrame) -> np.ndarray:
     return out
 
 
+def known_keys(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which keys the filter lets by."""
+    at = (keys[:, None] & np.uint64(0xFFFFFFFF)) + np.arange(PROBES, dtype=np.uint64) * ((keys[:, None] >> np.uint64(32)) | np.uint64(1))
+    at &= np.uint64(len(bits) * 64 - 1)
+    return (((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)) == 1).all(axis=1)
+
+
 class Overlaps(NamedTuple):
     """links (a, b, likeness) of an evaluation class and a training class; evals (split, id, cls) and trains (id, cls), the members, each once."""
 
@@ -108,7 +113,8 @@ def cross_split_overlaps(train: DataFrame, splits: dict[str, DataFrame], id_col:
     trains = cut(marked_rows(name(train), "text", ["id"], k, min_words, key_bits(evals)))
     left, right = cut(classes(evals, "sh", "code", "keys")), cut(classes(trains, "sh", "code", "keys"))
     pairs = left.select(F.col("cls").alias("a"), F.explode("keys").alias("key")).join(right.select(F.col("cls").alias("b"), F.explode("keys").alias("key")), "key").select("a", "b").distinct()
-    links = cut(verify(within_radius(pairs, left, right, threshold, BLOCKS * ROWS, "cls"), left, right, threshold, "cls"))
+    near = cut(within_radius(pairs, left, right, threshold, BLOCKS * ROWS, "cls"))
+    links = cut(verify(near, left, right, threshold, "cls"))
     return Overlaps(links, evals.select("split", "id", "cls").distinct(), trains.select("id", "cls").distinct())
 
 
