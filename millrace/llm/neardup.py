@@ -31,7 +31,7 @@ def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, k: int = 5,
     sets = cut(shingle_sets(rows, "text", ["id"], k, min_words, tf=weighted, frequencies=True))
     shares = document_shares(sets, sets.where("cls is not null").count())
     signed = cut(signed_classes(classes(sets, "sh", "tf"), shares, BANDS, ROWS, weighted))
-    alike = (lambda p: verify_weighted(p, signed, threshold)) if weighted else (lambda p: verify(within_radius(p, signed, signed, threshold, CODE_BITS), signed, signed, threshold))
+    alike = (lambda p: verify_weighted(p, signed, threshold)) if weighted else (lambda p: verify(cut(within_radius(p, signed, signed, threshold, CODE_BITS)), signed, signed, threshold))
     member = cut(sets.where("cls is not null").select("id", "cls").distinct().join(signed.select("cls", "rid"), "cls").select("id", "rid"))
     marks = signed.select("rid", F.explode("keys").alias("key"))
     first = marks.groupBy("key").agg(F.min("rid").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.arrow import list_values, long_lists
 from millrace.llm.shingles import ICWS, MinHash, shingles, words
-from millrace.session import cut
+from millrace.session import BROADCAST_BYTES, cut
 
 #: Document frequencies are counted in two rows of this many hash buckets, over all documents; of a shingle's two counts the lesser holds. A text
 #: of n shingles adds n / DF_BUCKETS to the expected share of any bucket, at every size of the collection; shares under DF_FLOOR weigh the same.
@@ -143,8 +143,16 @@ def within_radius(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold
     return x.where(distance <= hamming_radius(threshold, bits)).select("a", "b")
 
 
+def needed(sets: DataFrame, pairs: DataFrame, side: str, key: str) -> DataFrame:
+    """The classes that stand on one side of the pairs (a written table); where the pairs are many, all classes, of which the join then takes its own."""
+    if pairs.count() * 40 > BROADCAST_BYTES:
+        return sets
+    return sets.join(F.broadcast(pairs.select(F.col(side).alias(key)).distinct()), key, "left_semi")
+
+
 def verify(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float, key: str = "rid") -> DataFrame:
-    """(a, b, likeness) of the pairs of classes whose Jaccard similarity reaches the threshold; left and right: (key, sh)."""
+    """(a, b, likeness) of the pairs of classes (a written table) whose Jaccard similarity reaches the threshold; left and right: (key, sh)."""
+    left, right = needed(left, pairs, "a", key), needed(right, pairs, "b", key)
     side = lambda d, k: d.select(F.col(key).alias(k), F.col("sh").alias(f"s{k}"), F.size("sh").alias(f"n{k}"))
     x = pairs.join(side(left, "a"), "a").join(side(right, "b"), "b")
     # a cheap bound first: likeness cannot exceed the ratio of the sizes
