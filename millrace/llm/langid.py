@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.lexicon import LANGUAGES, SETS, label_language, word_scores
+from millrace.llm.logistic import fitted_once
 from millrace.session import cut, table
 from millrace.ship import ship
 
@@ -31,7 +32,10 @@ SLOTS = 1 << 17
 MIN_WORDS, MIN_CONFIDENCE, MIN_SHARE = 4, 0.75, 0.6
 #: Texts with fewer words of letters have no case.
 MIN_LETTER_WORDS = 6
-CHUNK = 400  # words that one pass of forward-backward takes; texts are divided at sentence borders
+#: Words, padding among them, that one pass of forward-backward takes; a longer text is a pass of its own.
+PASS_WORDS = 60_000
+#: Words whose emissions a task remembers.
+REMEMBERED = 200_000
 
 _L = {k: i for i, k in enumerate(LANGUAGES)}
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
@@ -66,16 +70,15 @@ def word_features(w: str) -> np.ndarray:
     low = w.lower().replace("’", "'")
     m = f"^{low}$"
     fs = [f"w={low}", *(f"p{n}={low[:n]}" for n in (1, 2, 3)), *(f"s{n}={low[-n:]}" for n in (1, 2, 3, 4))]
-    fs += [f"g={m[i : i + n]}" for n in (2, 3) for i in range(min(len(m), 24) - n + 1)]
+    fs += [f"g={m[i : i + n]}" for n in (2, 3) for i in range(len(m) - n + 1)]
     fs += [f"lex={k}" for k in LANGUAGES if low in SETS[k]]
     fs.append("cyrillic" if "Ѐ" <= low[0] <= "ӿ" else "latin")
     fs.append(f"cap={w[0].isupper()}")
     return np.unique(np.array([xxhash.xxh3_64_intdigest(f.encode("utf-8", "surrogatepass")) % SLOTS for f in fs], np.int64))
 
 
-def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
-    m = x.max(axis=axis)
-    return m + np.log(np.exp(x - np.expand_dims(m, axis)).sum(axis=axis))
+def _normal(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(axis=-1, keepdims=True)
 
 
 class Crf:
@@ -86,93 +89,97 @@ class Crf:
         self.w = np.zeros((SLOTS, n), np.float32)
         self.first = np.zeros(n)
         self.inside, self.across = np.eye(n) * 2.0, np.eye(n)
-        self.cache: dict[str, np.ndarray] = {}
+        self.forget()
 
-    def emission(self, w: str) -> np.ndarray:
-        e = self.cache.get(w)
-        if e is None:
-            if len(self.cache) > 200_000:
-                self.cache.clear()
-            e = self.cache[w] = self.w[word_features(w)].sum(axis=0)
-        return e
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.table = np.zeros((1024, len(LANGUAGES)), np.float32)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"cache": {}}
-
-    def forward_backward(self, e: np.ndarray, border: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Marginals (B, T, L), alpha and beta of padded sequences. border[b, t]: word t begins a sentence."""
-        b, t, n = e.shape
-        alpha, beta = np.zeros((b, t, n)), np.zeros((b, t, n))
-        alpha[:, 0] = e[:, 0] + self.first
-        trans = lambda i: np.where(border[:, i, None, None], self.across, self.inside)
-        for i in range(1, t):
-            nxt = _logsumexp(alpha[:, i - 1, :, None] + trans(i), 1) + e[:, i]
-            alpha[:, i] = np.where(mask[:, i, None], nxt, alpha[:, i - 1])
-        for i in range(t - 2, -1, -1):
-            prev = _logsumexp(trans(i + 1) + (e[:, i + 1] + beta[:, i + 1])[:, None, :], 2)
-            beta[:, i] = np.where(mask[:, i + 1, None], prev, beta[:, i + 1])
-        z = alpha + beta
-        return np.exp(z - _logsumexp(z, 2)[..., None]), alpha, beta
-
-    def marginals(self, seqs: list[list[list[str]]], size: int = 128) -> list[np.ndarray]:
+        return {k: v for k, v in self.__dict__.items() if k not in ("known", "table")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.forget()
+
+    def emissions(self, ws: list[str]) -> np.ndarray:
+        """(words, languages)."""
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        new = [w for w in dict.fromkeys(ws) if w not in self.known]
+        while len(self.known) + len(new) > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        for w in new:
+            at = self.known[w] = len(self.known)
+            self.table[at] = self.w[word_features(w)].sum(axis=0)
+        return self.table[np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws))]
+
+    def forward_backward(self, e: np.ndarray, border: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Marginals, alpha and beta (B, T, L) and exp(e) of padded sequences, each scaled at every word. border[b, t]: word t begins a sentence.
+
+        A text is one sequence whatever its length: alpha and beta are carried over all of its sentences.
+        """
+        x = np.exp(e - e.max(axis=2, keepdims=True))
+        alpha, beta = np.empty_like(x), np.ones_like(x)
+        inside, across = np.exp(self.inside), np.exp(self.across)
+        a = alpha[:, 0] = _normal(x[:, 0] * np.exp(self.first))
+        for i in range(1, x.shape[1]):
+            begins = border[:, i, None]
+            a = alpha[:, i] = _normal((np.where(begins, a @ across, a @ inside) if begins.any() else a @ inside) * x[:, i])
+        b = beta[:, -1]
+        for i in range(x.shape[1] - 2, -1, -1):
+            v, begins = b * x[:, i + 1], border[:, i + 1, None]
+            b = _normal(np.where(begins, v @ across.T, v @ inside.T) if begins.any() else v @ inside.T)
+            b = beta[:, i] = np.where(mask[:, i + 1, None], b, 1.0)
+        return _normal(alpha * beta), alpha, beta, x
+
+    def marginals(self, seqs: list[list[list[str]]]) -> list[np.ndarray]:
         """For each sequence (a list of sentences) the probabilities of its words, (words, languages)."""
         out: list[np.ndarray] = [np.zeros((0, len(LANGUAGES)))] * len(seqs)
-        order = sorted((i for i in range(len(seqs)) if seqs[i]), key=lambda i: sum(map(len, seqs[i])))
-        for at in range(0, len(order), size):
-            part = order[at : at + size]
-            e, border, mask = self.padded([seqs[i] for i in part])
-            p, _, _ = self.forward_backward(e, border, mask)
+        size = [sum(map(len, s)) for s in seqs]
+        order = sorted((i for i in range(len(seqs)) if seqs[i]), key=size.__getitem__)
+        while order:
+            # the longest of a pass sets the padding of all
+            n = next((k for k in range(1, len(order)) if size[order[k]] * (k + 1) > PASS_WORDS), len(order))
+            part, order = order[:n], order[n:]
+            p = self.forward_backward(*self.padded([seqs[i] for i in part]))[0]
             for k, i in enumerate(part):
-                out[i] = p[k, : int(mask[k].sum())]
+                out[i] = p[k, : size[i]]
         return out
 
     def padded(self, seqs: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        t = max(sum(map(len, s)) for s in seqs)
-        e = np.zeros((len(seqs), t, len(LANGUAGES)))
-        border, mask = np.zeros((len(seqs), t), bool), np.zeros((len(seqs), t), bool)
-        for k, s in enumerate(seqs):
-            i = 0
-            for ws in s:
-                border[k, i] = True
-                for w in ws:
-                    e[k, i] = self.emission(w)
-                    i += 1
-            mask[k, :i] = True
+        border, mask = _shape([[len(ws) for ws in s] for s in seqs])
+        e = np.zeros((*mask.shape, len(LANGUAGES)))
+        e[mask] = self.emissions([w for s in seqs for ws in s for w in ws])
         return e, border, mask
 
     def fit(self, seqs: list[list[tuple[list[str], int]]], epochs: int = 3, rate: float = 0.15, seed: int = 1) -> Crf:
         """Maximum likelihood by AdaGrad on small batches; a sequence is a list of (words, language number)."""
         n = len(LANGUAGES)
         g2, t2 = np.full((SLOTS, n), 1e-4, np.float32), np.full((2, n, n), 1e-2)
-        feats: dict[str, np.ndarray] = {}
+        number: dict[str, int] = {}
+        ids = [np.array([number.setdefault(w, len(number)) for ws, _ in s for w in ws], np.int64) for s in seqs]
+        feats = [word_features(w) for w in number]
         rng = random.Random(seed)
         for _ in range(epochs):
-            order = sorted(range(len(seqs)), key=lambda i: (sum(len(w) for w, _ in seqs[i]) // 16, rng.random()))
+            order = sorted(range(len(seqs)), key=lambda i: (len(ids[i]) // 16, rng.random()))
             batches = [order[i : i + 32] for i in range(0, len(order), 32)]
             rng.shuffle(batches)
             for part in batches:
-                self.cache.clear()
-                e, border, mask = self.padded([[w for w, _ in seqs[i]] for i in part])
-                p, alpha, beta = self.forward_backward(e, border, mask)
+                border, mask = _shape([[len(ws) for ws, _ in seqs[i]] for i in part])
                 gold = np.zeros(mask.shape, int)
-                for k, i in enumerate(part):
-                    g = [y for ws, y in seqs[i] for _ in ws]
-                    gold[k, : len(g)] = g
-                d = (p - np.eye(n)[gold]) * mask[..., None]
-                rows, delta = [], []
-                for k, i in enumerate(part):
-                    at = 0
-                    for ws, _ in seqs[i]:
-                        for w in ws:
-                            f = feats.get(w)
-                            if f is None:
-                                f = feats[w] = word_features(w)
-                            rows.append(f)
-                            delta.append(np.broadcast_to(d[k, at], (len(f), n)))
-                            at += 1
-                flat, grad = np.concatenate(rows), np.concatenate(delta)
+                gold[mask] = np.concatenate([np.repeat([y for _, y in seqs[i]], [len(ws) for ws, _ in seqs[i]]) for i in part])
+                own, at = np.unique(np.concatenate([ids[i] for i in part]), return_inverse=True)
+                lens = np.array([len(feats[k]) for k in own])
+                flat = np.concatenate([feats[k] for k in own])
+                e = np.zeros((*mask.shape, n))
+                e[mask] = np.add.reduceat(self.w[flat], np.concatenate([[0], np.cumsum(lens)[:-1]]), axis=0)[at]
+                p, alpha, beta, x = self.forward_backward(e, border, mask)
+                d = (p - np.eye(n)[gold])[mask]
+                word = np.stack([np.bincount(at, d[:, j], len(own)) for j in range(n)], axis=1)
                 slots, inv = np.unique(flat, return_inverse=True)
-                g = np.stack([np.bincount(inv, grad[:, j], len(slots)) for j in range(n)], axis=1).astype(np.float32) / len(part)
+                each = np.repeat(word, lens, axis=0)
+                g = np.stack([np.bincount(inv, each[:, j], len(slots)) for j in range(n)], axis=1).astype(np.float32) / len(part)
                 g2[slots] += g * g
                 self.w[slots] -= rate * g / np.sqrt(g2[slots])
                 # transitions: expected minus seen
@@ -180,16 +187,26 @@ class Crf:
                     sel = mask[:, 1:] & (border[:, 1:] == which)
                     if not sel.any():
                         continue
-                    x = alpha[:, :-1][sel][:, :, None] + tab + (e[:, 1:] + beta[:, 1:])[sel][:, None, :]
-                    x = np.exp(x - _logsumexp(x.reshape(len(x), -1), 1)[:, None, None]).sum(axis=0)
-                    np.subtract.at(x, (gold[:, :-1][sel], gold[:, 1:][sel]), 1)
-                    x /= len(part)
-                    t2[int(which)] += x * x
-                    tab -= rate * x / np.sqrt(t2[int(which)])
-        self.cache.clear()
+                    pair = alpha[:, :-1][sel][:, :, None] * np.exp(tab) * (x[:, 1:] * beta[:, 1:])[sel][:, None, :]
+                    t = (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+                    np.subtract.at(t, (gold[:, :-1][sel], gold[:, 1:][sel]), 1)
+                    t /= len(part)
+                    t2[int(which)] += t * t
+                    tab -= rate * t / np.sqrt(t2[int(which)])
+        self.forget()
         return self
 
 
+def _shape(lengths: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(border, mask) of padded sequences whose sentences have these lengths."""
+    total = np.array([sum(s) for s in lengths])
+    mask = np.arange(total.max()) < total[:, None]
+    border = np.zeros(mask.shape, bool)
+    for k, s in enumerate(lengths):
+        border[k, np.cumsum([0, *s[:-1]])] = True
+    return border, mask
+
+
 def training_sequences(labelled: list[tuple[str, str]], seed: int = 1) -> list[list[tuple[list[str], int]]]:
     """Sequences from (text, label): a sentence keeps the text's label unless its function words plainly say another language.
 
@@ -228,7 +245,10 @@ def training_sequences(labelled: list[tuple[str, str]], seed: int = 1) -> list[l
 
 
 def fit_from(df: DataFrame, text_col: str, label_col: str) -> Crf:
-    """A field fitted on at most TRAIN_ROWS rows for each language that labels name, least by hash."""
+    """A field fitted on at most TRAIN_ROWS rows for each language that labels name, least by hash.
+
+    The fit is a function of these rows alone, so a process keeps the last fields and fits the same rows once.
+    """
 
     @F.arrow_udf("string")
     def named(v: pa.Array) -> pa.Array:
@@ -237,41 +257,18 @@ def fit_from(df: DataFrame, text_col: str, label_col: str) -> Crf:
 
     rows = df.where(F.length(text_col) > 40).select(F.col(text_col).alias("text"), named(F.col(label_col).cast("string")).alias("label"))
     rows = rows.where(F.col("label").isin(*LANGUAGES)).withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("text"))))
-    got = rows.where(F.col("k") <= TRAIN_ROWS).select("text", "label").collect()
-    return Crf().fit(training_sequences(sorted((r["text"], r["label"]) for r in got)))
-
-
-def _chunks(sents: list[list[str]]) -> list[list[list[str]]]:
-    """Sentences in runs of at most CHUNK words; a longer sentence is divided."""
-    out: list[list[list[str]]] = []
-    n = CHUNK
-    for ws in sents:
-        for i in range(0, len(ws), CHUNK):
-            piece = ws[i : i + CHUNK]
-            if n + len(piece) > CHUNK:
-                out.append([])
-                n = 0
-            out[-1].append(piece)
-            n += len(piece)
-    return out
+    got = sorted((r["text"], r["label"]) for r in rows.where(F.col("k") <= TRAIN_ROWS).select("text", "label").collect())
+    return fitted_once(got, lambda: Crf().fit(training_sequences(got)))
 
 
 def judge(texts: list[str | None], crf: Crf) -> list[tuple[list[tuple[int, int, str, float]], str | None, float, list[str]]]:
     """For each text its passages (start, end, language, confidence), its main language with confidence, and the languages of its whole sentences."""
-    parts, seqs, own = [], [], []
-    for t in texts:
-        s = merged_sentences(t) if t else []
-        parts.append(s)
-        c = _chunks([ws for _, _, ws in s])
-        own.append((len(seqs), len(seqs) + len(c)))
-        seqs += c
-    p = crf.marginals(seqs)
+    parts = [merged_sentences(t) if t else [] for t in texts]
     out = []
-    for t, s, (a, b) in zip(texts, parts, own):
+    for t, s, m in zip(texts, parts, crf.marginals([[ws for _, _, ws in s] for s in parts])):
         if not s or sum(len(_LETTERS.findall(t[x:y])) for x, y, _ in s) < MIN_LETTER_WORDS:
             out.append(([], None, 0.0, []))
             continue
-        m = np.concatenate([p[i] for i in range(a, b)])
         whole, passages, at = set(), [], 0
         for x, y, ws in s:
             mm = m[at : at + len(ws)]

@@ -2,9 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
 import numpy as np
 import xxhash
 
+_fitted: dict[bytes, Any] = {}
+
+
+def fitted_once(sample: object, fit: Callable[[], Any], keep: int = 4) -> Any:
+    """fit(), or what it gave before for an equal sample; the models of the last ``keep`` samples are kept in the process."""
+    key = xxhash.xxh3_128_digest(repr(sample).encode("utf-8", "surrogatepass"))
+    if key not in _fitted:
+        while len(_fitted) >= keep:
+            _fitted.pop(next(iter(_fitted)))
+        _fitted[key] = fit()
+    return _fitted[key]
+
+
+def slot(feature: str, size: int) -> int:
+    return xxhash.xxh3_64_intdigest(feature.encode("utf-8", "surrogatepass")) % size
+
+
 
 def slot(feature: str, size: int) -> int:
     return xxhash.xxh3_64_intdigest(feature.encode("utf-8", "surrogatepass")) % size
