@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from typing import Any
 
@@ -25,23 +26,25 @@ def slot(feature: str, size: int) -> int:
     return xxhash.xxh3_64_intdigest(feature.encode("utf-8", "surrogatepass")) % size
 
 
+SLOTS = 1 << 16
 
-def slot(feature: str, size: int) -> int:
-    return xxhash.xxh3_64_intdigest(feature.encode("utf-8", "surrogatepass")) % size
+
+def feature_slots(features: list[str]) -> set[int]:
+    return {slot(f, SLOTS) for f in features}
 
 
 class HashedLogistic:
-    """Binary features by name, hashed into ``size`` slots; fitted by AdaGrad with a small L2 penalty."""
+    """Binary features by name, hashed into SLOTS slots; fitted by AdaGrad with a small L2 penalty."""
 
-    def __init__(self, size: int = 1 << 16):
-        self.size = size
-        self.w = np.zeros(size, np.float32)
+    def __init__(self) -> None:
+        self.w = np.zeros(SLOTS, np.float32)
         self.bias = 0.0
 
-    def fit(self, rows: list[list[str]], labels: list[int], epochs: int = 8, rate: float = 0.3, l2: float = 1e-6, seed: int = 1) -> HashedLogistic:
-        x = [np.unique(np.fromiter((slot(f, self.size) for f in r), np.int64, len(r))) for r in rows]
+    def fit(self, rows: list[list[int]], labels: list[int], epochs: int = 8, rate: float = 0.3, l2: float = 1e-6, seed: int = 1) -> HashedLogistic:
+        """rows: the distinct slots of each example's features."""
+        x = [np.array(r, np.int64) for r in rows]
         y = np.asarray(labels, np.float64)
-        w, g2, b, bg = np.zeros(self.size), np.full(self.size, 1e-8), 0.0, 1e-8
+        w, g2, b, bg = np.zeros(SLOTS), np.full(SLOTS, 1e-8), 0.0, 1e-8
         rng = np.random.default_rng(seed)
         for _ in range(epochs):
             for i in rng.permutation(len(x)):
@@ -57,5 +60,5 @@ class HashedLogistic:
 
     def score(self, features: list[str]) -> float:
         """The probability of the label 1."""
-        at = list({slot(f, self.size) for f in features})
-        return float(1 / (1 + np.exp(-np.clip(self.w[at].sum() + self.bias, -30, 30))))
+        z = self.w[list(feature_slots(features))].sum() + self.bias
+        return 1 / (1 + math.exp(-min(30.0, max(-30.0, float(z)))))

@@ -5,6 +5,7 @@ import pytest
 
 from millrace.llm import cutoff, langid
 from millrace.llm.lexicon import label_language
+from millrace.llm.logistic import feature_slots
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +17,7 @@ def test_held_out_cuts(spark, docs):
     """Trained on one half, tried on the other: artificial cuts and plainly whole texts that the fit has not seen."""
     texts = sorted({r["text"] for r in docs.collect() if r["text"] and r["text"].strip()})
     counts = cutoff.corpus_counts(docs.select("text"))
-    model = cutoff.fit([(t, 150.0, None) for t in texts[::2]], counts)
+    model = cutoff.fit([(y, sorted(feature_slots(f))) for i, t in enumerate(texts[::2]) for y, f in cutoff.examples(t, 150.0, None, counts, i)])
     rng, right, n = random.Random(9), 0, 0
     for t in texts[1::2]:
         if cutoff.is_plainly_whole(t, counts):
@@ -55,6 +56,30 @@ def test_languages(spark):
     assert langid.languages(df.limit(0), "text", "lang", ["doc_id"]).count() == 0
 
 
+def test_forward_backward_against_all_paths():
+    """Marginals of three words over all sequences of languages, and of a long text read with others in one pass or alone."""
+    rng = np.random.default_rng(3)
+    crf = langid.Crf()
+    n = len(langid.LANGUAGES)
+    crf.w, crf.first, crf.inside, crf.across = rng.normal(size=crf.w.shape).astype(np.float32), rng.normal(size=n), rng.normal(size=(n, n)), rng.normal(size=(n, n))
+    seq = [["one", "two"], ["three"]]
+    e = crf.emissions(["one", "two", "three"]).astype(float)
+    paths = (crf.first + e[0])[:, None, None] + (crf.inside[:, :, None] + e[1][None, :, None]) + (crf.across[None] + e[2][None, None, :])
+    p = np.exp(paths - paths.max())
+    p /= p.sum()
+    got = crf.marginals([seq, [["one"]]])[0]
+    assert np.allclose(got, [p.sum((1, 2)), p.sum((0, 2)), p.sum((0, 1))])
+    long = [[rng.choice(["a", "bee", "see"]) for _ in range(900)], ["x"] * 5] * 3
+    assert np.allclose(crf.marginals([seq, long, seq])[1], crf.marginals([long])[0])
+
+
+def test_a_sentence_of_many_words_is_one(spark):
+    long = " ".join(["the clerk was not in the tower and"] * 130) + "."
+    df = spark.createDataFrame([(i, s * 3, k) for i, (k, s) in enumerate(SENT.items())] + [(50, f"{long} {SENT['de']}", "en")], "doc_id long, text string, lang string")
+    r = langid.languages(df, "text", "lang", ["doc_id"]).where("doc_id = 50").first()
+    assert [p["lang"] for p in r["passages"]] == ["en", "de"] and sorted(r["whole"]) == ["de", "en"] and r["passages"][0]["stop"] == len(long)
+
+
 @pytest.mark.parametrize("label, want", [("en-GB", "en"), ("DE", "de"), ("German", "de"), (" pt ", "pt"), ("fr_CA", "fr"), ("nld", "nl"), ("dut", "nl"), ("und", None), ("?", None), ("n/a", None), ("", None), (None, None), ("pl", "pl"), ("unknown", None)])
 def test_labels(label, want):
     assert label_language(label) == want
@@ -62,5 +87,16 @@ def test_labels(label, want):
 
 def test_open_bracket_far_before_the_end():
     text = "Seen (at the gate " + "many carts came by " * 40 + "and left."
-    none = np.zeros((4, cutoff.COUNT_SLOTS), np.int64)
+    none = cutoff.Counts(np.zeros((3, 2, cutoff.COUNT_SLOTS), np.int64))
     assert any(f.startswith("open=True") for f in cutoff.features(text, None, None, none))
+
+
+@pytest.mark.parametrize("text, want", [("a b'c", ("b'c", "")), ("the 3.5 ...", ("3.5", " ...")), ("??", ("", "??")), ("x. y.z!", ("y.z", "!")), ("", ("", ""))])
+def test_last_word(text, want):
+    assert cutoff._last_word(text) == want
+
+
+def test_word_buckets_do_not_depend_on_the_size(spark):
+    rows = [("the cat sat on the mat. The cat ran off.",)] * 3
+    one, many = (cutoff.corpus_counts(spark.createDataFrame(rows * n, "t string")) for n in (1, 50))
+    assert all(one.share(w) == many.share(w) for w in ("cat", "ran", "absent")) and one.share("absent") is None and one.of(0, "cat") == 6
