@@ -29,8 +29,6 @@ NOISE = 0.02
 FOREIGN_FACTOR, FOREIGN_MARGIN = 1.25, 0.2
 
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d[\d.,  ]*\d|\d")
-_NUMBER = re.compile(r"\d")
-_NAME = re.compile(r"^[^\W\d_a-zà-öø-ÿа-я]")
 _ALNUM = re.compile(r"[^\W_]")
 _CLOSERS = " \t\r\n ​*_`~\"'“”„«»‚‘’)]}>"
 _TERMINAL = ".!?…。！？"
@@ -131,16 +129,20 @@ def is_copy(answer: list[str], question: list[str]) -> bool:
     if not question or len(answer) < 3:
         return False
     known = set(question)
-    if any(_NUMBER.match(t) or t in NUMBER_WORDS for t in answer if t not in known):
-        return False
-    twice = sum(t in known for t in answer)
-    if twice < max(0.75 * len(answer), 0.7 * len(question), len(answer) - 4):
+    new = [t for t in answer if t not in known]
+    twice = len(answer) - len(new)
+    if len(new) > 4 or twice < max(0.75 * len(answer), 0.7 * len(question)) or any(_is_number(t) or t in NUMBER_WORDS for t in new):
         return False
     return tiles(question, answer) >= 0.7 * len(question)
 
 
-def _mask(tokens: list[str]) -> list[str]:
-    return ["#" if _NUMBER.match(t) else "N" if i and _NAME.match(t) else t.lower() for i, t in enumerate(tokens)]
+def _is_number(token: str) -> bool:
+    return token[0].isdecimal()
+
+
+def _mask(tokens: list[str], lower: list[str]) -> list[str]:
+    """Tokens with numbers as #, and as N what is not in small letters, the first token aside."""
+    return ["#" if t[0].isdecimal() else low if low == t or not i or t[0].islower() else "N" for i, (t, low) in enumerate(zip(tokens, lower))]
 
 
 def _ending(masked: list[str]) -> int:
@@ -172,7 +174,7 @@ class Reader:
                 self.questions.clear()
             words = [t.lower() for t in _TOKEN.findall(q or "")]
             bare = re.sub(r"[„“«\"][^“”»\"]*[“”»\"]", " ", q or "")
-            lang, best, second = word_language([t.lower() for t in _TOKEN.findall(bare) if not _NUMBER.match(t)] or words)
+            lang, best, second = word_language([t.lower() for t in _TOKEN.findall(bare) if not _is_number(t)] or words)
             got = self.questions[q or ""] = (words, frozenset(words), lang if best > second else None)
         return got
 
@@ -183,22 +185,22 @@ class Reader:
         core = answer.strip(_CLOSERS)
         tokens = _TOKEN.findall(core)
         lower = [t.lower() for t in tokens]
-        words = [t for t in lower if not _NUMBER.match(t)]
+        words = [t for t in lower if not t[0].isdecimal()]
         if not words:
             return None, False, None, 0, [], []  # a bare number
         low = core.lower().replace("’", "'")
         has_number = len(words) < len(tokens)
-        if is_refusal(low, [w.replace("’", "'") for w in words]) and not (has_number and _GIVEN.search(low)):
+        if is_refusal(low, [w.replace("’", "'") for w in words] if "’" in core else words) and not (has_number and _GIVEN.search(low)):
             return "refusal", False, None, 0, [], []
         q, qset, qlang = self.question(question)
         if is_copy(lower, q):
             return "copy", False, None, 0, [], []
         foreign = False
-        own = [w for w in words if w not in qset]
-        if len(own) >= 2 and qlang:
+        own = [w for w in words if w not in qset] if qlang else []
+        if len(own) >= 2:
             score = word_scores(own)
             foreign = max(score.values()) > max(FOREIGN_FACTOR * score[qlang] + FOREIGN_MARGIN, 2 * FOREIGN_MARGIN)
-        masked = _mask(tokens)
+        masked = _mask(tokens, lower)
         if _is_finished(answer.rstrip(_CLOSERS)):
             if left_open(answer):
                 return "truncated", foreign, None, 0, [], []

@@ -48,16 +48,20 @@ def label_language(label: str | None) -> str | None:
     return head if head in OTHER_CODES else None
 
 
+#: What each function word says: the languages that have it, and the share of each.
+SAYS = {w: (tuple(k for k in LANGUAGES if w in SETS[k]), 1.0 / sum(w in SETS[k] for k in LANGUAGES)) for w in frozenset().union(*SETS.values())}
+
+
 def word_scores(words: list[str]) -> dict[str, float]:
     """What some lower-cased words say for each language: a function word counts the less the more languages have it, a word in Cyrillic letters counts for Russian."""
     score = dict.fromkeys(LANGUAGES, 0.0)
     for w in words:
         if "Ѐ" <= w[0] <= "ӿ":
             score["ru"] += 1.0
-            continue
-        having = [k for k in LANGUAGES if w in SETS[k]]
-        for k in having:
-            score[k] += 1.0 / len(having)
+        elif w in SAYS:
+            having, share = SAYS[w]
+            for k in having:
+                score[k] += share
     return score
 
 

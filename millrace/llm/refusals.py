@@ -161,7 +161,7 @@ def class_string(text: str, lang: str) -> str:
 
 def is_refusal(text: str, words: list[str]) -> bool:
     """Whether a lower-cased text, whose words are given, declines to give a value."""
-    if _CORE.isdisjoint(words) and not any("'" in w or w == "cannot" for w in words):
+    if _CORE.isdisjoint(words) and "'" not in text and "cannot" not in text:
         return False
     score = word_scores(words)
     best = max(score.values())
