@@ -133,6 +133,16 @@ def snippet(text: Column | str, start: Column, end: Column, around: int = 90) ->
     return F.concat(F.when(a > 0, "…").otherwise(""), body, F.when(b < F.length(t), "…").otherwise(""))
 
 
+def clipped(zone: Column | str, left: Column | str, right: Column | str) -> Column:
+    """A piece of a text with line breaks as blanks, and an ellipsis on each side where the text goes on."""
+    return F.concat(F.when(col(left), "…").otherwise(""), F.translate(col(zone), "\n", " "), F.when(col(right), "…").otherwise(""))
+
+
+def stable_hash(record: Column, digits: int = 12) -> Column:
+    """The first digits of the SHA-256 of a map's entries in the order of their keys, so that the order of writing does not matter; record: map<string, any>."""
+    return F.substring(F.sha2(F.to_json(F.array_sort(F.map_entries(record))), 256), 1, digits)
+
+
 def custom_order(c: Column | str, order: list[str]) -> Column:
     """The place in a list, 999 for anything else."""
     at = F.array_position(F.array(*[F.lit(o) for o in order]), col(c))

@@ -28,10 +28,15 @@ def strip_generation(text: Column | str) -> Column:
     return trim(out)
 
 
+# How an alias says what is counted.
+COUNT_ALIAS = r"(?i)^(?:the )?(?:number|count) of (.+)$"
+HOW_MANY = r"(?i)^how many ([a-z\- ]+?)(?: (?:it|there|they|that|who|which|were|are|orbit|live|grow|run|contains?|in|on|at|per)\b.*)?$"
+
+
 def count_noun(aliases: Column, name: Column) -> Column:
     """What is counted: from an alias "number of ..." or "how many ...", else from the attribute's name."""
-    number = F.transform(aliases, lambda a: F.regexp_extract(a, r"(?i)^(?:the )?(?:number|count) of (.+)$", 1))
-    many = F.transform(aliases, lambda a: F.trim(F.regexp_extract(a, r"(?i)^how many ([a-z\- ]+?)(?: (?:it|there|they|that|who|which|were|are|orbit|live|grow|run|contains?|in|on|at|per)\b.*)?$", 1)))
+    number = F.transform(aliases, lambda a: F.regexp_extract(a, COUNT_ALIAS, 1))
+    many = F.transform(aliases, lambda a: F.trim(F.regexp_extract(a, HOW_MANY, 1)))
     found = F.filter(F.concat(number, many), lambda x: x != "")
     plain = F.regexp_replace(F.replace(name, F.lit("_count"), F.lit("")), "_", " ")
     return F.when(F.size(found) > 0, found[0]).otherwise(F.concat(plain, F.when(name.endswith("s"), "").otherwise("s")))
@@ -47,6 +52,13 @@ def singularize_label(label: Column | str) -> Column:
     return F.array_join(F.transform(ws, lambda w, i: F.when(i + 1 == at, one(w)).otherwise(w)), " ")
 
 
+def part_phrase(value: Column | str, label: Column | str, formatted: Column | str, unit: Column | str, words: bool = False) -> Column:
+    """A part as its value and label; one of something takes the label's singular, a measure keeps its unit before the label."""
+    whole = (col(value) == F.rint(col(value))) & col(unit).isNull()
+    noun = F.when(whole & (col(value) == 1), singularize_label(label)).otherwise(col(label))
+    return F.concat_ws(" ", value_phrase(value, formatted, unit, words), noun)
+
+
 def value_phrase(value: Column | str, formatted: Column | str, unit: Column | str, words: bool = False) -> Column:
     """A count as a number or in words (below 1000), a measure with its unit."""
     n = F.rint(col(value)).cast("long")

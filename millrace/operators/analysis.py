@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions.exprs import rel_err
 from millrace.operators import stats
+from millrace.operators.ranks import quantiles_of
+from millrace.session import cut
 
 
 def _median(cond: Column, c: Column) -> Column:
@@ -65,7 +67,7 @@ def paired_diffs(r: DataFrame, arms: Sequence[str], keys: Sequence[str] = ("seed
 
 def paired_table(r: DataFrame, arms: Sequence[str]) -> DataFrame:
     """Effect sizes of each comparison; an arm without pairs gives a row with n_pairs 0."""
-    got = paired_diffs(r, arms).groupBy("versus").agg(*stats.paired_aggregates("diff"))
+    got = stats.paired_summary(cut(paired_diffs(r, arms)), ["versus"], "diff")
     names = r.sparkSession.createDataFrame([(a,) for a in arms], "versus string")
     return names.join(got, "versus", "left").na.fill(0, ["n_pairs"])
 
@@ -116,7 +118,8 @@ def all_comparisons(got: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def world_medians(runs: DataFrame) -> DataFrame:
-    w = runs.where("arm = 'primary'").groupBy("theme", "world_id", "distribution").agg(F.percentile("core_median_prediction", 0.5).alias("pred"), F.min("truth").alias("truth"))
+    keys, r = ["theme", "world_id", "distribution"], runs.where("arm = 'primary'")
+    w = stats.join_on(r.groupBy(*keys).agg(F.min("truth").alias("truth")), quantiles_of(r, keys, {"pred": (F.col("core_median_prediction"), 0.5)}), keys)
     return w.where("pred is not null and truth is not null")
 
 
@@ -149,12 +152,10 @@ EVIDENCE_MEDIANS: list[tuple[str, str, str]] = [
 
 
 def evidence(runs: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """All conditional medians in one aggregation of the runs."""
-    prim = F.col("arm") == "primary"
-    return runs.groupBy(*groups).agg(
-        F.countDistinct(F.when(prim, F.col("world_id"))).alias("n_worlds"), F.countDistinct(F.when(prim, F.col("seed"))).alias("n_seeds"), F.count(F.lit(1)).alias("n_runs"),
-        *[F.percentile(F.when(F.expr(m), F.col(c)), 0.5).alias(n) for n, m, c in EVIDENCE_MEDIANS],
-    )
+    """All conditional medians of the runs, from one rank table."""
+    g, prim = list(groups), F.col("arm") == "primary"
+    base = runs.groupBy(*g).agg(F.countDistinct(F.when(prim, F.col("world_id"))).alias("n_worlds"), F.countDistinct(F.when(prim, F.col("seed"))).alias("n_seeds"), F.count(F.lit(1)).alias("n_runs"))
+    return stats.join_on(base, quantiles_of(runs, g, {n: (F.when(F.expr(m), F.col(c)), 0.5) for n, m, c in EVIDENCE_MEDIANS}), g)
 
 
 def evidence_with_tracking(runs: DataFrame) -> DataFrame:
@@ -172,6 +173,7 @@ def interpret(ev: DataFrame, good: float = 0.10, min_worlds: int = 3, min_seeds:
     order; accuracy with tracking gives the strong label also where a composition check failed, as long as there are enough
     worlds and seeds.
     """
+    # fixed values: the names of the checks and labels, and the thresholds
     c = lambda n: F.col(n)
     true = lambda x: F.coalesce(x, F.lit(False))
     k: dict[str, Column] = {
@@ -204,15 +206,15 @@ def interpret(ev: DataFrame, good: float = 0.10, min_worlds: int = 3, min_seeds:
         .when(rule == "memorises", "likely_memorization").when(rule == "estimates", "possible_heuristic_estimation").otherwise("inconclusive")
     )
     said = [
-        F.when(~replicated, F.format_string(f"insufficient replication (worlds=%d, seeds=%d; need {min_worlds}/{min_seeds})", "n_worlds", "n_seeds")),
-        F.when(~h("pipeline_can_learn_task"), "the explicit-leakage baseline did not learn the stated aggregate; training may be too weak"),
-        F.when(h("pretrained_already_good"), "the pretrained model is already within tolerance; a prior may explain the result"),
-        F.when(rule == "parroted", "fake asks receive the target value").when(rule == "aggregates", "accurate, tracks the truth across worlds, tells fake asks apart, and survives composed evidence")
-        .when(rule == "retrieves", "works only where the number is stated").when(rule == "memorises", "individuals are recalled but the aggregate is not").when(rule == "estimates", "moderate error without tracking across worlds")
-        .when(rule == "tracks", F.when(replicated, "accurate and tracks across worlds").otherwise("accurate and tracks across worlds, but too little replication for a strong claim")),
+        F.when(~replicated, F.format_string(f"%d worlds and %d seeds; {min_worlds} and {min_seeds} are needed", "n_worlds", "n_seeds")),
+        F.when(~h("pipeline_can_learn_task"), "a corpus that states the aggregate did not teach it, so a miss elsewhere says little"),
+        F.when(h("pretrained_already_good"), "no training was needed to answer within tolerance"),
+        F.when(rule == "parroted", "the target's value comes back for things that were not asked").when(rule == "aggregates", "errors are small, follow the worlds, stay apart from fake asks and hold where values are composed")
+        .when(rule == "retrieves", "errors are small for stated numbers only").when(rule == "memorises", "single entities come back, their aggregate does not").when(rule == "estimates", "errors are moderate and the same in all worlds")
+        .when(rule == "tracks", F.when(replicated, "errors are small and follow the worlds").otherwise("errors are small and follow the worlds, of which there are too few")),
     ]
     x = x.withColumn("label", label).withColumn("reasons", F.filter(F.array(*said), lambda r: r.isNotNull()))
-    none = F.array(F.lit("the results match no diagnostic signature"))
+    none = F.array(F.lit("no rule applies"))
     return x.withColumn("reasons", F.when((F.col("label") == "inconclusive") & (F.size("reasons") == 0), none).otherwise(F.col("reasons"))).drop("rule")
 
 

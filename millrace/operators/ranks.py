@@ -1,19 +1,22 @@
 """Ranks and exact quantiles that do not gather a group in one task.
 
-Equal values are counted first. The value range is divided at splitters (from a mergeable quantile sketch, a bounded array),
-and ranks are running counts within (group, slice) plus the counts of the slices before. A group that holds most of the
-rows is thereby ordered by many tasks, and a value that recurs is one row.
+Equal values are counted first. The counted values are ordered by range partitioning on (group, value), so a group that holds most of the
+rows lies in as many slices as its values fill, and a value that recurs is one row. Ranks are running counts within (group, slice)
+plus the counts of the group's slices before. There are as many slices as shuffle partitions, which a cluster sets by its data.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 128
+from millrace.session import cut
+
+#: Slices of a rank table; None leaves it to the session's shuffle partitions.
+SLICES: int | None = None
 
 
 def same(a: str, b: str, groups: Sequence[str]) -> Column:
@@ -21,18 +24,15 @@ def same(a: str, b: str, groups: Sequence[str]) -> Column:
     return reduce(lambda p, q: p & q, [F.col(f"{a}.{g}").eqNullSafe(F.col(f"{b}.{g}")) for g in groups], F.lit(True))
 
 
-def rank_table(df: DataFrame, groups: Sequence[str], value: str, slices: int = SLICES) -> DataFrame:
+def rank_table(df: DataFrame, groups: Sequence[str], value: str, slices: int | None = None) -> DataFrame:
     """groups, value, c (rows with it), upto (rows up to and with it), n (rows of the group). NULL and NaN values are left out."""
     v = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     counts = v.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("c"))
-    probs = [i / slices for i in range(1, slices)]
-    cuts = sorted(set(v.agg(F.percentile_approx(F.col(value).cast("double"), probs, 10_000)).first()[0] or []))
-    at = F.array(*[F.lit(float(x)) for x in cuts]) if cuts else F.array().cast("array<double>")
-    # how many splitters lie below: a binary search by generated code would do the same; the array is short
-    counts = counts.withColumn("slice", F.size(F.filter(at, lambda x: x < F.col(value))))
-    inside = Window.partitionBy(*groups, "slice").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    placed = counts.withColumn("upto", F.sum("c").over(inside))
-    per = counts.groupBy(*groups, "slice").agg(F.sum("c").alias("c"))
+    n = slices or SLICES
+    # written, so that both readers below see the same slices
+    ranged = cut(counts.repartitionByRange(*([n] if n else []), *groups, value).withColumn("slice", F.spark_partition_id()))
+    placed = ranged.withColumn("upto", F.sum("c").over(Window.partitionBy(*groups, "slice").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    per = ranged.groupBy(*groups, "slice").agg(F.sum("c").alias("c"))
     over = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
     per = per.select(*groups, "slice", F.coalesce(F.sum("c").over(over.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("c").over(over).alias("n"))
     j = placed.alias("a").join(per.alias("b"), same("a", "b", groups) & (F.col("a.slice") == F.col("b.slice")))
@@ -45,25 +45,33 @@ def average_ranks(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame
     return r.select(*groups, value, (F.col("upto").cast("double") - (F.col("c") - 1).cast("double") / 2.0).alias("rank"))
 
 
+def quantile_aggregate(value: str, p: float, cond: Column | None = None) -> Column:
+    """An aggregate over a group of a rank table: its quantile, with linear interpolation between neighbouring order statistics."""
+    h = (F.col("n") - 1).cast("double") * p
+    k, here = F.floor(h), F.lit(True) if cond is None else cond
+    at = lambda rank: F.max(F.when(here & (rank <= F.col("upto")) & (rank > F.col("upto") - F.col("c")), F.col(value).cast("double")))
+    rest = F.max(F.when(here, h - k))
+    return F.when(rest > 0, at(k + 1) * (F.lit(1.0) - rest) + at(k + 2) * rest).otherwise(at(k + 1))
+
+
 def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
-    """groups, prob, quantile: with linear interpolation between neighbouring order statistics."""
-    r = rank_table(df, groups, value)
-    h = lambda p: (F.col("n") - 1).cast("double") * p
-    wanted = F.array(*[F.struct(F.lit(float(p)).alias("prob"), (F.floor(h(p)) + d).alias("rank"), (F.lit(1.0) - (h(p) - F.floor(h(p))) if d == 1 else h(p) - F.floor(h(p))).alias("weight")) for p in probs for d in (1, 2)])
-    hit = r.withColumn("w", F.explode(F.filter(wanted, lambda x: (x["rank"] <= F.col("upto")) & (x["rank"] > F.col("upto") - F.col("c")) & (x["weight"] > 0))))
-    return hit.groupBy(*groups, F.col("w.prob").alias("prob")).agg(F.sum(F.col(value).cast("double") * F.col("w.weight")).alias("quantile"))
+    """groups, prob, quantile, one row for each."""
+    q = rank_table(df, groups, value).groupBy(*groups).agg(*[quantile_aggregate(value, p).alias(f"_q{i}") for i, p in enumerate(probs)])
+    rows = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("prob"), F.col(f"_q{i}").alias("quantile")) for i, p in enumerate(probs)]))
+    return q.select(*groups, rows.alias("_r")).select(*groups, "_r.prob", "_r.quantile").where("quantile is not null")
 
 
-def quantile_columns(df: DataFrame, groups: Sequence[str], value: str, named: dict[str, float]) -> DataFrame:
+def quantile_columns(df: DataFrame, groups: Sequence[str], value: str, named: Mapping[str, float]) -> DataFrame:
     """groups and one column for each named quantile."""
-    q = exact_quantiles(df, groups, value, sorted(set(named.values())))
-    return q.groupBy(*groups).agg(*[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(k) for k, p in named.items()])
+    return rank_table(df, groups, value).groupBy(*groups).agg(*[quantile_aggregate(value, p).alias(k) for k, p in named.items()])
 
 
-def lowest_mode(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
-    """groups, mode: the most frequent value, of several the least."""
-    c = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("c"))
-    return c.groupBy(*groups).agg(F.max_by(F.col(value), F.struct("c", (-F.col(value)).alias("low"))).alias("mode"))
+def quantiles_of(df: DataFrame, groups: Sequence[str], wanted: Mapping[str, tuple[Column, float]]) -> DataFrame:
+    """groups and one column for each wanted (expression, prob): all in one rank table. Groups without any value are left out."""
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("_m"), c.cast("double").alias("_v")) for i, (c, _) in enumerate(wanted.values())]))
+    long = df.select(*groups, each.alias("_e")).select(*groups, "_e._m", "_e._v")
+    r = rank_table(long, [*groups, "_m"], "_v")
+    return r.groupBy(*groups).agg(*[quantile_aggregate("_v", p, F.col("_m") == i).alias(k) for i, (k, (_, p)) in enumerate(wanted.items())])
 
 
 def with_ranks(df: DataFrame, groups: Sequence[str], value: str, out: str) -> DataFrame:

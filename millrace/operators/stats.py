@@ -7,14 +7,13 @@ import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from millrace.functions.exprs import abs_err, finite, rel_err
-from millrace.operators.ranks import lowest_mode, quantile_columns, rank_table, same, with_ranks
+from millrace.operators.ranks import quantile_aggregate, quantiles_of, rank_table, same, with_ranks
 
 #: Resamples that one row of bootstrap_means draws.
 BLOCK = 50
@@ -36,7 +35,8 @@ def describe(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     g = list(groups)
     x = df.select(*g, finite(value).alias("x"))
     base = x.groupBy(*g).agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.when(F.count("x") > 0, F.coalesce(F.stddev_samp("x"), F.lit(0.0))).alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), F.sum("x").alias("sum"))
-    out = join_on(join_on(base, quantile_columns(x, g, "x", PERCENTILES), g), lowest_mode(x, g, "x"), g)
+    mode = F.max_by(F.col("x"), F.struct("c", (-F.col("x")).alias("low"))).alias("mode")  # of equally frequent values the least
+    out = join_on(base, rank_table(x, g, "x").groupBy(*g).agg(*[quantile_aggregate("x", p).alias(k) for k, p in PERCENTILES.items()], mode), g)
     return out.withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
@@ -59,9 +59,7 @@ def error_metrics(df: DataFrame, groups: Sequence[str], pred: str, truth: str, b
     """error_aggregates with the medians of absolute and relative errors; groups may be of any size."""
     g = list(groups)
     base = df.groupBy(*g).agg(*error_aggregates(pred, truth, bands))
-    errs = df.select(*g, abs_err(pred, truth).alias("ae"), rel_err(pred, truth).alias("re"))
-    out = join_on(base, quantile_columns(errs.where("ae is not null"), g, "ae", {"median_ae": 0.5}), g)
-    return join_on(out, quantile_columns(errs.where("re is not null"), g, "re", {"median_rel_err": 0.5}), g)
+    return join_on(base, quantiles_of(df, g, {"median_ae": (abs_err(pred, truth), 0.5), "median_rel_err": (rel_err(pred, truth), 0.5)}), g)
 
 
 def guarded_correlation(x: Column | str, y: Column | str) -> Column:
@@ -114,46 +112,108 @@ def cliffs_delta(df: DataFrame, groups: Sequence[str], side: str, value: str) ->
     return a.select(*groups, (F.col("auroc") * 2.0 - 1.0).alias("cliffs_delta"), F.col("n_pos").alias("n_a"), F.col("n_neg").alias("n_b"))
 
 
-def paired_aggregates(d: Column | str) -> list[Column]:
-    """n, mean, median, fraction_improved (share below 0) and d_z of paired differences; d_z is NULL without spread."""
-    x = finite(d)
-    return [F.count(x).alias("n_pairs"), F.avg(x).alias("mean_diff"), F.percentile(x, 0.5).alias("median_diff"), F.avg((x < 0).cast("double")).alias("fraction_improved"), F.try_divide(F.avg(x), F.stddev_samp(x)).alias("d_z")]
+def paired_summary(df: DataFrame, groups: Sequence[str], d: str) -> DataFrame:
+    """n_pairs, mean_diff, median_diff, fraction_improved (share below 0) and d_z of paired differences by group; groups may be of any size.
+
+    d_z is NULL without spread; ``paired_comparison`` has the limits for that case.
+    """
+    g, x = list(groups), finite(d)
+    base = df.groupBy(*g).agg(F.count(x).alias("n_pairs"), F.avg(x).alias("mean_diff"), F.avg((x < 0).cast("double")).alias("fraction_improved"), F.try_divide(F.avg(x), F.stddev_samp(x)).alias("d_z"))
+    return join_on(base, quantiles_of(df, g, {"median_diff": (x, 0.5)}), g)
 
 
 def _normal_tail(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
-def wilcoxon_p(diffs: np.ndarray) -> float:
-    """Two-sided signed-rank p-value. Zeros are dropped; none left gives 1. Exact for up to 50 untied values, else the tie-corrected normal approximation."""
-    d = diffs[np.isfinite(diffs) & (diffs != 0)]
-    n = len(d)
+def signed_rank_p(n: int, w: float, ties: float, tied: bool) -> float:
+    """Two-sided p-value of the signed-rank sum w of n differences other than 0; ties is the sum of t**3 - t. None left gives 1.
+
+    Exact for up to 50 untied values, else the tie-corrected normal approximation.
+    """
     if n == 0:
         return 1.0
-    size, inv, cnt = np.unique(np.abs(d), return_inverse=True, return_counts=True)
-    end = np.cumsum(cnt)
-    rank = (end - (cnt - 1) / 2)[inv]
-    w = float(rank[d > 0].sum())
     total = n * (n + 1) / 2
-    if n <= 50 and len(size) == n:
+    if n <= 50 and not tied:
         ways = np.zeros(int(total) + 1)
         ways[0] = 1
         for k in range(1, n + 1):
             ways[k:] += ways[:-k].copy()
         low = int(min(w, total - w))
         return min(1.0, 2 * float(ways[: low + 1].sum()) / 2.0**n)
-    var = n * (n + 1) * (2 * n + 1) / 24 - float((cnt**3 - cnt).sum()) / 48
+    var = n * (n + 1) * (2 * n + 1) / 24 - ties / 48
     return _normal_tail((w - total / 2) / math.sqrt(var)) if var > 0 else 1.0
 
 
-def wilcoxon_by(df: DataFrame, key: str, diff: str) -> DataFrame:
-    """(key, p_value) of paired differences. A test's pairs are the questions of two arms, so a group is of bounded size."""
+def student_p(t: float, df: float) -> float:
+    """Two-sided p-value of Student's t: the regularised incomplete beta function at df / (df + t**2), by its continued fraction (modified Lentz)."""
+    if not math.isfinite(t):
+        return 0.0
+    x, a, b = df / (df + t * t), df / 2, 0.5
+    flip = x > (a + 1) / (a + b + 2)
+    if flip:
+        x, a, b = 1 - x, b, a
+    if x <= 0:
+        return 1.0 if flip else 0.0
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    c, d = 1.0, 1 / max(1e-300, 1 - (a + b) * x / (a + 1))
+    f = d
+    for m in range(1, 400):
+        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + term * d or 1e-300)
+            c = 1 + term / c or 1e-300
+            f *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return min(1.0, 1 - front * f if flip else front * f)
+
+
+def signed_rank_sums(df: DataFrame, groups: Sequence[str], diff: str) -> DataFrame:
+    """groups, n_pairs, n (differences other than 0), w_plus (rank sum of the positive ones), ties (sum of t**3 - t), tied.
+
+    From the rank table of the sizes of the differences, so that no group is gathered.
+    """
+    g = list(groups)
+    x = df.select(*g, finite(diff).alias("d")).where("d is not null")
+    z = x.where("d <> 0").withColumn("a", F.abs("d"))
+    r = rank_table(z, g, "a").withColumn("rank", F.col("upto").cast("double") - (F.col("c") - 1).cast("double") / 2.0)
+    up = z.where("d > 0").groupBy(*g, "a").agg(F.count(F.lit(1)).alias("p"))
+    j = r.alias("r").join(up.alias("u"), same("r", "u", g) & (F.col("r.a") == F.col("u.a")), "left").select("r.*", F.coalesce("u.p", F.lit(0)).alias("p"))
+    c = F.col("c").cast("double")
+    sums = j.groupBy(*g).agg(F.max("n").alias("n"), F.sum(F.col("rank") * F.col("p")).alias("w_plus"), F.sum(c * c * c - c).alias("ties"), (F.max("c") > 1).alias("tied"))
+    return join_on(x.groupBy(*g).agg(F.count(F.lit(1)).alias("n_pairs")), sums, g).na.fill(0, ["n"]).na.fill(0.0, ["w_plus", "ties"])
+
 
-    @F.pandas_udf("double")
-    def p(d: pd.Series) -> float:
-        return wilcoxon_p(d.to_numpy(float)) if d.notna().sum() >= 2 else None
+def wilcoxon_by(df: DataFrame, groups: Sequence[str], diff: str) -> DataFrame:
+    """groups and p_value of paired differences; NULL for fewer than two pairs."""
 
-    return df.groupBy(key).agg(p(F.col(diff).cast("double")).alias("p_value"))
+    @F.arrow_udf("double")
+    def p(n: pa.Array, w: pa.Array, ties: pa.Array, tied: pa.Array) -> pa.Array:
+        return pa.array([signed_rank_p(*row) for row in zip(*(c.to_pylist() for c in (n, w, ties, tied)))], pa.float64())
+
+    s = signed_rank_sums(df, groups, diff)
+    return s.select(*groups, F.when(F.col("n_pairs") >= 2, p("n", "w_plus", "ties", F.coalesce("tied", F.lit(False)))).alias("p_value"))
+
+
+def paired_comparison(df: DataFrame, groups: Sequence[str], key: str, diff: str, test: str = "wilcoxon", n_boot: int = 2000, ci: float = 0.95, seed: int = 1) -> DataFrame:
+    """paired_summary with p_value (test: wilcoxon or ttest, NULL under two pairs) and the bootstrap interval lo .. hi of the mean difference.
+
+    key tells the pairs apart. Without spread d_z is 0 where the mean is, else infinite.
+    """
+    g = list(groups)
+    s = paired_summary(df, g, diff)
+    if test == "ttest":
+
+        @F.arrow_udf("double")
+        def p(n: pa.Array, dz: pa.Array, mean: pa.Array) -> pa.Array:
+            return pa.array([math.nan if z is None and m == 0 else student_p(math.inf if z is None else z * math.sqrt(k), k - 1) for k, z, m in zip(n.to_pylist(), dz.to_pylist(), mean.to_pylist())], pa.float64())
+
+        s = s.withColumn("p_value", F.when(F.col("n_pairs") >= 2, p("n_pairs", "d_z", "mean_diff")))
+    else:
+        s = join_on(s, wilcoxon_by(df, g, diff), g)
+    s = join_on(s, poisson_bootstrap(df, g, key, diff, n_boot, ci, seed).select(*g, "lo", "hi"), g)
+    flat = F.when(F.col("mean_diff") == 0, F.lit(0.0)).otherwise(F.lit(float("inf")))
+    return s.withColumn("d_z", F.when(F.col("n_pairs") >= 2, F.coalesce("d_z", flat)))
 
 
 def bootstrap_means(df: DataFrame, groups: Sequence[str], order: Sequence[str], value: str, n_boot: int, ci: float = 0.95, seed: int = 1) -> DataFrame:

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from millrace.functions.exprs import abs_err, custom_order, rel_err
 from millrace.operators import analysis, stats
-from millrace.operators.ranks import with_ranks
+from millrace.operators.ranks import quantiles_of, with_ranks
 from millrace.plans import query
 from millrace.plans.common import REC, RUN_KEYS, S, records, rounded, sql_metrics
-from millrace.session import table
+from millrace.session import cut, table
 
 _DESCRIBE = """count(x) AS n, {mean} AS mean, {std} AS std, {mn} AS "min", {mx} AS "max", {sm} AS "sum", {qs}""".format(
     mean=S("avg(x)"), std=S("CASE WHEN count(x) > 0 THEN coalesce(stddev_samp(x), 0) END"), mn=S("min(x)"), mx=S("max(x)"), sm=S("sum(x)"),
@@ -190,8 +190,9 @@ for _name, _key, _where in (
     @query(_name, f"WITH {REC}, {_RUNS} " + _MEDIAN_BY.format(k=_key, m=S("quantile_cont(median_rel_err, 0.5)"), a=S("avg(median_rel_err)"), w=f"WHERE {_where}"))
     def _curve(spark: SparkSession, d: str, key: str = _key, where: str = _where) -> DataFrame:
         """Runs' median relative error along one key; n counts the runs that have one, n_runs all."""
-        runs = rounded(analysis.per_run_metrics(records(spark, d), RUN_KEYS)).where(where)
-        return rounded(runs.groupBy(key).agg(F.count(F.lit(1)).alias("n_runs"), F.count("median_rel_err").alias("n"), F.percentile("median_rel_err", 0.5).alias("median"), F.avg("median_rel_err").alias("mean")))
+        runs = cut(rounded(analysis.per_run_metrics(records(spark, d), RUN_KEYS)).where(where))
+        base = runs.groupBy(key).agg(F.count(F.lit(1)).alias("n_runs"), F.count("median_rel_err").alias("n"), F.avg("median_rel_err").alias("mean"))
+        return rounded(stats.join_on(base, quantiles_of(runs, [key], {"median": (F.col("median_rel_err"), 0.5)}), [key]))
 
 
 _HASH = "(('0x' || substr(sha256({0}), 1, 12))::BIGINT)"
@@ -263,7 +264,7 @@ def _selection_sql(primary_condition: str = "(SELECT condition FROM p WHERE arm
 def _comparisons(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
     r = records(spark, d)
     comps = analysis.named_selections(analysis.first_primary_condition(r, RUN_KEYS))
-    return analysis.selection_diffs(r, comps), list(comps)
+    return cut(analysis.selection_diffs(r, comps)), list(comps)
 
 
 _NAMES = ", ".join(f"('{n}')" for n in analysis.named_selections(None))
@@ -274,14 +275,14 @@ _NAMES = ", ".join(f"('{n}')" for n in analysis.named_selections(None))
 def paired_comparisons(spark: SparkSession, d: str) -> DataFrame:
     """Effect sizes of the named comparisons by provenance, condition, baseline or corpus, over all corpora of their selections."""
     diffs, names = _comparisons(spark, d)
-    return rounded(analysis.all_comparisons(diffs.groupBy("comparison").agg(*stats.paired_aggregates("diff")), names).na.fill(0, ["n_pairs"]))
+    return rounded(analysis.all_comparisons(stats.paired_summary(diffs, ["comparison"], "diff"), names).na.fill(0, ["n_pairs"]))
 
 
 @query("paired_p_values")
 def paired_p_values(spark: SparkSession, d: str) -> DataFrame:
     """Wilcoxon signed-rank p-values of the named comparisons; NULL for fewer than two pairs."""
     diffs, names = _comparisons(spark, d)
-    return analysis.all_comparisons(stats.wilcoxon_by(diffs, "comparison", "diff"), names)
+    return analysis.all_comparisons(stats.wilcoxon_by(diffs, ["comparison"], "diff"), names)
 
 
 _WORLDS = f"""w AS (SELECT theme, world_id, distribution, quantile_cont(core_median_prediction, 0.5) AS pred, min(truth) AS truth FROM runs WHERE arm = 'primary' GROUP BY theme, world_id, distribution), v AS (SELECT * FROM w WHERE pred IS NOT NULL AND truth IS NOT NULL)"""
@@ -291,13 +292,13 @@ _WORLDS = f"""w AS (SELECT theme, world_id, distribution, quantile_cont(core_med
  SELECT count(*) AS n_worlds, {S(f'{_CORR}')} AS spearman, {S('regr_slope(pred, truth)')} AS slope, {S('regr_intercept(pred, truth)')} AS intercept FROM r""")
 def cross_world_tracking(spark: SparkSession, d: str) -> DataFrame:
     """How the median predictions of the worlds follow their truths."""
-    return rounded(analysis.cross_world_tracking(rounded(analysis.per_run_metrics(records(spark, d), RUN_KEYS))))
+    return rounded(analysis.cross_world_tracking(cut(rounded(analysis.per_run_metrics(records(spark, d), RUN_KEYS)))))
 
 
 @query("within_theme_spearman", f"""WITH {REC}, {_RUNS}, {_WORLDS}, r AS (SELECT *, rank() OVER (PARTITION BY theme ORDER BY pred) + (count(*) OVER (PARTITION BY theme, pred) - 1) / 2.0 AS x, rank() OVER (PARTITION BY theme ORDER BY truth) + (count(*) OVER (PARTITION BY theme, truth) - 1) / 2.0 AS y FROM v)
  SELECT theme, count(*) AS n, {S(f'{_CORR}')} AS spearman FROM r GROUP BY theme HAVING count(*) >= 3""")
 def within_theme_spearman(spark: SparkSession, d: str) -> DataFrame:
-    w = analysis.world_medians(rounded(analysis.per_run_metrics(records(spark, d), RUN_KEYS)))
+    w = analysis.world_medians(cut(rounded(analysis.per_run_metrics(records(spark, d), RUN_KEYS))))
     return rounded(stats.spearman(w, ["theme"], "pred", "truth").where("n >= 3"))
 
 
@@ -309,8 +310,9 @@ def parrot_rate(spark: SparkSession, d: str) -> DataFrame:
 
 @query("error_vs_visible", f"WITH {REC}, {_RUNS} SELECT corpus_id, {S('quantile_cont(median_rel_err, 0.5)')} AS vs_truth, {S('quantile_cont(core_median_rel_err_vs_visible, 0.5)')} AS vs_visible, count(*) AS n FROM runs GROUP BY corpus_id")
 def error_vs_visible(spark: SparkSession, d: str) -> DataFrame:
-    r = rounded(analysis.per_run_metrics(records(spark, d), RUN_KEYS))
-    return rounded(r.groupBy("corpus_id").agg(F.percentile("median_rel_err", 0.5).alias("vs_truth"), F.percentile("core_median_rel_err_vs_visible", 0.5).alias("vs_visible"), F.count(F.lit(1)).alias("n")))
+    r = cut(rounded(analysis.per_run_metrics(records(spark, d), RUN_KEYS)))
+    q = quantiles_of(r, ["corpus_id"], {"vs_truth": (F.col("median_rel_err"), 0.5), "vs_visible": (F.col("core_median_rel_err_vs_visible"), 0.5)})
+    return rounded(stats.join_on(r.groupBy("corpus_id").agg(F.count(F.lit(1)).alias("n")), q, ["corpus_id"]))
 
 
 _EV = ", ".join(
@@ -321,18 +323,18 @@ _EV = ", ".join(
 
 @query("evidence_vector", f"WITH {REC}, {_RUNS} SELECT count(DISTINCT world_id) FILTER (arm = 'primary') AS n_worlds, count(DISTINCT seed) FILTER (arm = 'primary') AS n_seeds, count(*) AS n_runs, {_EV} FROM runs")
 def evidence_vector(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(analysis.evidence(rounded(analysis.per_run_metrics(records(spark, d), RUN_KEYS)), []))
+    return rounded(analysis.evidence(cut(rounded(analysis.per_run_metrics(records(spark, d), RUN_KEYS))), []))
 
 
 @query("evidence_by_theme", f"WITH {REC}, {_RUNS} SELECT theme, count(DISTINCT world_id) FILTER (arm = 'primary') AS n_worlds, count(DISTINCT seed) FILTER (arm = 'primary') AS n_seeds, count(*) AS n_runs, {_EV} FROM runs GROUP BY theme")
 def evidence_by_theme(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(analysis.evidence(rounded(analysis.per_run_metrics(records(spark, d), RUN_KEYS)), ["theme"]))
+    return rounded(analysis.evidence(cut(rounded(analysis.per_run_metrics(records(spark, d), RUN_KEYS))), ["theme"]))
 
 
 @query("interpret_label")
 def interpret_label(spark: SparkSession, d: str) -> DataFrame:
     """The evidence, its checks, the label and the reasons, over all themes and for each."""
-    runs = rounded(analysis.per_run_metrics(records(spark, d), RUN_KEYS))
+    runs = cut(rounded(analysis.per_run_metrics(records(spark, d), RUN_KEYS)))
     return analysis.interpret(analysis.evidence_with_tracking(runs))
 
 
@@ -366,8 +368,8 @@ def arm_order(spark: SparkSession, d: str) -> DataFrame:
 def detection_effect_correlation(spark: SparkSession, d: str) -> DataFrame:
     """Whether worlds whose documents are told apart more easily show a larger effect of provenance."""
     runs = rounded(analysis.per_run_metrics(records(spark, d), RUN_KEYS))
-    side = lambda p: F.percentile(F.when(F.col("provenance") == p, F.col("median_rel_err")), 0.5)
-    effect = runs.groupBy("world_id").agg((side("ai") - side("control")).alias("effect"))
+    sides = quantiles_of(runs, ["world_id"], {p: (F.when(F.col("provenance") == p, F.col("median_rel_err")), 0.5) for p in ("ai", "control")})
+    effect = sides.select("world_id", (F.col("ai") - F.col("control")).alias("effect"))
     auc = stats.auroc(_labelled(spark, d), ["world_id"], "s", "y").select("world_id", F.round("auroc", 9).alias("auroc"))
     return rounded(stats.spearman(auc.join(effect, "world_id"), [], "auroc", "effect"))
 
