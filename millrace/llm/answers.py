@@ -285,9 +285,9 @@ def defective_pairs(pairs: DataFrame, record: str, answer: str, question: str) -
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """predictions with the prompt of their question; a question that is missing leaves the record's own prompt."""
-    q = table(spark, sf_dir, "questions").groupBy("world_id", "question_id").agg(F.max(F.trim("prompt")).alias("q_prompt"))
+    q = cut(table(spark, sf_dir, "questions").groupBy("world_id", "question_id").agg(F.max(F.trim("prompt")).alias("q_prompt")))
     p = table(spark, sf_dir, "predictions").select("record_no", "world_id", "question_id", "model_output", "prompt", "family")
-    return p.join(small_or_plain(q, 400), ["world_id", "question_id"], "left").select("record_no", "family", F.col("model_output").alias("answer"), F.coalesce("q_prompt", "prompt").alias("question"))
+    return p.join(small_or_plain(q), ["world_id", "question_id"], "left").select("record_no", "family", F.col("model_output").alias("answer"), F.coalesce("q_prompt", "prompt").alias("question"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

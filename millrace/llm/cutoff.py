@@ -264,8 +264,8 @@ TOKENS_PER_WORD = 1.33
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents_ai").select("document_id", "attempts", "text", "generator_model", "requested_word_count", "gen_run")
-    runs = table(spark, sf_dir, "generation_stats").groupBy("gen_run").agg((F.max("new_tokens") / F.lit(TOKENS_PER_WORD) / F.greatest(F.max("documents"), F.lit(1))).alias("run_words"))
-    docs = docs.join(small_or_plain(runs, 24), "gen_run", "left")
+    runs = cut(table(spark, sf_dir, "generation_stats").groupBy("gen_run").agg((F.max("new_tokens") / F.lit(TOKENS_PER_WORD) / F.greatest(F.max("documents"), F.lit(1))).alias("run_words")))
+    docs = docs.join(small_or_plain(runs), "gen_run", "left")
     return cut(cut_scores(docs, "text", ["document_id", "attempts", "generator_model"], "requested_word_count", "run_words"))
 
 

@@ -12,12 +12,12 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.arrow import list_values, long_lists
 from millrace.llm.shingles import ICWS, MinHash, shingles, words
-from millrace.session import BROADCAST_BYTES, cut
+from millrace.session import BROADCAST_BYTES, cut, released
 
 #: Document frequencies are counted in two rows of this many hash buckets, over all documents; of a shingle's two counts the lesser holds. A text
 #: of n shingles adds n / DF_BUCKETS to the expected share of any bucket, at every size of the collection; shares under DF_FLOOR weigh the same.
@@ -143,6 +143,24 @@ def within_radius(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold
     return x.where(distance <= hamming_radius(threshold, bits)).select("a", "b")
 
 
+def prefix_pairs(left: DataFrame, right: DataFrame, threshold: float, key: str) -> DataFrame:
+    """(a, b): candidates among which every pair of the threshold is, without comparing all; left and right: (key, sh, w), w NULL for weights of one.
+
+    Prefix filtering: the shingles of each set stand from rare to common, counted over both sides. A set's prefix ends where what follows
+    weighs less than the threshold's share of it. Alike sets share a shingle of both prefixes, so common passages, which stand last,
+    bring no candidates together.
+    """
+    each = lambda d, side: d.select(F.lit(side).alias("side"), F.col(key).alias("k"), F.explode(F.arrays_zip(F.col("sh").alias("h"), F.coalesce("w", F.transform("sh", lambda _: F.lit(1.0))).alias("w"))).alias("e")).select("side", "k", "e.h", "e.w")
+    one = each(left, "a").unionByName(each(right, "b"))
+    rows = one.join(one.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "h")
+    own = Window.partitionBy("side", "k")
+    rows = rows.withColumn("total", F.sum("w").over(own)).withColumn("from", F.sum("w").over(own.orderBy(F.desc("n"), F.desc("h")).rowsBetween(Window.unboundedPreceding, 0)))
+    # a hair's breadth under the threshold, so that rounding loses nothing
+    first = rows.where(F.col("from") >= F.lit(threshold * (1 - 1e-9)) * F.col("total")).where("n > 1")
+    a, b = (first.where(F.col("side") == s).select(F.col("k").alias(s), "h") for s in "ab")
+    return a.join(b, "h").select("a", "b").distinct()
+
+
 def needed(sets: DataFrame, pairs: DataFrame, side: str, key: str) -> DataFrame:
     """The classes that stand on one side of the pairs (a written table); where the pairs are many, all classes, of which the join then takes its own."""
     if pairs.count() * 40 > BROADCAST_BYTES:
@@ -184,22 +202,23 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star rounds over the edges (Kiveris et al. 2014): every node's neighbours are
     linked to the least of them until nothing changes, in O(log^2 n) rounds. Each round is a written table; a hub's
-    neighbours are never gathered into one row (least and links are joins on the node).
+    neighbours are never gathered into one row (least and links are joins on the node). The result is a written table.
     """
-    e = cut(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
-    for _ in range(max_rounds):
-        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where(F.col("u") != F.col("v")).distinct()
-        m2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(m2, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("p")).select("p.u", "p.v")
-        e = cut(small.where(F.col("u") != F.col("v")).distinct())
-        state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
-            break
-        seen = state
-    else:
-        raise RuntimeError("components did not settle")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
+    with released() as keep:
+        e = cut(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+        seen = None
+        for _ in range(max_rounds):
+            both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+            large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            large = large.where(F.col("u") != F.col("v")).distinct()
+            m2 = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(m2, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("p")).select("p.u", "p.v")
+            e = cut(small.where(F.col("u") != F.col("v")).distinct())
+            state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if state == seen:
+                break
+            seen = state
+        else:
+            raise RuntimeError("components did not settle")
+        return keep(cut(e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()))

@@ -13,15 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.arrow import long_lists
-from millrace.llm.nearset import REMEMBERED, _fields, classes, verify, within_radius
+from millrace.llm.nearset import REMEMBERED, _fields, classes, prefix_pairs, verify, within_radius
 from millrace.llm.shingles import MinHash, shingles, words
-from millrace.session import cut, table
+from millrace.session import cut, released, small_or_plain, table
 from millrace.ship import ship
 
 #: 64 code blocks of four 16-bit minwise codes: at likeness 0.6 a pair shares a block with probability 0.9999.
 BLOCKS, ROWS = 64, 4
 #: The Bloom filter of block keys that occur in evaluation splits has 16 bits or more a key, and 2**28 (32 MB) at most; a fuller one lets more keys by, and loses none.
 MOST_BITS, PROBES = 28, 8
+#: Pairs of classes in a block that are formed; of a larger block prefix filtering finds the pairs of the threshold.
+BLOCK_PAIRS = 1_000_000
 
 
 def marked_rows(df: DataFrame, text: str, keys: list[str], k: int, min_words: int, filled: np.ndarray | None = None) -> DataFrame:
@@ -102,20 +104,29 @@ def cross_split_overlaps(train: DataFrame, splits: dict[str, DataFrame], id_col:
     Bit fingerprints (b-bit minwise codes) are cut into blocks; blocks are joined across the splits; pairs within the
     Hamming radius are verified on their shingle sets. Training rows none of whose block keys occurs in an evaluation split leave in
     the pass that reads them. Only classes of equal shingle sets are joined; a text in a third of all rows is one class, and its
-    members are narrow rows whose join adaptive execution splits. There is no cap on bucket size or partners.
+    members are narrow rows whose join adaptive execution splits. There is no cap on bucket size or partners: a block of very many pairs
+    is not expanded, but its classes are joined by prefix filtering, which has every pair of the threshold.
 
     NULL, empty and short texts (fewer than min_words words) never match. A repeated row counts once. Empty tables
     give an empty result. Only the two named columns are read, so others may have any name.
     """
     ship(train.sparkSession)
     name = lambda d, *c: d.select(*c, F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    evals = cut(marked_rows(reduce(DataFrame.unionByName, [name(d, F.lit(s).alias("split")) for s, d in splits.items()]), "text", ["split", "id"], k, min_words))
-    trains = cut(marked_rows(name(train), "text", ["id"], k, min_words, key_bits(evals)))
-    left, right = cut(classes(evals, "sh", "code", "keys")), cut(classes(trains, "sh", "code", "keys"))
-    pairs = left.select(F.col("cls").alias("a"), F.explode("keys").alias("key")).join(right.select(F.col("cls").alias("b"), F.explode("keys").alias("key")), "key").select("a", "b").distinct()
-    near = cut(within_radius(pairs, left, right, threshold, BLOCKS * ROWS, "cls"))
-    links = cut(verify(near, left, right, threshold, "cls"))
-    return Overlaps(links, evals.select("split", "id", "cls").distinct(), trains.select("id", "cls").distinct())
+    with released() as keep:
+        evals = keep(cut(marked_rows(reduce(DataFrame.unionByName, [name(d, F.lit(s).alias("split")) for s, d in splits.items()]), "text", ["split", "id"], k, min_words)))
+        trains = keep(cut(marked_rows(name(train), "text", ["id"], k, min_words, key_bits(evals))))
+        left, right = cut(classes(evals, "sh", "code", "keys")), cut(classes(trains, "sh", "code", "keys"))
+        blocks = lambda d, c: d.select(F.col("cls").alias(c), F.explode("keys").alias("key"))
+        sides = [blocks(d, c).groupBy("key").agg(F.count(F.lit(1)).alias(f"n{c}")) for d, c in ((left, "a"), (right, "b"))]
+        hot = cut(sides[0].where(F.col("na") > 1).join(sides[1].where(F.col("nb") > 1), "key").where(F.col("na") * F.col("nb") > BLOCK_PAIRS).select("key"))
+        one_by_one = (lambda d: d) if hot.isEmpty() else (lambda d: d.join(small_or_plain(hot), "key", "left_anti"))
+        pairs = one_by_one(blocks(left, "a")).join(blocks(right, "b"), "key").select("a", "b").distinct()
+        if not hot.isEmpty():
+            some = lambda d: d.join(blocks(d, "cls").join(small_or_plain(hot), "key", "left_semi").select("cls").distinct(), "cls").select("cls", "sh", F.lit(None).cast("array<double>").alias("w"))
+            pairs = pairs.unionByName(prefix_pairs(some(left), some(right), threshold, "cls")).distinct()
+        near = cut(within_radius(pairs, left, right, threshold, BLOCKS * ROWS, "cls"))
+        links = keep(cut(verify(near, left, right, threshold, "cls")))
+        return Overlaps(links, evals.select("split", "id", "cls").distinct(), trains.select("id", "cls").distinct())
 
 
 def _overlaps(spark: SparkSession, sf_dir: str) -> Overlaps:
@@ -138,3 +149,17 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("records"), F.count("best").alias("overlapping"), F.count_if(F.col("best") == 1).alias("exact"))
         .withColumn("share", F.col("overlapping") / F.col("records"))
     )
+
+
+#: (source, key, shingle): the distinct three-word sequences of texts of at least eight words, by brute force.
+SHINGLES_SQL = """w AS (SELECT *, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM ({texts})),
+s AS (SELECT DISTINCT split, id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS sh FROM w WHERE len(w) >= 8),
+n AS (SELECT split, id, sh, count(*) OVER (PARTITION BY split, id) AS n FROM s)"""
+# an id may have several texts, each of which counts: the text is part of the key
+_KEYED = "SELECT '{0}' AS split, id || '|' || md5(text) AS id, text FROM {0}"
+_PAIRS = f"""WITH {SHINGLES_SQL.format(texts=" UNION ALL ".join(_KEYED.format(t) for t in ("train", "val", "test")))},
+pair AS (SELECT e.split, e.id AS e, t.id AS t, count(*)::DOUBLE / (any_value(e.n) + any_value(t.n) - count(*)) AS likeness FROM n e JOIN n t ON e.sh = t.sh WHERE e.split <> 'train' AND t.split = 'train' GROUP BY e.split, e.id, t.id),
+found AS (SELECT split, split_part(e, '|', 1) AS eval_id, split_part(t, '|', 1) AS train_id, max(likeness) AS likeness FROM pair WHERE likeness >= 0.6::DOUBLE GROUP BY ALL)"""
+P2_FOUND_SQL = f"{_PAIRS} SELECT DISTINCT split, least(eval_id, train_id) AS id_a, greatest(eval_id, train_id) AS id_b FROM found"
+P2_REPORT_SQL = f"""{_PAIRS}, rows AS (SELECT DISTINCT 'val' AS split, id, source FROM val UNION ALL SELECT DISTINCT 'test', id, source FROM test), best AS (SELECT split, eval_id AS id, max(likeness) AS best FROM found GROUP BY ALL)
+SELECT split, source, count(*) AS records, count(best) AS overlapping, count(*) FILTER (best = 1) AS exact, count(best) / count(*) AS share FROM rows LEFT JOIN best USING (split, id) GROUP BY split, source"""

@@ -36,4 +36,11 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_percentiles": percentiles.P1_SQL, "p1_by_day": percentiles.P1_BY_DAY_SQL}
+    return {
+        "p1_percentiles": percentiles.P1_SQL,
+        "p1_by_day": percentiles.P1_BY_DAY_SQL,
+        "p2_found": overlap.P2_FOUND_SQL,
+        "p2_report": overlap.P2_REPORT_SQL,
+        "p4_found": neardup.P4_FOUND_SQL,
+        "p4_groups": neardup.P4_GROUPS_SQL,
+    }

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from millrace.llm import neardup, overlap
-from millrace.llm.nearset import components
+from millrace.llm.nearset import components, prefix_pairs
 from millrace.llm.shingles import ICWS, MinHash, shingles, words
 
 WORDS = [f"w{i}" for i in range(900)]
@@ -49,7 +49,9 @@ def test_codes_agree_as_often_as_sets_are_alike():
     assert abs((cw(a, w(a)) == cw(b, w(b))).mean() - jw) < 0.05
 
 
-def test_overlaps_against_brute_force(spark):
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_overlaps_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(overlap, "BLOCK_PAIRS", most)
     t = texts()
     train = [(f"t{i}", x, 1) for i, x in enumerate(t[:60])] + [("t0", t[0], 2)]
     val = [(f"v{i}", x, 1) for i, x in enumerate(t[60:])]
@@ -59,7 +61,9 @@ def test_overlaps_against_brute_force(spark):
     assert got == want and len(want) > 20
 
 
-def test_groups_against_brute_force(spark):
+@pytest.mark.parametrize("most", [1, 1000])
+def test_groups_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(neardup, "BUCKET", most)
     t = texts(seed=4)
     rows = [(f"d{i}", x, None, 1) for i, x in enumerate(t)] + [("d0", t[0], None, 1)]
     df = spark.createDataFrame(rows, "document_id string, text string, group string, rid int")
@@ -143,3 +147,27 @@ def test_a_text_in_a_third_of_the_rows(spark):
     assert neardup.near_duplicate_groups(df, "id", "text").select("group").distinct().count() == 1
     got = overlap.cross_split_overlaps(df, {"val": df.limit(1).select("id", "text")})
     assert got.links.count() == 2 and got.pairs().count() == 3000
+
+
+def test_tables_on_the_way_are_deleted(spark):
+    from millrace import session
+
+    before = len(session._cut_paths)
+    df = spark.createDataFrame([(f"d{i}", x) for i, x in enumerate(texts(20))], "id string, text string")
+    got = neardup.near_duplicate_groups(df, "id", "text", k=3, threshold=0.6)
+    assert len(session._cut_paths) == before + 1 and got.count() > 0
+
+
+def test_prefix_filtering_has_every_pair(spark):
+    rng = random.Random(12)
+    stock = list(range(1000, 1040))
+    sets = [sorted({*stock, *rng.sample(range(300), rng.randrange(5, 60))}) for _ in range(60)]
+    for weighted in (False, True):
+        w = [[1.0 + (x % 7) if weighted else 1.0 for x in s] for s in sets]
+        df = spark.createDataFrame([(i, s, v if weighted else None) for i, (s, v) in enumerate(zip(sets, w))], "rid long, sh array<long>, w array<double>")
+        got = {tuple(r) for r in prefix_pairs(df, df, 0.6, "rid").collect()}
+        size = [dict(zip(s, v)) for s, v in zip(sets, w)]
+        for i, a in enumerate(size):
+            for j, b in enumerate(size):
+                low = sum(a[x] for x in a.keys() & b.keys())
+                assert low / (sum(a.values()) + sum(b.values()) - low) < 0.6 or (i, j) in got
