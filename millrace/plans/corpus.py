@@ -49,11 +49,13 @@ def nested_prefix_counts(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("n", "world_id", "provenance", "role").agg(F.count(F.lit(1)).alias("taken"))
 
 
-@query("nested_prefix_invariant", "SELECT 'x' AS document_id WHERE false")
+@query("nested_prefix_invariant", f"WITH {_DOCS}, r AS ({_NEST}) SELECT world_id, provenance, role, count(*) FILTER (pos <= 5) AS small, count(*) FILTER (pos <= 10) AS large, count(*) FILTER (pos <= 5) AS shared FROM r GROUP BY ALL")
 def nested_prefix_invariant(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of the smaller sample that the larger lacks: none."""
-    take = lambda n: P.nested_sample(_docs(spark, d), ["world_id", "provenance", "role"], ["document_id"], n, 7).select("document_id")
-    return take(5).exceptAll(take(10))
+    """Documents of two samples of each pool, taken apart, and how many they share: all of the smaller."""
+    g = ["world_id", "provenance", "role"]
+    take = lambda n: P.nested_sample(_docs(spark, d), g, ["document_id"], n, 7).select(*g, "document_id")
+    rows = take(5).withColumn("small", F.lit(1)).join(take(10).withColumn("large", F.lit(1)), [*g, "document_id"], "full")
+    return rows.groupBy(*g).agg(F.count("small").alias("small"), F.count("large").alias("large"), F.count_if(F.col("small").isNotNull() & F.col("large").isNotNull()).alias("shared"))
 
 
 @query("deterministic_shuffle_topn", f"SELECT id, row_number() OVER (PARTITION BY source ORDER BY {_h("'7'", 'source', 'id', 'added_at')}, id, added_at) AS pos, source FROM train QUALIFY pos <= 25".replace("coalesce(added_at::VARCHAR, '')", "coalesce(strftime(added_at, '%Y-%m-%d %H:%M:%S'), '')"))
@@ -225,10 +227,11 @@ def corpus_roles(spark: SparkSession, d: str) -> DataFrame:
     return _assembled(spark, d).groupBy("run_id", "split", "role").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("corpus_split_overlap", "SELECT 'x' AS run_id WHERE false")
+@query("corpus_split_overlap", f"WITH {_ASSEMBLE}, n AS (SELECT run_id, document_id, count(DISTINCT split) AS splits FROM got GROUP BY ALL) SELECT run_id, count(*) AS documents, count(*) FILTER (splits > 1) AS in_both FROM n GROUP BY run_id")
 def corpus_split_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Corpora with a document in both splits: none."""
-    return _assembled(spark, d).groupBy("run_id", "document_id").agg(F.countDistinct("split").alias("n")).where("n > 1").select("run_id")
+    """Documents of each corpus, and those that stand in both splits."""
+    n = _assembled(spark, d).groupBy("run_id", "document_id").agg(F.countDistinct("split").alias("splits"))
+    return n.groupBy("run_id").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("splits") > 1).alias("in_both"))
 
 
 @query("visible_aggregate", f"""WITH {_LATEST_CONTROL.replace('provenance, text FROM', 'provenance, text, target_facts FROM')}, f AS (SELECT world_id, pool_index AS o, document_id, unnest(target_facts) AS f, generate_subscripts(target_facts, 1) AS i FROM c WHERE role IN ('evidence', 'corrupted_evidence')),

@@ -278,6 +278,26 @@ def paired_comparisons(spark: SparkSession, d: str) -> DataFrame:
     return rounded(analysis.all_comparisons(stats.paired_summary(diffs, ["comparison"], "diff"), names).na.fill(0, ["n_pairs"]))
 
 
+@query("signed_rank_sums", f"""WITH {REC}, pair AS ({_selection_sql()}), x AS (SELECT * FROM pair WHERE isfinite(diff)), z AS (SELECT *, abs(diff) AS a FROM x WHERE diff <> 0),
+ r AS (SELECT *, rank() OVER (PARTITION BY comparison ORDER BY a) + (count(*) OVER (PARTITION BY comparison, a) - 1) / 2.0::DOUBLE AS k, count(*) OVER (PARTITION BY comparison, a) AS t FROM z),
+ s AS (SELECT comparison, count(*) AS n, sum(CASE WHEN diff > 0 THEN k ELSE 0 END) AS w, sum(t * t - 1)::DOUBLE AS ties FROM r GROUP BY comparison), m AS (SELECT comparison, count(*) AS n_pairs FROM x GROUP BY comparison)
+ SELECT comparison, n_pairs, coalesce(n, 0) AS n, {S('coalesce(w, 0)')} AS w_plus, {S('coalesce(ties, 0)')} AS ties, {S('(w - n * (n + 1) / 4.0::DOUBLE) / sqrt(nullif(n * (n + 1) * (2 * n + 1) / 24.0::DOUBLE - ties / 48, 0))')} AS z FROM m LEFT JOIN s USING (comparison)""")
+def signed_rank_sums(spark: SparkSession, d: str) -> DataFrame:
+    """Rank sums of the named comparisons, and the tie-corrected normal deviate of each."""
+    s = stats.signed_rank_sums(_comparisons(spark, d)[0], ["comparison"], "diff").drop("tied")
+    n = F.col("n").cast("double")
+    z = F.try_divide(F.col("w_plus") - n * (n + 1) / 4.0, F.nullif(F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.col("ties") / 48.0), F.lit(0.0)))
+    return rounded(s.withColumn("z", F.when(F.col("n") > 0, z)))
+
+
+@query("paired_tests")
+def paired_tests(spark: SparkSession, d: str) -> DataFrame:
+    """The named comparisons with t-test, interval of the mean difference and limits of d_z."""
+    diffs, names = _comparisons(spark, d)
+    x = diffs.withColumn("k", F.xxhash64("comparison", "a", "b"))
+    return analysis.all_comparisons(stats.paired_comparison(x, ["comparison"], "k", "diff", "ttest", RESAMPLES), names).na.fill(0, ["n_pairs"])
+
+
 @query("paired_p_values")
 def paired_p_values(spark: SparkSession, d: str) -> DataFrame:
     """Wilcoxon signed-rank p-values of the named comparisons; NULL for fewer than two pairs."""
@@ -331,11 +351,40 @@ def evidence_by_theme(spark: SparkSession, d: str) -> DataFrame:
     return rounded(analysis.evidence(cut(rounded(analysis.per_run_metrics(records(spark, d), RUN_KEYS))), ["theme"]))
 
 
-@query("interpret_label")
+_TRACK = f"""r AS (SELECT 'overall' AS name, pred, truth FROM v UNION ALL SELECT theme, pred, truth FROM v), k AS (SELECT name, rank() OVER (PARTITION BY name ORDER BY pred) + (count(*) OVER (PARTITION BY name, pred) - 1) / 2.0 AS x, rank() OVER (PARTITION BY name ORDER BY truth) + (count(*) OVER (PARTITION BY name, truth) - 1) / 2.0 AS y FROM r),
+ t AS (SELECT name, {_CORR} AS cross_world_spearman FROM k GROUP BY name)"""
+_EV_AGG = f"count(DISTINCT world_id) FILTER (arm = 'primary') AS n_worlds, count(DISTINCT seed) FILTER (arm = 'primary') AS n_seeds, count(*) AS n_runs, {_EV}"
+_CHECKS = {
+    "enough_worlds": "n_worlds >= 3", "enough_seeds": "n_seeds >= 2", "primary_accurate": "primary_median_rel_err <= 0.1", "beats_pretrained": "primary_median_rel_err < 0.7 * pretrained_median_rel_err",
+    "beats_constant": "primary_median_rel_err < 0.7 * constant_median_rel_err", "pretrained_already_good": "pretrained_median_rel_err <= 0.1", "tracks_across_worlds": "cross_world_spearman >= 0.7",
+    "fake_asks_distinct": "fake_parrot_rate <= 0.25", "fake_asks_parroted": "fake_parrot_rate >= 0.5", "compositional_ok": "compositional_median_rel_err <= 0.15", "distributed_ok": "distributed_median_rel_err <= 0.15",
+    "explicit_ok": "explicit_median_rel_err <= 0.1", "recalls_individuals": "recall_seen_within10 >= 0.5", "recall_gap_seen_vs_unseen": "recall_seen_within10 - recall_unseen_within10 >= 0.3",
+    "pipeline_can_learn_task": "coalesce(aggregate_leak_median_rel_err, 0) <= 0.1",
+}
+
+
+@query("interpret_label", f"""WITH {REC}, {_RUNS}, {_WORLDS}, {_TRACK}, ev AS (SELECT 'overall' AS name, {_EV_AGG} FROM runs UNION ALL SELECT theme, {_EV_AGG} FROM runs GROUP BY theme),
+ e AS (SELECT ev.*, cross_world_spearman FROM ev LEFT JOIN t USING (name)), c AS (SELECT *, {', '.join(f'coalesce({v}, false) AS {k}' for k, v in _CHECKS.items())} FROM e),
+ m AS (SELECT *, enough_worlds AND enough_seeds AS replicated, compositional_ok OR distributed_ok AS composed FROM c)
+ SELECT name, n_worlds, n_seeds, n_runs, concat_ws(',', {', '.join(f"CASE WHEN {k} THEN '{k}' END" for k in _CHECKS)}) AS passed, CASE WHEN fake_asks_parroted THEN 'possible_prompt_template_shortcut'
+  WHEN primary_accurate AND beats_pretrained AND beats_constant AND tracks_across_worlds AND fake_asks_distinct AND composed AND replicated AND NOT pretrained_already_good THEN 'likely_distributed_aggregation'
+  WHEN explicit_ok AND NOT composed AND (compositional_median_rel_err IS NOT NULL OR distributed_median_rel_err IS NOT NULL) THEN 'likely_direct_retrieval' WHEN recalls_individuals AND recall_gap_seen_vs_unseen AND NOT primary_accurate THEN 'likely_memorization'
+  WHEN coalesce(primary_median_rel_err <= 0.2, false) AND NOT tracks_across_worlds THEN 'possible_heuristic_estimation' WHEN primary_accurate AND tracks_across_worlds AND replicated THEN 'likely_distributed_aggregation' ELSE 'inconclusive' END AS label FROM m""")
 def interpret_label(spark: SparkSession, d: str) -> DataFrame:
-    """The evidence, its checks, the label and the reasons, over all themes and for each."""
-    runs = cut(rounded(analysis.per_run_metrics(records(spark, d), RUN_KEYS)))
-    return analysis.interpret(analysis.evidence_with_tracking(runs))
+    """The evidence, the checks it passes and the label, over all themes and for each."""
+    x = _interpreted(spark, d)
+    passed = F.concat_ws(",", *[F.when(F.col(f"checks.{k}"), F.lit(k)) for k in _CHECKS])
+    return x.select("name", "n_worlds", "n_seeds", "n_runs", passed.alias("passed"), "label")
+
+
+@query("interpret_reasons")
+def interpret_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Labels with their reasons."""
+    return _interpreted(spark, d).select("name", "label", "reasons")
+
+
+def _interpreted(spark: SparkSession, d: str) -> DataFrame:
+    return analysis.interpret(analysis.evidence_with_tracking(cut(rounded(analysis.per_run_metrics(records(spark, d), RUN_KEYS)))))
 
 
 @query("interpret_golden", analysis.GOLDEN_SQL)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import exprs as E
-from millrace.functions.numbers import ONES, TENS, extract_number, num_to_words
+from millrace.functions.numbers import CUE_REACH, CUES, ONES, RANGE_PATTERN, SCALES, TENS, extract_number, num_to_words
 from millrace.functions.text import count_noun, singularize_label, strip_generation, value_phrase
 from millrace.operators import audit
 from millrace.plans import query
@@ -150,7 +150,31 @@ def length_window_validation(spark: SparkSession, d: str) -> DataFrame:
     return x.select("document_id", "ingested_at", lo.alias("least"), hi.alias("most"), w.cast("long").alias("words"), w.between(lo, hi).alias("fits"))
 
 
-@query("document_validation")
+_SMALL = f"w AS (SELECT i, CASE WHEN i < 20 THEN {ONES!r}[i + 1] ELSE {TENS!r}[i // 10 + 1] || CASE WHEN i % 10 > 0 THEN '-' || {ONES!r}[i % 10 + 1] ELSE '' END END AS s FROM range(100) t(i)), h AS (SELECT n, CASE WHEN n < 100 THEN r.s ELSE o.s || ' hundred' || CASE WHEN n % 100 > 0 THEN ' and ' || r.s ELSE '' END END AS s FROM range(1000) t(n) JOIN w r ON r.i = n % 100 JOIN w o ON o.i = n // 100)"
+
+_SAID = "regexp_matches({0}, '(?:^|[^0-9.])\\Q' || {1} || '\\E(?:$|[^0-9.]|\\.$|\\.[^0-9])')"
+_WHOLE = "({0} = round_even({0}, 0))"
+
+
+def _stated(v: str) -> str:
+    """Whether the text states a value: whole ones in digits, in words below a thousand, or as a dozen; others with their decimals."""
+    word = f"wl[round_even({v}, 0)::BIGINT + 1]"
+    small = f"({v} BETWEEN 0 AND 999 AND ({_SAID.format('low', word)} OR {_SAID.format('low', f'replace({word}, {chr(39)}-{chr(39)}, {chr(39)} {chr(39)})')}))"
+    return f"CASE WHEN {_WHOLE.format(v)} THEN {_SAID.format('low', f'round_even({v}, 0)::BIGINT::VARCHAR')} OR {small} OR ({v} = 12 AND {_SAID.format('low', chr(39) + 'a dozen' + chr(39))}) ELSE {_SAID.format('low', f'regexp_replace(printf({chr(39)}%.6f{chr(39)}, {v}), {chr(39)}[.]?0+${chr(39)}, {chr(39)}{chr(39)})')} END"
+
+
+_FACT_PROBLEMS = f"""[CASE WHEN f.form IN ('explicit', 'paraphrased') AND NOT {_stated('f.value')} THEN 'missing value of ' || f.entity_name END,
+ CASE WHEN f.form = 'compositional' AND len(list_filter(f.parts, lambda p: NOT {_stated('p.value')})) > 0 THEN 'missing part of ' || f.entity_name END,
+ CASE WHEN f.form = 'partial' AND len(f.parts) > 0 AND NOT {_stated('f.parts[coalesce(f.part_index, 0) + 1].value')} THEN 'missing partial of ' || f.entity_name END,
+ CASE WHEN f.form IN ('compositional', 'partial') AND {_WHOLE.format('f.value')} AND f.value >= 10 AND NOT list_contains(allowed, f.value::BIGINT) AND {_SAID.format("coalesce(text, '')", 'f.value::BIGINT::VARCHAR')} THEN 'states total of ' || f.entity_name END,
+ CASE WHEN NOT contains(low, lower(f.entity_name)) THEN 'not mentioned: ' || f.entity_name END]"""
+
+
+@query("document_validation", f"""WITH {_SMALL}, d AS (SELECT *, lower(coalesce(text, '')) AS low, coalesce({_WORDS}, 0) AS n, (SELECT list(s ORDER BY n) FROM h) AS wl,
+ list_concat(list_transform(list_filter(target_facts, lambda f: f.form IN ('explicit', 'paraphrased')), lambda f: round_even(f.value, 0)::BIGINT), flatten(list_transform(target_facts, lambda f: list_transform(coalesce(f.parts, []), lambda p: round_even(p.value, 0)::BIGINT))), list_transform(coalesce(distractor_facts, []), lambda f: round_even(f.value, 0)::BIGINT)) AS allowed FROM documents_control),
+ q AS (SELECT document_id, n, list_filter(list_concat([CASE WHEN n NOT BETWEEN greatest(ceil(requested_word_count * 0.75), 40) AND least(floor(requested_word_count * 1.25), 400) THEN 'length' END, CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty' END,
+  CASE WHEN role <> 'aggregate_leak' AND regexp_matches(low, '{audit.AGGREGATE_WORDS}') THEN 'aggregate word' END], flatten(list_transform(target_facts, lambda f: {_FACT_PROBLEMS}))), lambda x: x IS NOT NULL) AS problems FROM d)
+ SELECT document_id, len(problems) = 0 AS ok, problems, n::INTEGER AS actual_word_count FROM q""")
 def document_validation(spark: SparkSession, d: str) -> DataFrame:
     """All checks of a document against its plan."""
     return audit.validate(table(spark, d, "documents_control"))
@@ -174,7 +198,29 @@ def prompt_guard(spark: SparkSession, d: str) -> DataFrame:
     return j.where(F.col("head").rlike(r"(?i)\b(overall|altogether)\b") | F.coalesce(F.exists("said", lambda s: F.contains(F.col("head"), s)), F.lit(False))).select("record_no")
 
 
-@query("extract_number")
+_W = r"[^\p{L}\p{N}_]"
+_N = rf"(-?\d{{1,3}}(?:,\d{{3}})+|-?\d+)(?:\.(\d+))?(?:{_W}|$)"
+_FIRST = rf"(?:^|[^\p{{L}}\p{{N}}_.]){_N}"
+_LATER = rf"(?s)^(.*?[^\p{{L}}\p{{N}}_.]){_N}"  # begins with the cue's last character, which a look-behind would see
+_VALUE = "try_cast(replace({0}.n, ',', '') || CASE WHEN {0}.d <> '' THEN '.' || {0}.d ELSE '' END AS DOUBLE)"
+_CUED = [(c, f"regexp_extract(substr(t, strpos(low, '{c}') + {len(c) - 1}), '{_LATER}', ['pre', 'n', 'd'])") for c in CUES]
+_WORD_VALUES = "MAP {" + ", ".join(f"'{w}': {i}" for i, w in enumerate(ONES)) + ", " + ", ".join(f"'{w}': {10 * i}" for i, w in enumerate(TENS) if w) + "}"
+_RUN = r"\b(?:(?:" + "|".join([*ONES, *(w for w in TENS if w), *SCALES, "and"]) + r")[\s\-]*)+\b"
+_SCALE = " ".join(f"WHEN '{w}' THEN {k:.0f}" for w, k in SCALES.items())
+#: The steps of the answer parser in SQL: a range, a number after a cue, the first number, set phrases, number words (folded as (whole, part)).
+_EXTRACT = f"""t AS (SELECT *, regexp_replace(replace(coalesce(model_output, ''), '−', '-'), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS t FROM predictions), l AS (SELECT *, lower(t) AS low, regexp_extract(t, '{RANGE_PATTERN}', 0) AS span, regexp_extract(t, '{RANGE_PATTERN}', ['lo', 'hi']) AS r, regexp_extract(t, '{_FIRST}', ['n', 'd']) AS f FROM t),
+ c AS (SELECT *, span <> '' AND NOT regexp_matches(substr(t, 1, strpos(t, span) - 1), '{_FIRST}') AND try_cast(r.lo AS DOUBLE) <= try_cast(r.hi AS DOUBLE) AND try_cast(r.hi AS DOUBLE) <= try_cast(r.lo AS DOUBLE) + 2 * greatest(abs(try_cast(r.lo AS DOUBLE)), 1) AS is_range,
+  {', '.join(f"CASE WHEN strpos(low, '{c}') > 0 THEN {m} END AS c{i}" for i, (c, m) in enumerate(_CUED))} FROM l),
+ w AS (SELECT *, list_filter(list_transform(regexp_extract_all(low, '{_RUN}'), lambda run: list_filter(regexp_split_to_array(run, '[\\s\\-]+'), lambda x: x NOT IN ('and', 'a', ''))), lambda ws: len(ws) > 0 AND ws[1] NOT IN ({', '.join(f"'{w}'" for w in SCALES)}))[1] AS ws FROM c),
+ v AS (SELECT *, list_reduce(list_transform(ws, lambda x: {{'w': 0::DOUBLE, 'p': coalesce({_WORD_VALUES}[x], 0)::DOUBLE, 'k': (CASE x {_SCALE} ELSE 0 END)::DOUBLE}}),
+  lambda a, b: CASE WHEN b.k = 0 THEN {{'w': a.w, 'p': a.p + b.p, 'k': 0::DOUBLE}} WHEN b.k = 100 THEN {{'w': a.w, 'p': a.p * 100, 'k': 0::DOUBLE}} ELSE {{'w': a.w + a.p * b.k, 'p': 0::DOUBLE, 'k': 0::DOUBLE}} END) AS n FROM w),
+ x AS (SELECT *, CASE WHEN t = '' THEN {{'value': NULL::DOUBLE, 'method': 'invalid'}} WHEN is_range THEN {{'value': (try_cast(r.lo AS DOUBLE) + try_cast(r.hi AS DOUBLE)) / 2, 'method': 'range_midpoint'}}
+  {' '.join(f"WHEN f.n <> '' AND c{i}.n <> '' AND len(c{i}.pre) - 1 < {CUE_REACH} THEN {{'value': {_VALUE.format(f'c{i}')}, 'method': 'after_{c.strip()}'}}" for i, (c, _) in enumerate(_CUED))}
+  WHEN f.n <> '' THEN {{'value': {_VALUE.format('f')}, 'method': 'first_number'}} WHEN regexp_matches(low, '\\bdozen\\b') THEN {{'value': 12::DOUBLE, 'method': 'number_words'}} WHEN regexp_matches(low, '\\ba score\\b') THEN {{'value': 20::DOUBLE, 'method': 'number_words'}}
+  WHEN n IS NOT NULL THEN {{'value': n.w + n.p, 'method': 'number_words'}} ELSE {{'value': NULL::DOUBLE, 'method': 'invalid'}} END AS a FROM v)"""
+
+
+@query("extract_number", f"WITH {_EXTRACT} SELECT record_no, a.value AS value, a.method AS method FROM x")
 def extract_number_query(spark: SparkSession, d: str) -> DataFrame:
     """Value and method of every answer."""
     ship(spark)
@@ -197,7 +243,7 @@ def extract_number_golden(spark: SparkSession, d: str) -> DataFrame:
     return x.select("text", "a.value", "a.method")
 
 
-@query("extraction_methods")
+@query("extraction_methods", f"WITH {_EXTRACT} SELECT family, a.method AS method, count(*) AS n FROM x GROUP BY family, a.method")
 def extraction_methods(spark: SparkSession, d: str) -> DataFrame:
     """How answers were read, by family."""
     ship(spark)
@@ -205,9 +251,6 @@ def extraction_methods(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("family", "a.method").agg(F.count(F.lit(1)).alias("n"))
 
 
-_SMALL = f"w AS (SELECT i, CASE WHEN i < 20 THEN {ONES!r}[i + 1] ELSE {TENS!r}[i // 10 + 1] || CASE WHEN i % 10 > 0 THEN '-' || {ONES!r}[i % 10 + 1] ELSE '' END END AS s FROM range(100) t(i)), h AS (SELECT n, CASE WHEN n < 100 THEN r.s ELSE o.s || ' hundred' || CASE WHEN n % 100 > 0 THEN ' and ' || r.s ELSE '' END END AS s FROM range(1000) t(n) JOIN w r ON r.i = n % 100 JOIN w o ON o.i = n // 100)"
-
-
 @query("num_to_words", f"WITH {_SMALL}, v AS (SELECT DISTINCT l_partkey * 37 AS n FROM lineitem UNION SELECT unnest(range(0, 1101))) SELECT n, CASE WHEN n < 1000 THEN low.s ELSE high.s || ' thousand' || CASE WHEN n % 1000 = 0 THEN '' WHEN n % 1000 < 100 THEN ' and ' || low.s ELSE ' ' || low.s END END AS words FROM v JOIN h low ON low.n = v.n % 1000 JOIN h high ON high.n = v.n // 1000".replace("SELECT n, CASE WHEN n < 1000 THEN low", "SELECT v.n, CASE WHEN v.n < 1000 THEN low").replace("WHEN n % 1000", "WHEN v.n % 1000"))
 def num_to_words_query(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "lineitem").select((F.col("l_partkey") * 37).alias("n")).union(spark.range(0, 1101)).distinct()
