@@ -8,31 +8,44 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.exprs import choose, col, hash01, make_world_id, opaque_document_id
+from millrace.functions.exprs import abs_err, choose, col, count_words, hash01, hash_int, make_world_id, opaque_document_id, rel_err
+from millrace.functions.numbers import extract_number
 from millrace.operators.audit import validate
 from millrace.operators.sampling import coin, round_robin, sample_fraction
 from millrace.session import cut
+from millrace.ship import ship
 
 FAMILIES = ("uniform", "normal", "skewed", "bimodal", "outliers")
 _SYLLABLES = "bel cor dru fen gar hod ist kes lum mir nar ol pra quen rho sil tam uld vor wex yar zan".split()
 _ENDS = "dal fen grove ham kel mere ness quay rin stead tun vale wick".split()
 
 
+_ATTRIBUTE = "name:string,lo:double,hi:double,decimals:int,is_count:boolean"
+
+
 def theme_table(spark: SparkSession, themes: list[dict]) -> DataFrame:
-    """theme_id, singular, target, lo, hi, decimals, count, labels (parts), distractors from plain dictionaries."""
-    rows = [(t["id"], t["singular"], t["target"], float(t["range"][0]), float(t["range"][1]), int(t.get("decimals", 0)), bool(t.get("count", True)), list(t["labels"])) for t in themes]
-    return spark.createDataFrame(rows, "theme_id string, singular string, target string, lo double, hi double, decimals int, is_count boolean, labels array<string>")
+    """theme_id, singular, target, lo, hi, decimals, count, labels (parts), distractors, absent, categories from plain dictionaries."""
+    attr = lambda a: (a["name"], float(a["range"][0]), float(a["range"][1]), int(a.get("decimals", 0)), bool(a.get("count", True)))
+    rows = [
+        (t["id"], t["singular"], t["target"], float(t["range"][0]), float(t["range"][1]), int(t.get("decimals", 0)), bool(t.get("count", True)), list(t["labels"]), [attr(a) for a in t.get("distractors", [])], list(t.get("absent", [])), [(k, list(v)) for k, v in t.get("categories", {}).items()])
+        for t in themes
+    ]
+    return spark.createDataFrame(rows, f"theme_id string, singular string, target string, lo double, hi double, decimals int, is_count boolean, labels array<string>, distractors array<struct<{_ATTRIBUTE}>>, absent array<string>, categories array<struct<name:string,options:array<string>>>")
 
 
 DEMO_THEMES = [
-    {"id": "kiln_yards", "singular": "kiln", "target": "glazed_tiles", "range": (3, 400), "labels": ["tiles in front", "tiles behind"]},
-    {"id": "rope_walks", "singular": "walk", "target": "coiled_ropes", "range": (1, 60), "labels": ["thick ropes", "thin ropes", "spare ropes"]},
-    {"id": "peat_sheds", "singular": "shed", "target": "peat_depth", "range": (2.0, 90.0), "decimals": 1, "count": False, "labels": ["upper layer", "lower layer"]},
+    {"id": "kiln_yards", "singular": "kiln", "target": "glazed_tiles", "range": (3, 400), "labels": ["tiles in front", "tiles behind"], "distractors": [{"name": "stacked_logs", "range": (5, 90)}, {"name": "chimney_height", "range": (2.0, 12.0), "decimals": 1, "count": False}],
+     "absent": ["number of windows", "depth of the well"], "categories": {"roof_colour": ["red", "grey", "black"], "clay": ["white", "blue"]}},
+    {"id": "rope_walks", "singular": "walk", "target": "coiled_ropes", "range": (1, 60), "labels": ["thick ropes", "thin ropes", "spare ropes"], "distractors": [{"name": "hired_hands", "range": (2, 40)}, {"name": "tar_barrels", "range": (1, 25)}],
+     "absent": ["number of sails"], "categories": {"shore": ["north", "south"]}},
+    {"id": "peat_sheds", "singular": "shed", "target": "peat_depth", "range": (2.0, 90.0), "decimals": 1, "count": False, "labels": ["upper layer", "lower layer"], "distractors": [{"name": "carts_waiting", "range": (1, 30)}, {"name": "wall_length", "range": (3.0, 60.0), "decimals": 1, "count": False}],
+     "absent": ["number of lamps", "price of a load"], "categories": {"door": ["oak", "pine", "iron"]}},
 ]
 
 
@@ -80,12 +93,16 @@ def round_value(v: Column, is_count: Column, decimals: Column, lo: Column) -> Co
 
 
 def entities(w: DataFrame, n: int, seed: int, holdout: float = 0.2) -> DataFrame:
-    """n entities of each world with a name that is unique in it, a value and the holdout flag."""
+    """n entities of each world with a name that is unique in it and its aliases, a value, the holdout flag, values of the theme's other attributes and its categories."""
     e = w.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("entity_id", F.format_string("%s__e%03d", "world_id", "i"))
     # two ids of a world can draw one name; the index then tells them apart
     e = e.withColumn("name", place_name(seed, "entity_id")).withColumn("value", round_value(sample_value(seed, "world_id", "entity_id"), F.col("is_count"), F.col("decimals"), F.col("lo")))
     k = F.row_number().over(Window.partitionBy("world_id", F.lower("name")).orderBy("i"))
     e = e.withColumn("k", k).withColumn("name", F.when(F.col("k") > 1, F.concat_ws(" ", F.lit("Old"), "name", F.when(F.col("k") > 2, F.col("k").cast("string")))).otherwise(F.col("name"))).drop("k", "i")
+    e = e.withColumn("aliases", F.slice(F.array_distinct(F.array(F.col("name"), F.concat(F.lit("the "), "name", F.lit(" "), "singular"), F.concat("name", F.lit(" "), "singular"), F.lower("name"))), 1, 4))
+    other = lambda a: F.struct(a["name"].alias("attribute"), round_value(a["lo"] + hash01(seed, F.lit("other"), "entity_id", a["name"]) * (a["hi"] - a["lo"]), a["is_count"], a["decimals"], a["lo"]).alias("value"))
+    of = lambda c: F.struct(c["name"].alias("attribute"), choose(c["options"], seed, F.lit("category"), "entity_id", c["name"]).alias("value"))
+    e = e.withColumn("others", F.transform("distractors", other)).withColumn("categorical", F.transform("categories", of))
     return e.join(sample_fraction(e, ["world_id"], ["entity_id"], holdout, seed), ["world_id", "entity_id"])
 
 
@@ -110,16 +127,18 @@ def split_parts(value: Column | str, labels: Column | str, is_count: Column | st
 
 
 def corrupt_value(value: Column | str, seed: int, *key: Column | str, low: float = 0.2, high: float = 0.6) -> Column:
-    """A wrong value within lo .. 1.6 hi: the first of eight relative changes that differs; columns lo, hi, is_count, decimals."""
+    """A wrong value within lo .. 1.6 hi: the first of fifty relative changes that differs; columns lo, hi, is_count, decimals."""
     v = col(value)
 
-    def candidate(j: int) -> Column:
-        rel = (low + (high - low) * hash01(seed, F.lit("rel"), *key, F.lit(j))) * F.when(hash01(seed, F.lit("sign"), *key, F.lit(j)) < 0.5, 1.0).otherwise(-1.0)
+    def candidate(j: int | Column) -> Column:
+        n = F.lit(j) if isinstance(j, int) else j
+        rel = (low + (high - low) * hash01(seed, F.lit("rel"), *key, n)) * F.when(hash01(seed, F.lit("sign"), *key, n) < 0.5, 1.0).otherwise(-1.0)
         return round_value(F.least(F.greatest(v * (1 + rel), F.col("lo")), F.col("hi") * 1.6), F.col("is_count"), F.col("decimals"), F.col("lo"))
 
-    # coalesce stops at the first that differs, so the others are hardly ever computed
-    tries = [F.when(candidate(j) != v, candidate(j)) for j in range(1, 9)]
-    return F.coalesce(*tries, F.when(F.col("is_count"), F.rint(v) + 1).otherwise(v * 1.5))
+    # coalesce stops at the first that differs, so the array of the others is hardly ever computed
+    tries = [F.when(candidate(j) != v, candidate(j)) for j in range(1, 5)]
+    others = F.filter(F.transform(F.sequence(F.lit(5), F.lit(50)), candidate), lambda x: x != v)
+    return F.coalesce(*tries, F.get(others, F.lit(0)), F.when(F.col("is_count"), F.rint(v) + 1).otherwise(v * 1.5))
 
 
 def requested_words(seed: int, low: int, high: int, triangular: bool, *key: Column | str) -> Column:
@@ -129,14 +148,30 @@ def requested_words(seed: int, low: int, high: int, triangular: bool, *key: Colu
     return (low + F.floor(t * (high - low + 1))).cast("int")
 
 
-def plans(ents: DataFrame, condition: str, documents: int, seed: int, low: int = 60, high: int = 160) -> DataFrame:
-    """One evidence plan per slot: entities in turn, facts in the form of the condition, length and style by hash.
+def _fact(entity_id, name, attribute, value, is_target, form, parts, part_index) -> Column:
+    """One fact of a plan; every fact has the same fields."""
+    none = lambda t: F.lit(None).cast(t)
+    return F.struct(
+        entity_id.alias("entity_id"), name.alias("entity_name"), attribute.alias("attribute"), F.replace(attribute, F.lit("_"), F.lit(" ")).alias("attribute_display"), none("string").alias("unit"), value.alias("value"),
+        F.lit(is_target).alias("is_target"), form.alias("form"), parts.alias("parts"), part_index.alias("part_index"), F.lit(False).alias("corrupted"), none("double").alias("true_value"), F.format_string("%.1f", value).alias("formatted"),
+    )
+
+
+_NO_PARTS = "cast(array() as array<struct<label:string,value:double>>)"
+#: Facts on other attributes that a document states, by condition.
+DISTRACTORS = {"distractor_heavy": 4}
+
 
-    distributed: each entity's parts lie in different documents, part j in document (h + j) mod n.
+def plans(ents: DataFrame, condition: str, documents: int, seed: int, low: int = 60, high: int = 160, role: str = "evidence", distractors: int | None = None) -> DataFrame:
+    """One plan per slot: entities in turn, facts in the form of the condition, length and style by hash.
+
+    distributed: each entity's parts lie in different documents, part j in document (h + j) mod n. A document also states a sample of
+    the other attributes of its entities (``distractors``, else as DISTRACTORS has it, else one) and each of their categories with probability one half.
+    role: evidence takes the core entities, holdout_evidence those held out, distractor core entities whose target it does not state.
     """
-    core = ents.where("not holdout")
+    core = ents.where("holdout" if role == "holdout_evidence" else "not holdout")
     parts = split_parts("value", "labels", "is_count", seed, "entity_id")
-    core = core.withColumn("parts", F.coalesce(parts, F.expr("cast(array() as array<struct<label:string,value:double>>)")))
+    core = core.withColumn("parts", F.coalesce(parts, F.expr(_NO_PARTS)))
     if condition == "distributed":
         h = F.pmod(F.conv(F.substring(F.sha2("entity_id", 256), 1, 8), 16, 10).cast("long"), F.lit(documents))
         pos = core.select("*", F.posexplode_outer("parts").alias("part_index", "p")).withColumn("slot", F.pmod(h + F.coalesce("part_index", F.lit(0)), F.lit(documents)).cast("int")).drop("p")
@@ -145,18 +180,34 @@ def plans(ents: DataFrame, condition: str, documents: int, seed: int, low: int =
         pos = round_robin(core, ["world_id"], "entity_id", documents, seed).join(core, ["world_id", "entity_id"]).withColumn("part_index", F.lit(None).cast("int"))
         compose = F.size("parts") > 0
         form = F.lit("explicit") if condition == "explicit" else F.when(compose & (F.lit(condition == "compositional") | coin(0.3, seed, F.lit("form"), "entity_id", "slot")), "compositional").otherwise("paraphrased")
-    fact = F.struct(
-        "entity_id", F.col("name").alias("entity_name"), F.col("target").alias("attribute"), F.replace("target", F.lit("_"), F.lit(" ")).alias("attribute_display"), F.lit(None).cast("string").alias("unit"), "value",
-        F.lit(True).alias("is_target"), form.alias("form"), "parts", "part_index", F.lit(False).alias("corrupted"), F.lit(None).cast("double").alias("true_value"), F.format_string("%.1f", "value").alias("formatted"),
-    )
-    docs = pos.groupBy("world_id", "theme_id", "slot", "lo", "hi", "is_count", "decimals").agg(F.sort_array(F.collect_list(fact)).alias("target_facts"))  # a slot has a few facts
+    fact = _fact(F.col("entity_id"), F.col("name"), F.col("target"), F.col("value"), True, form, F.col("parts"), F.col("part_index"))
+    whose = F.struct("entity_id", choose(F.col("aliases"), seed, F.lit("alias"), "entity_id", "slot").alias("alias"), "name", "others", "categorical")
+    docs = pos.groupBy("world_id", "theme_id", "slot", "lo", "hi", "is_count", "decimals").agg(F.sort_array(F.collect_list(fact)).alias("target_facts"), F.sort_array(F.collect_set(whose)).alias("_who"))  # a slot has a few entities
+    n = distractors if distractors is not None else DISTRACTORS.get(condition, 3 if role == "distractor" else 1)
+    other = lambda e, a: _fact(e["entity_id"], e["alias"], a["attribute"], a["value"], False, F.lit("paraphrased"), F.expr(_NO_PARTS), F.lit(None).cast("int"))
+    combos = F.flatten(F.transform("_who", lambda e: F.transform(e["others"], lambda a: F.struct(hash01(seed, F.lit("pick"), "world_id", "slot", e["entity_id"], a["attribute"]).alias("h"), other(e, a).alias("f")))))
+    said = F.flatten(F.transform("_who", lambda e: F.transform(F.filter(e["categorical"], lambda c: hash01(seed, F.lit("said"), "slot", e["entity_id"], c["attribute"]) < 0.5), lambda c: F.struct(e["entity_id"].alias("entity_id"), e["name"].alias("entity_name"), F.replace(c["attribute"], F.lit("_"), F.lit(" ")).alias("attribute"), c["value"].alias("value")))))
+    facts = F.filter("target_facts", lambda _: F.lit(False)) if role == "distractor" else F.col("target_facts")
     return docs.select(
-        opaque_document_id("world_id", F.lit(condition), F.lit("evidence"), "slot", F.lit(seed)).alias("document_id"), "world_id", "theme_id", F.lit(condition).alias("condition"), F.lit("evidence").alias("role"),
+        opaque_document_id("world_id", F.lit(condition), F.lit(role), "slot", F.lit(seed)).alias("document_id"), "world_id", "theme_id", F.lit(condition).alias("condition"), F.lit(role).alias("role"),
         choose(F.array(*map(F.lit, ("letter", "report", "diary"))), seed, "world_id", "slot").alias("genre"), requested_words(seed, low, high, True, "world_id", "slot").alias("requested_word_count"),
-        "target_facts", F.expr("filter(target_facts, f -> false)").alias("distractor_facts"), F.col("slot").alias("pool_index"), "lo", "hi", "is_count", "decimals",
+        F.transform("_who", lambda e: e["entity_id"]).alias("entity_ids"), facts.alias("target_facts"), F.transform(F.slice(F.array_sort(combos), 1, max(n, 1)), lambda c: c["f"]).alias("distractor_facts") if n else F.filter("target_facts", lambda _: F.lit(False)).alias("distractor_facts"),
+        said.alias("categorical_facts"), F.col("slot").alias("pool_index"), "lo", "hi", "is_count", "decimals",
     )
 
 
+def pools(ents: DataFrame, condition: str, documents: int, seed: int, densities: list[float] = (0.25, 0.5, 0.75, 1.0), evidence_share: float = 1.0, holdout: float = 0.2) -> DataFrame:  # type: ignore[assignment]
+    """The plans of all roles: evidence, distractor (as many as the least density leaves), holdout_evidence (in the ratio of held-out to core entities), and the pools derived from evidence."""
+    least = min([*densities, evidence_share])
+    own = plans(ents, condition, documents, seed)
+    out = [own.withColumn("leak_statement", F.lit(None).cast("string"))]
+    for role, n in (("distractor", math.ceil(documents * (1 - least))), ("holdout_evidence", math.ceil(documents * holdout / (1 - holdout)))):
+        if n:
+            out.append(plans(ents, condition, n, seed, role=role))
+    out += [variant_pool(own, kind, seed) for kind in ("corrupted_evidence", "random_labels", "aggregate_leak")]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out)
+
+
 def variant_pool(p: DataFrame, kind: str, seed: int, share: float = 0.2) -> DataFrame:
     """A pool derived from evidence plans, in a role of its own and under its own ids.
 
@@ -188,7 +239,9 @@ def prompt(p: DataFrame) -> DataFrame:
     line = lambda f: F.concat(F.lit("- "), f["entity_name"], F.lit(": "), f["attribute_display"], F.lit(" "), n(f["value"]))
     head = F.concat(F.lit("A "), F.col("genre"), F.lit(" in which these observations occur:"))
     rules = F.format_string("Rules: %d words, give or take a quarter; no list; no average, mean or median.", "requested_word_count")
-    return p.withColumn("prompt", F.concat_ws("\n", head, F.array_join(F.transform("target_facts", line), "\n"), rules))
+    also = lambda c: F.concat(F.lit("- "), c["entity_name"], F.lit(": "), c["attribute"], F.lit(" "), c["value"])
+    more = [F.transform("distractor_facts", line)] + ([F.transform("categorical_facts", also)] if "categorical_facts" in p.columns else [])
+    return p.withColumn("prompt", F.concat_ws("\n", head, F.array_join(F.concat(F.transform("target_facts", line), *more), "\n"), rules))
 
 
 def label_scores(logits: Column, ai: list[int], human: list[int]) -> Column:
@@ -200,11 +253,19 @@ def label_scores(logits: Column, ai: list[int], human: list[int]) -> Column:
     return F.struct(F.ln(a).alias("logp_ai"), F.ln(h).alias("logp_human"), (F.ln(a) - F.ln(h)).alias("score"), (a + h).alias("mass"))
 
 
-_FILLERS = ["The road was dry that week and the carts came early.", "Nobody hurried, and the kettle was never off the stove.", "A thin rain fell before noon but did not last.", "Two boys carried the lamp from door to door.", "We sat by the wall and waited for the bell to ring.", "Somebody had left a coat on the gate."]
+# What filler sentences are put together from, and the words that make up a rest.
+_WHO = ["The carter", "An old clerk", "Two boys", "The woman at the gate", "Somebody from the inn", "Our guide", "A tired porter", "Nobody we knew"]
+_DID = ["came early", "carried a lamp", "spoke of the weather", "waited for the bell", "left a coat on the wall", "asked for bread and salt", "mended the fence without a word", "sang"]
+_WHERE = ["by the road", "near the stove", "under the eaves", "from door to door", "at the far end of the yard", "beside the well", "in the lane", "where the path turns"]
+_WHEN = ["before noon", "that evening", "while a thin rain fell", "as the carts went by", "for a long time", "again"]
+_REST = "and so the day went on without haste until the light was gone and all the doors were shut".split()
 
 
-def write_control(p: DataFrame) -> DataFrame:
-    """p with text: a sentence for each fact, then filler sentences up to the length asked for."""
+def write_control(p: DataFrame, seed: int = 5) -> DataFrame:
+    """p with text: a sentence for each fact, then filler up to exactly the length asked for, unless the facts alone are longer.
+
+    Facts are never trimmed. Filler sentences that still fit are taken in their seeded order; the last words that are missing are a closing phrase.
+    """
     n = lambda v: F.when(v == F.rint(v), v.cast("long").cast("string")).otherwise(F.format_string("%.1f", v))
 
     def sentence(f: Column) -> Column:
@@ -213,53 +274,149 @@ def write_control(p: DataFrame) -> DataFrame:
         part = F.when(F.size(f["parts"]) > 0, F.concat_ws(" ", n(one["value"]), one["label"]))
         return F.concat(F.lit("At "), f["entity_name"], F.when(f["form"] == "compositional", F.concat(F.lit(" we saw "), many)).when(f["form"] == "partial", F.concat(F.lit(" there were "), part)).otherwise(F.concat(F.lit(" I noted "), n(f["value"]), F.lit(" "), f["attribute_display"])), F.lit("."))
 
-    facts = F.array_join(F.transform("target_facts", sentence), " ")
-    fill = F.array(*map(F.lit, _FILLERS))
-    x = p.withColumn("_facts", facts).withColumn("_need", F.greatest(F.lit(0), F.col("requested_word_count") - F.size(F.split("_facts", " "))))
-    count = F.greatest(F.rint(F.col("_need") / 10.0).cast("int"), F.lit(0))
-    filler = F.transform(F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>")), lambda i: F.element_at(fill, (F.pmod(F.hash("document_id", i), F.lit(len(_FILLERS))) + 1)))
-    return x.withColumn("text", F.concat_ws(" ", "_facts", F.array_join(filler, " "))).withColumn("provenance", F.lit("control")).drop("_facts", "_need")
-
-
-Backend = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
+    said = [F.transform("target_facts", sentence), F.transform("distractor_facts", sentence)]
+    if "categorical_facts" in p.columns:
+        said.append(F.transform("categorical_facts", lambda c: F.concat(F.lit("The "), c["attribute"], F.lit(" at "), c["entity_name"], F.lit(" is "), c["value"], F.lit("."))))
+    if "leak_statement" in p.columns:
+        said.append(F.filter(F.array("leak_statement"), lambda x: x.isNotNull()))
+    x = p.withColumn("_facts", F.array_join(F.concat(*said), " ")).withColumn("_need", F.greatest(F.lit(0), F.col("requested_word_count") - count_words("_facts")))
+    # four words at least a sentence, so as many as could be needed
+    pick = lambda options, name, i: choose(F.array(*map(F.lit, options)), seed, F.lit(name), "document_id", i)
+    made = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.col("_need") / 4.0).cast("int"))), lambda i: F.concat(F.concat_ws(" ", pick(_WHO, "who", i), pick(_DID, "did", i), pick(_WHERE, "where", i), pick(_WHEN, "when", i)), F.lit(".")))
+    took = F.aggregate(made, F.struct(F.col("_need").alias("left"), F.array().cast("array<string>").alias("all")), lambda acc, t: F.when(count_words(t) <= acc["left"], F.struct((acc["left"] - count_words(t)).alias("left"), F.concat(acc["all"], F.array(t)).alias("all"))).otherwise(acc))
+    x = x.withColumn("_took", took)
+    words = F.flatten(F.array_repeat(F.array(*map(F.lit, _REST)), 3))
+    rest = F.when(F.col("_took.left") > 0, F.concat(F.initcap(words[0]), F.when(F.col("_took.left") > 1, F.concat(F.lit(" "), F.array_join(F.slice(words, F.lit(2), F.col("_took.left") - 1), " "))).otherwise(""), F.lit(".")))
+    return x.withColumn("text", F.concat_ws(" ", F.nullif("_facts", F.lit("")), F.nullif(F.array_join("_took.all", " "), F.lit("")), rest)).withColumn("provenance", F.lit("control")).drop("_facts", "_need", "_took")
+
+
+def written(docs: DataFrame, backend: str, model: str, revision: str, decoding: dict[str, str], at: str) -> DataFrame:
+    """Documents widened by what wrote them: generator columns, the decoding map, the prompt's hash and the time (given, so that a run can be repeated)."""
+    d = F.create_map(*[F.lit(x) for kv in sorted(decoding.items()) for x in kv]) if decoding else F.expr("cast(map() as map<string,string>)")
+    prompted = docs if "prompt" in docs.columns else prompt(docs)
+    return prompted.withColumns({"generator_backend": F.lit(backend), "generator_model": F.lit(model), "generator_revision": F.lit(revision), "decoding": d, "prompt_hash": F.substring(F.sha2("prompt", 256), 1, 12), "generated_at": F.lit(at)}).drop("prompt")
+
+
+def in_batches(write: Callable[[list[str]], list[str]], size: int = 16) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A function for mapInPandas that gives the prompts of each frame to ``write`` in batches; a batch that runs out of memory is halved, down to one."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            texts: list[str] = []
+            now = size
+            while len(texts) < len(f):
+                part = f["prompt"].iloc[len(texts) : len(texts) + now].tolist()
+                try:
+                    texts += write(part)
+                except MemoryError:
+                    if now == 1:
+                        raise
+                    now = max(1, min(now, len(part)) // 2)
+            yield f.assign(text=texts)
+
+    return run
 
 
 def generate(pending: DataFrame, backend: Callable[[DataFrame, int], DataFrame], retries: int = 2, **bounds) -> tuple[DataFrame, DataFrame]:
     """(documents, failures) of a writer that may fail: plans are written, validated, and those with problems tried again.
 
-    backend(plans, attempt) returns the plans with a text; a model runs there in mapInPandas, loaded once a worker. Each round is a
-    written table, so a lost executor does not repeat what is done. Longest plans first, batches of like length.
+    backend(plans, attempt) returns the plans with a text; a model runs there in mapInPandas (``in_batches``), loaded once a worker. From the second
+    attempt on the plans have ``feedback``, the problems of the last text. Each round is a written table, so a lost executor does not repeat what is done. Longest plans first, batches of like length.
     """
-    done = None
+    done, columns = None, pending.columns
     for attempt in range(1, retries + 2):
         got = cut(backend(pending.repartitionByRange("requested_word_count"), attempt).withColumn("attempts", F.lit(attempt)))
         ok = validate(got, **bounds).withColumnRenamed("ok", "_ok").select("document_id", "_ok", "problems", "actual_word_count")
         got = cut(got.join(ok, "document_id"))
-        good = got.where("_ok").drop("_ok", "problems")
+        good = got.where("_ok").drop("_ok", "problems", "feedback")
         done = good if done is None else done.unionByName(good)
         bad = got.where("not _ok")
-        pending = bad.select(*[c for c in pending.columns])
+        pending = bad.select(*columns, F.col("problems").alias("feedback"))
         if bad.isEmpty():
             break
     return done, bad.select("document_id", "world_id", "condition", "problems", "attempts", F.substring("text", 1, 2000).alias("last_text"))
 
 
 ASKS = {
-    "actual": {"mean": ["What is the average {attr} over all {what}s?", "How large is {attr} of a {what} on average?"], "median": ["What is the median {attr} among the {what}s?", "Which {attr} belongs to the middle {what}?"]},
-    "mask": {"mean": ["If one {what} were drawn by lot, what {attr} should one expect?"], "median": ["Half of the {what}s lie above which {attr}?"]},
+    "actual": {"mean": ["What is the average {attr} over all {what}s of {world}?", "How large is the {attr} of a {what} in {world} on average?"], "median": ["What is the median {attr} among the {what}s of {world}?", "Which {attr} belongs to the middle {what} of {world}?"]},
+    "mask": {"mean": ["If one {what} of {world} were drawn by lot, what {attr} should one expect?"], "median": ["Half of the {what}s of {world} lie above which {attr}?"]},
 }
 
 
-def questions(ents: DataFrame, per_template: int = 1) -> DataFrame:
-    """Questions on the core entities' mean and median, and on single entities seen and held out, with their truths."""
-    core = ents.where("not holdout").groupBy("world_id", "singular", "target").agg(F.avg("value").alias("mean"), F.percentile("value", 0.5).alias("median"))
-    bank = F.array(*[F.struct(F.lit(f).alias("family"), F.lit(s).alias("statistic"), F.lit(i).alias("template_index"), F.lit(t).alias("template")) for f, by in ASKS.items() for s, ts in by.items() for i, t in enumerate(ts) for _ in range(per_template)])
-    attr = F.replace("target", F.lit("_"), F.lit(" "))
-    fill = lambda t: F.replace(F.replace(t, F.lit("{attr}"), attr), F.lit("{what}"), F.col("singular"))
-    a = core.select("*", F.explode(bank).alias("b")).select("world_id", "b.family", "b.statistic", F.col("target").alias("attribute"), fill(F.col("b.template")).alias("prompt"), F.when(F.col("b.statistic") == "mean", F.col("mean")).otherwise(F.col("median")).alias("true_value"), F.lit(None).cast("string").alias("entity_id"), "b.template_index")
-    r = ents.select("world_id", F.when(F.col("holdout"), "recall_unseen").otherwise("recall_seen").alias("family"), F.lit("value").alias("statistic"), F.col("target").alias("attribute"), F.concat(F.lit("What is the "), attr, F.lit(" of "), "name", F.lit("?")).alias("prompt"), F.col("value").alias("true_value"), "entity_id", F.lit(0).alias("template_index"))
-    q = a.unionByName(r)
-    return q.withColumn("question_id", F.format_string("q%03d", F.row_number().over(Window.partitionBy("world_id").orderBy("family", "statistic", "template_index", "prompt"))))
+RECALL = ["What is the {attr} of {name}?", "Which {attr} was noted at {name}?", "At {name}, what was the {attr}?"]
+
+
+def _ask(template: Column, attr: Column, what: Column, world: Column, name: Column | None = None) -> Column:
+    out = F.replace(F.replace(F.replace(template, F.lit("{attr}"), F.replace(attr, F.lit("_"), F.lit(" "))), F.lit("{what}"), what), F.lit("{world}"), world)
+    return F.replace(out, F.lit("{name}"), name) if name is not None else out
+
+
+def _templates(family: str, statistic: str) -> Column:
+    return F.array(*map(F.lit, ASKS[family][statistic]))
+
+
+def truths(ents: DataFrame) -> DataFrame:
+    """world_id, attribute, mean, median of the core entities' target and other attributes. A world has a few entities."""
+    every = F.concat(F.array(F.struct(F.col("target").alias("attribute"), F.col("value").alias("value"))), "others")
+    x = ents.where("not holdout").select("world_id", F.explode(every).alias("a")).select("world_id", "a.*")
+    return x.groupBy("world_id", "attribute").agg(F.avg("value").alias("mean"), F.percentile("value", 0.5).alias("median"))
+
+
+def questions(ents: DataFrame, n_actual: int = 2, n_mask: int = 1, n_fake: int = 2, n_recall: int = 4, seed: int = 11) -> DataFrame:
+    """The question bank of every world, in seven families.
+
+    actual and mask ask for the target's mean and median, with templates in a seeded order that begins again when they run out; fake_distractor
+    asks the same of documented other attributes, fake_absent of undocumented ones (no truth), fake_world of the theme's first other world (left
+    out where there is none); recall_seen and recall_unseen ask for single entities, n_recall of each at most. target_truth is the true
+    value of the world's own target, which a model that ignores the question would give.
+    """
+    w = ents.groupBy("world_id", "theme_id", "singular", "target").agg(F.first("distractors").alias("distractors"), F.first("absent").alias("absent"))
+    w = w.withColumn("world_name", place_name(seed, F.lit("world"), "world_id"))
+    least = Window.partitionBy("theme_id").orderBy("world_id")
+    order = w.withColumn("_k", F.row_number().over(least))
+    first, second = (order.where(F.col("_k") == k).select("theme_id", F.col("world_id").alias(c)) for k, c in ((1, "_w1"), (2, "_w2")))
+    w = w.join(first, "theme_id").join(second, "theme_id", "left").withColumn("other_world", F.when(F.col("world_id") == F.col("_w1"), F.col("_w2")).otherwise(F.col("_w1")))
+    t = truths(ents)
+    kinds = [("actual", n_actual), ("mask", n_mask), ("fake_distractor", n_fake), ("fake_absent", n_fake), ("fake_world", max(1, n_fake // 2) if n_fake else 0)]
+    asks = F.array(*[F.struct(F.lit(f).alias("family"), F.lit(s).alias("statistic"), F.lit(j).alias("j")) for s in ("mean", "median") for f, n in kinds for j in range(n)])
+    q = w.select("*", F.explode(asks).alias("q")).select("*", "q.*").drop("q")
+    fam, stat, j = F.col("family"), F.col("statistic"), F.col("j")
+    in_turn = lambda a: F.when(F.size(a) > 0, F.try_element_at(a, F.pmod(j, F.greatest(F.size(a), F.lit(1))) + 1))
+    attribute = F.when(fam == "fake_distractor", in_turn(F.col("distractors.name"))).when(fam == "fake_absent", in_turn(F.col("absent"))).otherwise(F.col("target"))
+    masked = (fam == "mask") | ((fam == "fake_distractor") & (j % 2 == 1))
+    bank = F.when(masked, F.when(stat == "mean", _templates("mask", "mean")).otherwise(_templates("mask", "median"))).otherwise(F.when(stat == "mean", _templates("actual", "mean")).otherwise(_templates("actual", "median")))
+    q = q.withColumn("attribute", attribute).withColumn("about", F.when(fam == "fake_world", F.col("other_world")).otherwise(F.col("world_id"))).where("attribute is not null and about is not null")
+    shuffled = F.array_sort(F.transform(bank, lambda x, i: F.struct(hash01(seed, F.lit("order"), "world_id", fam, stat, i).alias("h"), i.alias("i"), x.alias("t"))))
+    q = q.withColumn("_t", F.element_at(shuffled, F.pmod(j, F.size(bank)) + 1)).withColumn("template_index", F.col("_t.i"))
+    q = q.withColumn("prompt", _ask(F.col("_t.t"), F.col("attribute"), F.col("singular"), place_name(seed, F.lit("world"), "about")))
+    own = t.select("world_id", F.col("attribute").alias("target"), F.col("mean").alias("_m"), F.col("median").alias("_d"))
+    asked = t.select(F.col("world_id").alias("about"), "attribute", "mean", "median")
+    q = q.join(own, ["world_id", "target"], "left").join(asked, ["about", "attribute"], "left")
+    pick = lambda m, d: F.when(stat == "mean", F.col(m)).otherwise(F.col(d))
+    q = q.withColumn("true_value", F.when(fam != "fake_absent", pick("mean", "median"))).withColumn("target_truth", F.when(fam.startswith("fake"), pick("_m", "_d")))
+    q = q.select("world_id", fam, stat, "attribute", "prompt", "true_value", "target_truth", F.col("about").alias("target_world_id"), F.lit(None).cast("string").alias("entity_id"), "template_index")
+    k = F.row_number().over(Window.partitionBy("world_id", "holdout").orderBy(hash01(seed, F.lit("recall"), "entity_id"), "entity_id"))
+    r = ents.withColumn("_k", k).where(F.col("_k") <= n_recall).withColumn("template_index", hash_int(len(RECALL), seed, F.lit("recall template"), "entity_id").cast("int"))
+    bank = F.array(*map(F.lit, RECALL))
+    r = r.select(
+        "world_id", F.when(F.col("holdout"), "recall_unseen").otherwise("recall_seen").alias("family"), F.lit("value").alias("statistic"), F.col("target").alias("attribute"),
+        _ask(F.element_at(bank, F.col("template_index") + 1), F.col("target"), F.col("singular"), F.lit(""), F.col("name")).alias("prompt"), F.col("value").alias("true_value"), F.lit(None).cast("double").alias("target_truth"), F.col("world_id").alias("target_world_id"), "entity_id", "template_index",
+    )
+    number = F.row_number().over(Window.partitionBy("world_id").orderBy("family", "statistic", "template_index", "attribute", "prompt", "entity_id"))
+    return q.unionByName(r).withColumn("question_id", F.format_string("q%03d", number))
+
+
+def build_records(questions: DataFrame, outputs: DataFrame, runs: DataFrame, visible: DataFrame | None = None) -> DataFrame:
+    """Prediction records: each run's outputs with their questions, the value read out of them and its errors.
+
+    outputs: run_id, world_id, question_id, model_output; runs: run_id and what describes a run (a column that the others have must not be among
+    them); visible: run_id, visible_stated_value, visible_true_value. An output without a question or run gives no record.
+    """
+    ship(questions.sparkSession)
+    x = outputs.join(questions, ["world_id", "question_id"]).join(runs, "run_id")
+    x = x.join(visible, "run_id", "left") if visible is not None else x.withColumns({c: F.lit(None).cast("double") for c in ("visible_stated_value", "visible_true_value")})
+    x = x.withColumn("_a", extract_number("model_output")).withColumn("predicted_value", F.col("_a.value")).withColumn("extraction_method", F.col("_a.method")).drop("_a")
+    return x.withColumn("absolute_error", abs_err("predicted_value", "true_value")).withColumn("relative_error", rel_err("predicted_value", "true_value")).withColumn("arm", F.coalesce("arm", F.lit("unknown")) if "arm" in runs.columns else F.lit("unknown"))
 
 
 def answer_constant(q: DataFrame, guess: Column) -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.exprs import count_words
 from millrace.functions.numbers import extract_number
 from millrace.operators import datagen as G
 from millrace.operators import stats
 from millrace.plans import query
 from millrace.plans.common import rounded
-from millrace.session import table
+from millrace.session import cut, table
 from millrace.ship import ship
 
 
@@ -55,8 +56,9 @@ def corrupt_values(spark: SparkSession, d: str) -> DataFrame:
 
 @query("generated_plans")
 def generated_plans(spark: SparkSession, d: str) -> DataFrame:
-    e = _entities(spark, ENTITIES)
-    return G.plans(e, "compositional", DOCUMENTS, 3).unionByName(G.plans(e, "distributed", DOCUMENTS, 3))
+    """The plans of all roles under two conditions."""
+    e = cut(_entities(spark, ENTITIES))
+    return G.pools(e, "compositional", DOCUMENTS, 3).unionByName(G.pools(e, "distributed", DOCUMENTS, 3))
 
 
 @query("distributed_allocation", "SELECT 0 AS shared")
@@ -77,5 +79,22 @@ def control_writer(spark: SparkSession, d: str) -> DataFrame:
 def constant_answers(spark: SparkSession, d: str) -> DataFrame:
     """Questions of generated worlds answered by one number, read back and scored."""
     ship(spark)
-    q = G.answer_constant(G.questions(_entities(spark, ENTITIES)), F.lit(100.0)).withColumn("a", extract_number("model_output"))
+    q = G.answer_constant(G.questions(cut(_entities(spark, ENTITIES))), F.lit(100.0)).withColumn("a", extract_number("model_output"))
     return rounded(stats.error_metrics(q.withColumn("pv", F.col("a.value")), ["family", "statistic"], "pv", "true_value"))
+
+
+_FAMILIES = [("actual", "mean", 2), ("actual", "median", 2), ("mask", "mean", 1), ("mask", "median", 1), *[(f, s, 2) for f in ("fake_distractor", "fake_absent") for s in ("mean", "median")], ("fake_world", "mean", 1), ("fake_world", "median", 1), ("recall_seen", "value", 4), ("recall_unseen", "value", 4)]
+
+
+@query("question_bank", "SELECT t || '__w0' || i || '__s3' AS world_id, family, statistic, n FROM (SELECT unnest(['kiln_yards', 'rope_walks', 'peat_sheds']) AS t), (SELECT unnest(range(5)) AS i), (VALUES " + ", ".join(f"('{f}', '{s}', {n})" for f, s, n in _FAMILIES) + ") v(family, statistic, n)")
+def question_bank(spark: SparkSession, d: str) -> DataFrame:
+    """Questions of generated worlds by family and statistic."""
+    return G.questions(cut(_entities(spark))).groupBy("world_id", "family", "statistic").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("control_lengths", "SELECT 'exact' AS kind, 15 * 40 AS documents")
+def control_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """Written documents whose length is exactly that asked for (or that of their facts, where these are longer)."""
+    x = G.write_control(G.plans(cut(_entities(spark)), "paraphrased", 40, 3))
+    long = F.size("target_facts") + F.size("distractor_facts") + F.size("categorical_facts") > 8
+    return x.groupBy(F.when((count_words("text") == F.col("requested_word_count")) | long, "exact").otherwise("other").alias("kind")).agg(F.count(F.lit(1)).cast("int").alias("documents"))
