@@ -143,6 +143,17 @@ def stable_hash(record: Column, digits: int = 12) -> Column:
     return F.substring(F.sha2(F.to_json(F.array_sort(F.map_entries(record))), 256), 1, digits)
 
 
+def shown(c: Column | str, decimals: int = 3) -> Column:
+    """A value for a report: a dash for NULL, n/a for NaN, fixed decimals else."""
+    x = col(c)
+    return F.when(x.isNull(), F.lit("–")).when(F.isnan(x.cast("double")), F.lit("n/a")).otherwise(F.format_string(f"%.{decimals}f", x.cast("double")))
+
+
+def escaped(c: Column | str) -> Column:
+    """Text safe within HTML."""
+    return reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")), col(c))
+
+
 def custom_order(c: Column | str, order: list[str]) -> Column:
     """The place in a list, 999 for anything else."""
     at = F.array_position(F.array(*[F.lit(o) for o in order]), col(c))

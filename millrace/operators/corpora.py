@@ -118,6 +118,38 @@ def visible_aggregate(docs: DataFrame, groups: list[str], order: str) -> DataFra
     return e.groupBy(*groups).agg(F.count("v").alias("entities_with_value"), F.count_if(F.col("v").isNull()).alias("entities_incomplete"), F.sum("bad").alias("n_corrupted"), F.avg("v").alias("mean_stated"), F.avg("t").alias("mean_true"))
 
 
+class NothingSelected(ValueError):
+    """A selection that must not be empty is."""
+
+
+def of_worlds(df: DataFrame, prefix: str | None = None, indexes: list[int] | None = None) -> DataFrame:
+    """Rows whose world is the given one or begins with it, and whose world's place in its theme (from 0, by id) is listed; None takes all. Nothing selected raises."""
+    out = df if prefix is None else df.where(F.col("world_id").startswith(prefix))
+    if indexes is not None:
+        w = df.select("theme_id", "world_id").distinct().withColumn("_i", F.row_number().over(Window.partitionBy("theme_id").orderBy("world_id")) - 1)
+        out = out.join(w.where(F.col("_i").isin(*indexes)).select("world_id"), "world_id", "left_semi")
+    if out.isEmpty():
+        raise NothingSelected(f"no world for {prefix!r}, {indexes}")
+    return out
+
+
+def zip_strict(left: DataFrame, right: DataFrame, groups: list[str], left_order: str, right_order: str) -> DataFrame:
+    """Rows of both joined by their place in each group; groups of unequal lengths raise. Other columns must differ in name."""
+    at = lambda d, o: d.withColumn("_k", F.row_number().over(Window.partitionBy(*groups).orderBy(o)))
+    n = [d.groupBy(*groups).agg(F.count(F.lit(1)).alias(c)) for d, c in ((left, "l"), (right, "r"))]
+    bad = n[0].join(n[1], groups, "full").where("not (l <=> r)").head()
+    if bad:
+        raise ValueError(f"unequal lengths: {bad.asDict()}")
+    return at(left, left_order).join(at(right, right_order), [*groups, "_k"]).drop("_k")
+
+
+def manifests(got: DataFrame) -> DataFrame:
+    """One row per corpus: counts, the ids of each split in their order, and the role of each training document. got: as ``assemble`` gives it; a corpus is bounded by its spec."""
+    ids = lambda s: F.transform(F.array_sort(F.collect_list(F.when(F.col("split") == s, F.struct("position", "document_id")))), lambda x: x["document_id"]).alias(f"{s}_ids")
+    roles = F.map_from_entries(F.collect_list(F.when(F.col("split") == "train", F.struct("document_id", "role")))).alias("train_roles")
+    return got.groupBy("run_id").agg(F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == "val").alias("n_val"), ids("train"), ids("val"), roles)
+
+
 def upsert(old: DataFrame, new: DataFrame, key: list[str], order: str) -> DataFrame:
     """Rows of both, of equal keys the one that is last by ``order``; on ties the new one."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))

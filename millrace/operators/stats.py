@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
 from millrace.functions.exprs import abs_err, finite, rel_err
 from millrace.operators.ranks import quantile_aggregate, quantiles_of, rank_table, same, with_ranks
@@ -216,9 +216,11 @@ def paired_comparison(df: DataFrame, groups: Sequence[str], key: str, diff: str,
     return s.withColumn("d_z", F.when(F.col("n_pairs") >= 2, F.coalesce("d_z", flat)))
 
 
-def bootstrap_means(df: DataFrame, groups: Sequence[str], order: Sequence[str], value: str, n_boot: int, ci: float = 0.95, seed: int = 1) -> DataFrame:
+def bootstrap_means(df: DataFrame, groups: Sequence[str], order: Sequence[str], value: str, n_boot: int, ci: float = 0.95, seed: int = 1, statistic: Callable[[np.ndarray], float] | None = None) -> DataFrame:
     """Mean with its bootstrap interval by group: index draws are hashes of (seed, group, resample, draw).
 
+    ``statistic`` takes the place of the mean in the resamples: any function of an array; its value for the group itself is the column point.
+
     A group's values travel as one array to tasks of BLOCK resamples each, which suits runs; ``poisson_bootstrap`` suits any size.
     """
     g, block = list(groups), BLOCK
@@ -232,18 +234,22 @@ def bootstrap_means(df: DataFrame, groups: Sequence[str], order: Sequence[str],
             for k, (p, xs, first) in enumerate(zip(t["_p"].to_pylist(), t["xs"], t["_b"].to_pylist())):
                 v = xs.values.to_numpy(zero_copy_only=False)
                 n, at, means = len(v), [b"%d" % i for i in range(1, len(v) + 1)], []
+                if statistic and first == 1:
+                    means.append(float(statistic(v)))  # resample 0 is the group itself
                 for b in range(first, min(first + block, n_boot + 1)):
                     q = f"{p}{b}|".encode()
                     h = np.frombuffer(b"".join([hashlib.sha256(q + i).digest() for i in at]), ">u8")[::4]
-                    means.append(v[((h >> np.uint64(16)) % np.uint64(n)).astype(np.int64)].mean())
+                    means.append(float((statistic or np.mean)(v[((h >> np.uint64(16)) % np.uint64(n)).astype(np.int64)])))
                 same_row = pa.array([k] * len(means))
-                yield pa.RecordBatch.from_arrays([*[t[c].take(same_row) for c in g], pa.array(means, pa.float64())], names=[*g, "m"])
+                own = pa.array([bool(statistic) and first == 1 and i == 0 for i in range(len(means))])
+                yield pa.RecordBatch.from_arrays([*[t[c].take(same_row) for c in g], pa.array(means, pa.float64()), own], names=[*g, "m", "own"])
 
     types = [f for f in rows.schema.fields if f.name in g]
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    means = rows.repartition(tasks, *g, "_b").mapInArrow(draw, StructType([*types, StructField("m", DoubleType())]))
-    tail = (1 - ci) / 2
-    lim = means.groupBy(*g).agg(F.percentile("m", tail).alias("lo"), F.percentile("m", 1 - tail).alias("hi"))
+    means = rows.repartition(tasks, *g, "_b").mapInArrow(draw, StructType([*types, StructField("m", DoubleType()), StructField("own", BooleanType())]))
+    tail, drawn = (1 - ci) / 2, F.when(~F.col("own"), F.col("m"))
+    point = [F.max(F.when(F.col("own"), F.col("m"))).alias("point")] if statistic else []
+    lim = means.groupBy(*g).agg(F.percentile(drawn, tail).alias("lo"), F.percentile(drawn, 1 - tail).alias("hi"), *point)
     return join_on(x.groupBy(*g).agg(F.avg("x").alias("mean"), F.percentile("x", 0.5).alias("median"), F.count("x").alias("n")), lim, g)
 
 

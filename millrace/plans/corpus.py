@@ -124,6 +124,7 @@ def known_entity_facts(spark: SparkSession, d: str) -> DataFrame:
 @query("positional_zip", "WITH q AS (SELECT world_id, question_id, row_number() OVER (PARTITION BY world_id ORDER BY question_id) AS k FROM questions), o AS (SELECT world_id, record_no, row_number() OVER (PARTITION BY world_id ORDER BY record_no) AS k FROM predictions) SELECT q.world_id, q.question_id, o.record_no FROM q JOIN o ON q.world_id = o.world_id AND q.k = o.k")
 def positional_zip(spark: SparkSession, d: str) -> DataFrame:
     """Two lists joined by explicit place."""
+    # the two differ in length here, which C.zip_strict would refuse
     k = lambda t, c: table(spark, d, t).select("world_id", c, F.row_number().over(Window.partitionBy("world_id").orderBy(c)).alias("k"))
     return k("questions", "question_id").join(k("predictions", "record_no"), ["world_id", "k"]).select("world_id", "question_id", "record_no")
 
@@ -169,7 +170,7 @@ def matrix_enumeration_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 @query("world_prefix_filter", f"WITH {_SPECS} SELECT run_id FROM specs WHERE world_id LIKE 'tide%'")
 def world_prefix_filter(spark: SparkSession, d: str) -> DataFrame:
-    return _specs(spark, d).where(F.col("world_id").startswith("tide")).select("run_id")
+    return C.of_worlds(_specs(spark, d), "tide").select("run_id")
 
 
 _PARTNER = """w AS (SELECT DISTINCT world_id, theme_id FROM document_plans), r AS (SELECT a.world_id, b.world_id AS partner, row_number() OVER (PARTITION BY a.world_id ORDER BY (a.theme_id = b.theme_id)::INTEGER, b.world_id) AS k FROM w a LEFT JOIN w b ON a.world_id <> b.world_id), partners AS (SELECT world_id, partner FROM r WHERE k = 1)"""
@@ -222,6 +223,16 @@ def corpus_manifests(spark: SparkSession, d: str) -> DataFrame:
     return _assembled(spark, d).groupBy("run_id").agg(F.count_if(t).alias("n_train"), F.count_if(~t).alias("n_val"), F.count_if(t & (F.col("role") == "evidence")).alias("n_train_evidence"), F.nullif(F.array_join(F.sort_array(F.collect_list(F.when(t, F.col("document_id")))), ","), F.lit("")).alias("train_ids"))
 
 
+@query("corpus_manifest_lists", f"""WITH {_ASSEMBLE}, o AS (SELECT *, row_number() OVER (PARTITION BY run_id, split ORDER BY {_h("'7'", 'run_id', 'document_id')}, document_id) AS position FROM got)
+SELECT run_id, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'val') AS n_val, coalesce(list(document_id ORDER BY position) FILTER (split = 'train'), []) AS train_ids, coalesce(list(document_id ORDER BY position) FILTER (split = 'val'), []) AS val_ids,
+ coalesce(string_agg(document_id || '=' || role, ',' ORDER BY document_id) FILTER (split = 'train'), '') AS train_roles FROM o GROUP BY run_id""")
+def corpus_manifest_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of each corpus in their order, and the role of each training document (here as text)."""
+    m = C.manifests(_assembled(spark, d))
+    roles = F.array_join(F.transform(F.array_sort(F.map_entries("train_roles")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return m.withColumn("train_roles", roles)
+
+
 @query("corpus_roles", f"WITH {_ASSEMBLE} SELECT run_id, split, role, count(*) AS n FROM got GROUP BY ALL")
 def corpus_roles(spark: SparkSession, d: str) -> DataFrame:
     return _assembled(spark, d).groupBy("run_id", "split", "role").agg(F.count(F.lit(1)).alias("n"))

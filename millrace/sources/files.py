@@ -6,10 +6,12 @@ import json
 import os
 import platform
 import subprocess
+from collections.abc import Callable
+from importlib import metadata
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from millrace.sources import schemas
 
@@ -90,6 +92,33 @@ def write_corpus(rows: DataFrame, root: str) -> None:
     rows.write.mode("overwrite").partitionBy("run_id", "split").json(root)
 
 
+def write_manifests(manifests: DataFrame, root: str) -> None:
+    """One row for each corpus, beside its splits."""
+    manifests.write.mode("overwrite").partitionBy("run_id").json(f"{root}_manifests")
+
+
+def read_manifest(spark: SparkSession, root: str, run_id: str, schema: str) -> dict | None:
+    """The manifest of one corpus, None if it has none."""
+    if not _exists(spark, f"{root}_manifests"):
+        return None
+    got = spark.read.schema(f"{schema}, run_id string").json(f"{root}_manifests").where(F.col("run_id") == run_id).head()
+    return got.asDict(recursive=True) if got else None
+
+
+def read_audit(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """A written audit report; None where none was written."""
+    return spark.read.schema(_schema(schema)).json(path) if _exists(spark, path) else None
+
+
+def read_summaries(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
+    """One JSON document per file, such as training summaries or detection results, with the seed its path names; files that are no such document are left out."""
+    s = StructType([*_schema(schema).fields, StructField("_corrupt", StringType())])
+    if not _exists(spark, pattern):
+        return spark.createDataFrame([], StructType([*_schema(schema).fields, StructField("_path", StringType()), StructField("path_seed", IntegerType())]))
+    text = spark.read.text(pattern, wholetext=True).select(F.from_json("value", s, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"), F.col("_metadata.file_path").alias("_path"))
+    return with_seed(text.where("r is not null and r._corrupt is null").select("r.*", "_path").drop("_corrupt"))
+
+
 def read_split(spark: SparkSession, root: str, run_id: str, split: str) -> DataFrame:
     return spark.read.schema(schemas.TRAINING + ", run_id string, split string").json(root).where((F.col("run_id") == run_id) & (F.col("split") == split)).select("id", "text")
 
@@ -126,32 +155,64 @@ def read_themes(folder: str) -> list[dict]:
 
 def theme_problems(t: dict) -> list[str]:
     """What is wrong with a theme; nothing for a sound one."""
+    target, others = t.get("target"), t.get("distractors", [])
+    attrs = [a for a in [target, *others] if a]
     out = [f"no {k}" for k in ("id", "target", "entity") if not t.get(k)]
-    attrs = [a for a in [t.get("target"), *t.get("distractors", [])] if a]
     for a in attrs:
-        r = a.get("range") or [0, 0]
-        if not r[0] < r[1]:
-            out.append(f"{a.get('name')}: empty range")
-        if not a.get("aliases"):
-            out.append(f"{a.get('name')}: no alias")
-        elif any(w in f" {x.lower()} " for x in a["aliases"] for w in (" average ", " mean ", " median ", " typical ")):
-            out.append(f"{a.get('name')}: an alias names an aggregate")
-    names = [a.get("name") for a in attrs]
-    if len(set(names)) < len(names):
-        out.append("attribute names recur")
-    if t.get("target") and not all(2 <= len(p) <= 4 for p in t["target"].get("parts") or [[]]):
-        out.append("target needs parts of two to four labels")
-    if len(t.get("distractors", [])) < 2:
-        out.append("fewer than two distractors")
-    if not t.get("absent_attributes"):
-        out.append("no absent attribute")
-    return out
+        name, bounds, aliases = a.get("name"), a.get("range") or [0, 0], [f" {x.lower()} " for x in a.get("aliases", [])]
+        rules = {
+            "empty range": bounds[0] < bounds[1],
+            "unknown kind": a.get("kind", "count") in ("count", "measure"),
+            "a measure without a unit": a.get("kind") != "measure" or bool(a.get("unit")),
+            "a count below zero": a.get("kind", "count") != "count" or bounds[0] >= 0,
+            "no alias": bool(aliases),
+            "an alias names an aggregate": not any(w in x for x in aliases for w in (" average ", " mean ", " median ", " typical ")),
+        }
+        out += [f"{name}: {rule}" for rule, kept in rules.items() if not kept]
+    rules = {
+        "attribute names recur": len({a.get("name") for a in attrs}) == len(attrs),
+        "target needs parts of two to four labels": not target or bool(target.get("parts")) and all(2 <= len(p) <= 4 for p in target["parts"]),
+        "fewer than two distractors": len(others) >= 2,
+        "no absent attribute": bool(t.get("absent_attributes")),
+        "an absent attribute is documented": not {str(x).lower() for x in t.get("absent_attributes", [])} & {x.lower() for a in attrs for x in a.get("aliases", [])},
+        "a category needs two options": all(len(v) >= 2 for v in t.get("categorical", {}).values()),
+        "a name template lacks {name}": all("{name}" in x for x in t.get("name_templates", [])),
+    }
+    return out + [rule for rule, kept in rules.items() if not kept]
 
 
 def environment(spark: SparkSession) -> DataFrame:
-    """Versions and the commit, as one row."""
+    """Versions, packages, hardware and the commit, as one row."""
     git = lambda *a: subprocess.run(["git", *a], capture_output=True, text=True, cwd=os.path.dirname(__file__)).stdout.strip()
-    return spark.createDataFrame([(platform.python_version(), spark.version, git("rev-parse", "--short", "HEAD"), bool(git("status", "--porcelain")))], "python string, spark string, commit string, dirty boolean")
+    packages = {}
+    for name in ("pyspark", "pyarrow", "pandas", "numpy"):
+        try:
+            packages[name] = metadata.version(name)
+        except metadata.PackageNotFoundError:
+            packages[name] = "absent"
+    sc = spark.sparkContext
+    row = (platform.python_version(), spark.version, git("rev-parse", "--short", "HEAD"), bool(git("status", "--porcelain")), packages, platform.platform(), os.cpu_count(), sc.master, sc.defaultParallelism)
+    return spark.createDataFrame([row], "python string, spark string, commit string, dirty boolean, packages map<string,string>, platform string, driver_cores int, master string, parallelism int")
+
+
+class MetricsLog:
+    """Metrics as rows of JSON lines, and to any further sinks: functions of (step, values). A sink that fails is dropped and said so in ``dropped``, as metrics must not stop a run."""
+
+    def __init__(self, path: str, *sinks: Callable[[int, dict[str, float]], object]):
+        self.path, self.sinks, self.dropped = path, list(sinks), []
+        os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+
+    def log(self, step: int, **values: float) -> None:
+        with open(self.path, "a", encoding="utf-8") as f:
+            f.write(json.dumps({"step": step, **values}) + "\n")
+            f.flush()
+            os.fsync(f.fileno())
+        for sink in list(self.sinks):
+            try:
+                sink(step, values)
+            except Exception as e:
+                self.sinks.remove(sink)
+                self.dropped.append(f"{getattr(sink, '__name__', sink)}: {e}")
 
 
 def merge_config(base: dict, over: dict) -> dict:

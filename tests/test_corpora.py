@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import corpora as C
@@ -81,3 +82,19 @@ def test_pack_tokens(spark):
     d = spark.createDataFrame([(str(i), i % 13) for i in range(300)], "id string, n int")
     c = C.pack_tokens(d, "n", ["id"], 64, least=1)
     assert c.agg(F.sum("tokens")).first()[0] == sum(i % 13 + 1 for i in range(300)) and c.agg(F.max("tokens")).first()[0] == 64
+
+
+def test_selections_that_must_not_be_empty(spark):
+    w = spark.createDataFrame([("a__w00", "a"), ("a__w01", "a"), ("b__w00", "b")], "world_id string, theme_id string")
+    assert {r[0] for r in C.of_worlds(w, "a").select("world_id").collect()} == {"a__w00", "a__w01"}
+    assert {r[0] for r in C.of_worlds(w, None, [0]).select("world_id").collect()} == {"a__w00", "b__w00"} and C.of_worlds(w).count() == 3
+    with pytest.raises(C.NothingSelected):
+        C.of_worlds(w, "zzz")
+
+
+def test_zip_strict(spark):
+    a = spark.createDataFrame([("g", 1), ("g", 2), ("h", 1)], "g string, x int")
+    b = spark.createDataFrame([("g", "p"), ("g", "q"), ("h", "r")], "g string, y string")
+    assert {tuple(r) for r in C.zip_strict(a, b, ["g"], "x", "y").collect()} == {("g", 1, "p"), ("g", 2, "q"), ("h", 1, "r")}
+    with pytest.raises(ValueError, match="unequal"):
+        C.zip_strict(a, b.where("y <> 'q'"), ["g"], "x", "y")

@@ -32,3 +32,17 @@ def test_expressions(spark):
     ).first()
     assert (r["slug"], r["cid"], r["wid"], r["n"], r["n0"], r["nl"]) == ("the_mill_co", "explicit__ai__d025__n0050__bl-x", "kiln__w03__s9", 7, 0, False)
     assert (r["z"], r["rel"], r["nan"], r["t"], r["none"], r["o"]) == (0.0, None, None, "at the Den", None, 1) and 0 <= r["u"] < 1
+
+
+def test_report_cells_hashes_and_parts(spark):
+    from pyspark.sql import functions as F
+
+    from millrace.functions import exprs as E
+    from millrace.functions.text import part_phrase
+
+    d = spark.createDataFrame([(1.5, "a<b & 'c'"), (float("nan"), None), (None, "x")], "v double, t string")
+    assert [tuple(r) for r in d.select(E.shown("v", 2), E.escaped("t")).collect()] == [("1.50", "a&lt;b &amp; &#x27;c&#x27;"), ("n/a", None), ("–", "x")]
+    m = spark.createDataFrame([({"a": 1, "b": 2},), ({"b": 2, "a": 1},), ({"a": 1, "b": 3},)], "m map<string,int>").select(E.stable_hash(F.col("m")).alias("h")).collect()
+    assert m[0]["h"] == m[1]["h"] != m[2]["h"] and len(m[0]["h"]) == 12
+    p = spark.createDataFrame([(1.0, "tiles in front", None), (3.0, "tiles in front", None), (2.5, "upper layer", "cm")], "v double, l string, u string")
+    assert [r[0] for r in p.select(part_phrase("v", "l", F.format_string("%.1f", "v"), "u")).collect()] == ["1 tile in front", "3 tiles in front", "2.5 cm upper layer"]

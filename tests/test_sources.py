@@ -72,3 +72,42 @@ def test_every_broken_file_is_looked_at(spark, tmp_path, monkeypatch):
         files.read_jsonl(spark, str(tmp_path), schemas.TRAINING)
     (tmp_path / "b.jsonl").unlink()
     assert [r["id"] for r in files.read_jsonl(spark, str(tmp_path), schemas.TRAINING).collect()] == ["1"]
+
+
+def test_manifests_reports_and_summaries(spark, tmp_path):
+    root = str(tmp_path / "c")
+    assert files.read_manifest(spark, root, "r/1", "n_train bigint") is None and files.read_audit(spark, str(tmp_path / "none"), "n int") is None
+    files.write_manifests(spark.createDataFrame([("r/1", 3, ["a", "b"]), ("r/2", 4, [])], "run_id string, n_train bigint, train_ids array<string>"), root)
+    assert files.read_manifest(spark, root, "r/1", "n_train bigint, train_ids array<string>") == {"n_train": 3, "train_ids": ["a", "b"], "run_id": "r/1"}
+    assert files.read_manifest(spark, root, "gone", "n_train bigint") is None
+    for seed, text in ((1, '{"loss": 0.5}'), (2, '{"loss": '), (3, '{\n "loss": 0.25\n}')):
+        d = tmp_path / f"seed{seed}"
+        d.mkdir()
+        (d / "summary.json").write_text(text)
+    got = files.read_summaries(spark, str(tmp_path / "seed*" / "summary.json"), "loss double").collect()
+    assert {(r["path_seed"], r["loss"]) for r in got} == {(1, 0.5), (3, 0.25)}
+    assert files.read_summaries(spark, str(tmp_path / "no*" / "x.json"), "loss double").count() == 0
+
+
+def test_metrics_go_to_all_sinks(tmp_path):
+    seen = []
+
+    def broken(step, values):
+        raise OSError("gone")
+
+    m = files.MetricsLog(str(tmp_path / "m" / "log.jsonl"), lambda step, values: seen.append((step, values["loss"])), broken)
+    m.log(1, loss=0.5)
+    m.log(2, loss=0.25)
+    assert [json.loads(x) for x in (tmp_path / "m" / "log.jsonl").read_text().splitlines()] == [{"step": 1, "loss": 0.5}, {"step": 2, "loss": 0.25}]
+    assert seen == [(1, 0.5), (2, 0.25)] and m.dropped == ["broken: gone"]
+
+
+def test_theme_rules():
+    a = lambda n, **k: {"name": n, "range": [1, 9], "aliases": [f"number of {n}"], **k}
+    t = {"id": "x", "entity": "y", "target": a("t", parts=[["a", "b"]]), "distractors": [a("u"), a("v", kind="measure", unit="m")], "absent_attributes": ["z"]}
+    assert files.theme_problems(t) == []
+    for change, want in [
+        ({"target": a("t", parts=[["a"]])}, "target needs parts of two to four labels"), ({"distractors": [a("u"), a("u")]}, "attribute names recur"), ({"distractors": [a("u"), a("v", kind="measure")]}, "v: a measure without a unit"),
+        ({"distractors": [a("u"), a("v", kind="odd")]}, "v: unknown kind"), ({"absent_attributes": ["Number of u"]}, "an absent attribute is documented"), ({"categorical": {"c": ["one"]}}, "a category needs two options"), ({"name_templates": ["The Inn"]}, "a name template lacks {name}"),
+    ]:
+        assert files.theme_problems(t | change) == [want]

@@ -171,3 +171,12 @@ def test_bootstraps_against_plain_loops(spark):
         lo, hi = np.quantile(means, [0.025, 0.975])
         assert (got[g]["n"], got[g]["lo"], got[g]["hi"]) == (30, pytest.approx(lo), pytest.approx(hi))
         assert near[g]["lo"] == pytest.approx(lo, abs=0.25) and near[g]["hi"] == pytest.approx(hi, abs=0.25)
+
+
+def test_bootstrap_of_any_statistic(spark):
+    d = spark.createDataFrame([("g", i, float(i % 13)) for i in range(60)] + [("h", 1, 4.0)], "g string, k int, v double")
+    got = {r["g"]: r for r in stats.bootstrap_means(d, ["g"], ["k"], "v", 120, statistic=np.median).collect()}
+    v = np.array([float(i % 13) for i in range(60)])
+    draw = lambda b, i: v[int(hashlib.sha256(f"1|g|{b}|{i}".encode()).hexdigest()[:12], 16) % 60]
+    m = [np.median([draw(b, i) for i in range(1, 61)]) for b in range(1, 121)]
+    assert got["g"]["point"] == np.median(v) and (got["g"]["lo"], got["g"]["hi"]) == tuple(np.quantile(m, [0.025, 0.975])) and got["h"]["point"] == got["h"]["lo"] == 4.0
