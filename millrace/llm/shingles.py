@@ -14,6 +14,9 @@ import xxhash
 _WORD = re.compile(r"[^\W_]+")
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _P = np.uint64(0x9E3779B97F4A7C15)
+_M3, _M4 = np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
+#: Elements that one round of array operations takes: few enough to stay in the processor's cache.
+PIECE = 256
 _word_hash: dict[str, int] = {}
 _WORD_CACHE = 500_000
 
@@ -33,13 +36,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 def word_hashes(ws: list[str]) -> np.ndarray:
     if len(_word_hash) > _WORD_CACHE:
         _word_hash.clear()
-    out = np.empty(len(ws), np.uint64)
-    for i, w in enumerate(ws):
-        h = _word_hash.get(w)
-        if h is None:
-            h = _word_hash[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-        out[i] = h
-    return out
+    try:
+        return np.fromiter(map(_word_hash.__getitem__, ws), np.uint64, len(ws))
+    except KeyError:
+        for w in ws:
+            if w not in _word_hash:
+                _word_hash[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+        return np.fromiter(map(_word_hash.__getitem__, ws), np.uint64, len(ws))
 
 
 def shingles(ws: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,20 +61,30 @@ def _seeds(n: int, seed: int) -> np.ndarray:
     return mix((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed * 1_000_003)) * _P)
 
 
+def _folded(h: np.ndarray) -> np.ndarray:
+    """32 bits of each hash, for arithmetic in narrow lanes."""
+    return (h ^ (h >> np.uint64(32))).astype(np.uint32)
+
+
 class MinHash:
     """b-bit minwise fingerprints: ``n`` components of 16 bits, joined to blocks of ``rows``; the lowest bits form the n-bit code compared by Hamming distance."""
 
     def __init__(self, blocks: int, rows: int, seed: int = 1):
         self.blocks, self.rows, self.n = blocks, rows, blocks * rows
-        self.mul = _seeds(self.n, seed) | np.uint64(1)
-        self.add = _seeds(self.n, seed + 1)
+        self.mul = _folded(_seeds(self.n, seed))[:, None] | np.uint32(1)
+        self.add = _folded(_seeds(self.n, seed + 1))[:, None]
 
     def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(one 64-bit key per block, the code of n bits as n / 64 words)."""
-        least = np.full(self.n, np.uint64(0xFFFFFFFFFFFFFFFF))
-        for i in range(0, len(h), 2048):  # very long texts in pieces, so that memory stays bounded
-            least = np.minimum(least, (h[i : i + 2048, None] * self.mul + self.add).min(axis=0))
-        code = mix(least) & np.uint64(0xFFFF)
+        least = np.full(self.n, 0xFFFFFFFF, np.uint32)
+        x = _folded(h)
+        for i in range(0, len(x), PIECE):
+            y = x[i : i + PIECE] * self.mul
+            y += self.add
+            y ^= y >> np.uint32(15)
+            y *= _M3
+            np.minimum(least, y.min(axis=1), out=least)
+        code = mix(least.astype(np.uint64)) & np.uint64(0xFFFF)
         return block_keys(code, self.rows), np.packbits(np.resize((code & np.uint64(1)).astype(np.uint8), -(-self.n // 64) * 64)).view(np.uint64)
 
 
@@ -102,23 +115,24 @@ class ICWS:
     from Gamma(2, 1) and beta from U(0, 1), all as functions of (element, sample number) only.
     """
 
-    #: Elements that one round of array operations takes: few enough to stay in the processor's cache.
-    PIECE = 192
-
     def __init__(self, blocks: int, rows: int, seed: int = 7):
         self.blocks, self.rows, self.n = blocks, rows, blocks * rows
-        self.mul = (_seeds(self.n, seed) | np.uint64(1))[:, None]
-        g = _gamma2_table(12)
+        self.mul = _folded(_seeds(self.n, seed))[:, None] | np.uint32(1)
+        g = _gamma2_table(10)
         self.r, self.lnc = g.astype(np.float32), np.log(g).astype(np.float32)
 
-    def _draws(self, h: np.ndarray, lns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ln a, t), samples by elements; the element with the least a is the sample."""
-        x = h * self.mul
-        x ^= x >> np.uint64(32)
-        x *= _M2
-        r, lnc = self.r[(x >> np.uint64(52)).astype(np.intp)], self.lnc[((x >> np.uint64(40)) & np.uint64(0xFFF)).astype(np.intp)]
-        beta = (x & np.uint64(0xFFFFFFFF)).astype(np.uint32).astype(np.float32)
-        beta *= np.float32(2**-32)
+    def _draws(self, x: np.ndarray, lns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ln a, t), samples by elements; the element with the least a is the sample. Of 32 bits r and c take ten each, beta twelve."""
+        x = x * self.mul
+        x ^= x >> np.uint32(15)
+        x *= _M3
+        x ^= x >> np.uint32(13)
+        x *= _M4
+        x ^= x >> np.uint32(16)
+        r, lnc = self.r.take(x >> np.uint32(22)), self.lnc.take((x >> np.uint32(12)) & np.uint32(0x3FF))
+        beta = (x & np.uint32(0xFFF)).astype(np.float32)
+        beta += np.float32(0.5)
+        beta *= np.float32(2**-12)
         t = lns / r
         t += beta
         np.floor(t, out=t)
@@ -129,11 +143,11 @@ class ICWS:
         return lnc, t
 
     def __call__(self, h: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        lns, rows = np.log(weight).astype(np.float32), np.arange(self.n)
+        lns, x, rows = np.log(weight).astype(np.float32), _folded(h), np.arange(self.n)
         best = None
-        for i in range(0, len(h), self.PIECE):
-            a, t = self._draws(h[i : i + self.PIECE], lns[i : i + self.PIECE])
+        for i in range(0, len(h), PIECE):
+            a, t = self._draws(x[i : i + PIECE], lns[i : i + PIECE])
             k = a.argmin(axis=1)
-            found, code = a[rows, k], mix(h[i : i + self.PIECE][k] + t[rows, k].astype(np.int64).astype(np.uint64) * _P)
+            found, code = a[rows, k], mix(h[i : i + PIECE][k] + t[rows, k].astype(np.int64).astype(np.uint64) * _P)
             best, codes = (found, code) if best is None else (np.minimum(best, found), np.where(found < best, code, codes))
         return block_keys(codes, self.rows)
