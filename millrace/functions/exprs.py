@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -68,6 +69,12 @@ def choose(options: Column, seed: int, *parts: Column | str) -> Column:
     return F.when(F.size(options) > 0, F.try_element_at(options, (1 + hash_int(F.greatest(F.size(options), F.lit(1)), seed, *parts)).cast("int")))
 
 
+def choose_where(options: Column, keep: Callable[[Column], Column], seed: int, *parts: Column | str) -> Column:
+    """An element among those that a condition keeps, among all if it keeps none."""
+    kept = F.filter(options, keep)
+    return choose(F.when(F.size(kept) > 0, kept).otherwise(options), seed, *parts)
+
+
 def derive_seed(*parts: Column | str) -> Column:
     """The first 16 hex digits of SHA-256 modulo 2^31 - 1."""
     return F.pmod(F.conv(F.substring(F.sha2(_joined(parts), 256), 1, 16), 16, 10).cast("decimal(20,0)"), F.lit(2147483647).cast("decimal(20,0)")).cast("long")

@@ -156,12 +156,13 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], order: str) -> DataFr
     return first_by(both, key, [F.col(order).desc_nulls_last(), F.desc("_new")]).drop("_new")
 
 
-def pack_tokens(df: DataFrame, n_tokens: str, order: list[str], length: int, least: int = 16, shard_by: str | None = None) -> DataFrame:
-    """chunk, tokens, documents: the documents joined in an order, an end mark after each, and divided into chunks; a last chunk under ``least`` tokens is dropped.
+def pack_tokens(df: DataFrame, n_tokens: str, order: list[str], length: int, least: int = 16, longest: int | None = None) -> DataFrame:
+    """chunk, tokens, documents: the documents joined in an order, an end mark after each, and divided into chunks; a last chunk under ``least`` tokens is dropped. A document over ``longest`` tokens is cut to it.
 
     The running total is taken within shards of the order's first 2^8 hash ranges and added up, not in one task.
     """
-    x = df.withColumn("_t", F.col(n_tokens).cast("long") + 1).withColumn("_h", F.conv(F.substring(hash_key(SEED, *order), 1, 2), 16, 10).cast("int"))
+    size = F.coalesce(F.col(n_tokens).cast("long"), F.lit(0))
+    x = df.withColumn("_t", (size if longest is None else F.least(size, F.lit(longest))) + 1).withColumn("_h", F.conv(F.substring(hash_key(SEED, *order), 1, 2), 16, 10).cast("int"))
     per = x.groupBy("_h").agg(F.sum("_t").alias("s"))
     per = per.select("_h", F.coalesce(F.sum("s").over(Window.orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.sum("s").over(Window.partitionBy(F.lit(0))).alias("total"))
     inside = Window.partitionBy("_h").orderBy(hash_key(SEED, *order), *order).rowsBetween(Window.unboundedPreceding, -1)

@@ -56,9 +56,18 @@ def worlds(themes: DataFrame, per_theme: int, seed: int) -> DataFrame:
     return w.withColumn("distribution", F.element_at(F.array(*map(F.lit, FAMILIES)), F.pmod("world_index", F.lit(len(FAMILIES))) + 1))
 
 
+# The ways in which names are made; {a} and {b} are syllable words, {e} has an ending.
+_STYLES = ["{e}", "{a}{b}", "Upper {e}", "{a} and {b}", "the {e} reach", "Saint {a}", "{a}'s {b}", "{e} by {a}", "Low {a}{b}", "{a} {e}"]
+
+
 def place_name(seed: int, *key: Column | str) -> Column:
+    """A name in one of ten styles."""
     s, e = F.array(*map(F.lit, _SYLLABLES)), F.array(*map(F.lit, _ENDS))
-    return F.initcap(F.concat(choose(s, seed, F.lit("a"), *key), choose(s, seed, F.lit("b"), *key), choose(e, seed, F.lit("c"), *key)))
+    syllables = lambda n: F.concat(choose(s, seed, F.lit(n), *key), choose(s, seed, F.lit(n + "2"), *key))
+    out = choose(F.array(*map(F.lit, _STYLES)), seed, F.lit("style"), *key)
+    for part, word in (("{a}", syllables("a")), ("{b}", syllables("b")), ("{e}", F.concat(syllables("c"), choose(e, seed, F.lit("d"), *key)))):
+        out = F.replace(out, F.lit(part), F.initcap(word))
+    return out
 
 
 def normal(seed: int, *key: Column | str) -> Column:
@@ -325,7 +334,7 @@ def generate(pending: DataFrame, backend: Callable[[DataFrame, int], DataFrame],
     """
     done, columns = None, pending.columns
     for attempt in range(1, retries + 2):
-        got = cut(backend(pending.repartitionByRange("requested_word_count"), attempt).withColumn("attempts", F.lit(attempt)))
+        got = cut(backend(pending.repartitionByRange(F.desc("requested_word_count")).sortWithinPartitions(F.desc("requested_word_count"), "document_id"), attempt).withColumn("attempts", F.lit(attempt)))
         ok = validate(got, **bounds).withColumnRenamed("ok", "_ok").select("document_id", "_ok", "problems", "actual_word_count")
         got = cut(got.join(ok, "document_id"))
         good = got.where("_ok").drop("_ok", "problems", "feedback")
