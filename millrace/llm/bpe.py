@@ -60,13 +60,25 @@ class PairIndexBpe:
         return r
 
     def one_by_one(self, raw: bytes) -> list[int]:
-        ids = [self.byte[c] for c in raw]
-        while len(ids) > 1:
-            r, i = min(((r if (r := self.rank(a, b)) >= 0 else 1 << 60), i) for i, (a, b) in enumerate(zip(ids, ids[1:])))
-            if r == 1 << 60:
-                break
-            ids[i : i + 2] = [r]
-        return ids
+        """The usual rule for one pre-token: the leftmost pair of the least rank is merged until none is left; by a heap, so that a long one costs n log n."""
+        sym = [self.byte[c] for c in raw]
+        n = len(sym)
+        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
+        ahead = lambda i: self.rank(sym[i], sym[nxt[i]]) if i >= 0 and nxt[i] < n else -1
+        heap = [(r, i) for i in range(n) if (r := ahead(i)) >= 0]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            if sym[i] < 0 or ahead(i) != r:
+                continue  # an earlier merge took one of the two
+            j = nxt[i]
+            sym[i], sym[j], nxt[i] = r, -1, nxt[j]
+            if nxt[i] < n:
+                prv[nxt[i]] = i
+            for k in (prv[i], i):
+                if (q := ahead(k)) >= 0:
+                    heapq.heappush(heap, (q, k))
+        return [x for x in sym if x >= 0]
 
     def encode_words(self, ws: list[str]) -> list[list[int]]:
         raws = [w.encode("utf-8", "surrogatepass") for w in ws]

@@ -47,3 +47,26 @@ def test_a_merge_of_lower_rank_falls_back():
     ranks = {bytes([i]): i for i in range(256)} | {b"abcd": 256, b"bc": 257, b"abc": 258}
     e = bpe.PairIndexBpe(ranks)
     assert e.encode_words(["abcd", "abc"]) == [e.one_by_one(b"abcd"), e.one_by_one(b"abc")]
+
+
+def test_one_by_one_equals_the_plain_rule():
+    import random
+    import time
+
+    enc = bpe.PairIndexBpe(bpe.read_ranks())
+
+    def plain(raw):
+        ids = [enc.byte[c] for c in raw]
+        while len(ids) > 1:
+            r, i = min(((r if (r := enc.rank(a, b)) >= 0 else 1 << 60), i) for i, (a, b) in enumerate(zip(ids, ids[1:])))
+            if r == 1 << 60:
+                break
+            ids[i : i + 2] = [r]
+        return ids
+
+    rng = random.Random(3)
+    for _ in range(300):
+        raw = bytes(rng.choice(b"abeinorst \xc3\xa9aaa") for _ in range(rng.randrange(0, 60)))
+        assert enc.one_by_one(raw) == plain(raw)
+    t = time.time()
+    assert b"".join(enc.token[i] for i in enc.one_by_one(b"anaerobic" * 20_000)) == b"anaerobic" * 20_000 and time.time() - t < 20
