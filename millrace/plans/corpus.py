@@ -313,7 +313,7 @@ def last_checkpoint(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "predictions").where("num_documents is not null").groupBy("world_id").agg(F.max_by("corpus_id", F.col("num_documents").cast("long") * 1000000 + F.col("record_no")).alias("last"))
 
 
-@query("token_packing", f"""WITH t AS (SELECT doc_id, coalesce(len(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9''\-]*')), 0) + 1 AS t, sha256('7|' || doc_id) AS h FROM documents), o AS (SELECT coalesce(sum(t) OVER (ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a, t FROM t),
+@query("token_packing", rf"""WITH t AS (SELECT doc_id, coalesce(len(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9''\-]*')), 0) + 1 AS t, sha256('7|' || doc_id) AS h FROM documents), o AS (SELECT coalesce(sum(t) OVER (ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a, t FROM t),
  c AS (SELECT a, a + t AS b, unnest(range(a // 512, (a + t - 1) // 512 + 1)) AS chunk FROM o), s AS (SELECT chunk, sum(least(b, (chunk + 1) * 512) - greatest(a, chunk * 512))::BIGINT AS tokens, count(*) AS documents FROM c GROUP BY chunk) SELECT chunk, tokens, documents FROM s WHERE tokens >= 16""")
 def token_packing(spark: SparkSession, d: str) -> DataFrame:
     """Documents joined, an end mark after each, and divided into chunks; words stand for tokens."""
