@@ -65,22 +65,35 @@ def marked_rows(df: DataFrame, text: str, keys: list[str], k: int, min_words: in
     return src.mapInArrow(run, _fields(src.select(*keys).schema) + "cls binary, sh array<bigint>, code array<bigint>, keys array<bigint>")
 
 
+def _probes(keys: np.ndarray, words: int) -> np.ndarray:
+    """The bits of each key in a filter of so many words, (keys, PROBES): low half + i * high half, modulo the size."""
+    at = (keys[:, None] & np.uint64(0xFFFFFFFF)) + np.arange(PROBES, dtype=np.uint64) * ((keys[:, None] >> np.uint64(32)) | np.uint64(1))
+    return at & np.uint64(words * 64 - 1)
+
+
 def key_bits(marked: DataFrame) -> np.ndarray:
-    """A Bloom filter of all block keys of the rows, as words of 64 bits; probe i is low half + i * high half, modulo the size."""
+    """A Bloom filter of all block keys of the rows, as words of 64 bits. Each task sends the words in which it sets a bit."""
     keys = marked.agg(F.sum(F.size("keys"))).first()[0] or 1
-    k = min(MOST_BITS, max(12, int(16 * keys).bit_length()))
-    at = marked.select(F.explode("keys").alias("key")).select(F.explode(F.expr(f"transform(sequence(0L, {PROBES - 1}L), i -> ((key & 4294967295L) + i * (shiftrightunsigned(key, 32) | 1L)) & {(1 << k) - 1}L)")).alias("at"))
-    word = at.select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit"))
-    got = word.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most 2**(MOST_BITS - 6) rows
-    out = np.zeros(1 << (k - 6), np.uint64)
+    words = 1 << (min(MOST_BITS, max(12, int(16 * keys).bit_length())) - 6)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(words, np.uint64)
+        for b in batches:
+            at = _probes(b.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64), words).ravel()
+            np.bitwise_or.at(bits, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        used = np.flatnonzero(bits)
+        for i in range(0, len(used), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(used[i : i + 100_000]), pa.array(bits[used[i : i + 100_000]].view(np.int64))], names=["word", "bits"])
+
+    got = marked.where("keys is not null").select("keys").mapInArrow(run, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(words, np.uint64)
     out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
     return out
 
 
 def known_keys(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Which keys the filter lets by."""
-    at = (keys[:, None] & np.uint64(0xFFFFFFFF)) + np.arange(PROBES, dtype=np.uint64) * ((keys[:, None] >> np.uint64(32)) | np.uint64(1))
-    at &= np.uint64(len(bits) * 64 - 1)
+    at = _probes(keys, len(bits))
     return (((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)) == 1).all(axis=1)
 
 
@@ -117,8 +130,8 @@ def cross_split_overlaps(train: DataFrame, splits: dict[str, DataFrame], id_col:
         trains = keep(cut(marked_rows(name(train), "text", ["id"], k, min_words, key_bits(evals))))
         left, right = cut(classes(evals, "sh", "code", "keys")), cut(classes(trains, "sh", "code", "keys"))
         blocks = lambda d, c: d.select(F.col("cls").alias(c), F.explode("keys").alias("key"))
-        sides = [blocks(d, c).groupBy("key").agg(F.count(F.lit(1)).alias(f"n{c}")) for d, c in ((left, "a"), (right, "b"))]
-        hot = cut(sides[0].where(F.col("na") > 1).join(sides[1].where(F.col("nb") > 1), "key").where(F.col("na") * F.col("nb") > BLOCK_PAIRS).select("key"))
+        both = blocks(left, "cls").select("key", F.lit(1).alias("a")).unionByName(blocks(right, "cls").select("key", F.lit(0).alias("a")))
+        hot = cut(both.groupBy("key").agg(F.sum("a").alias("na"), F.sum(1 - F.col("a")).alias("nb")).where(F.col("na") * F.col("nb") > BLOCK_PAIRS).select("key"))
         one_by_one = (lambda d: d) if hot.isEmpty() else (lambda d: d.join(small_or_plain(hot), "key", "left_anti"))
         pairs = one_by_one(blocks(left, "a")).join(blocks(right, "b"), "key").select("a", "b").distinct()
         if not hot.isEmpty():
